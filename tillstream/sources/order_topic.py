@@ -1,0 +1,154 @@
+"""Invoice topic records built from the order tables.
+
+Each order becomes one topic record that holds the invoice with all its line items as JSON text. A topic record has to
+stay small (a broker takes 1 MB by default), so an order of more than ``max_items`` lines is issued as several invoices
+which repeat its header: its lines are dealt out over the invoices, and no line is lost.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillstream.functions import json_text
+from tillstream.settings import INVOICE_TOPIC
+
+#: Line items per invoice, about 0.6 MB of text.
+MAX_ITEMS = 5000
+
+
+def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) -> DataFrame:
+    """The orders under ``sf_dir`` as topic records.
+
+    A count over the order keys of the line items, run here, tells whether any order is too long for one invoice. If
+    none is, the lines are grouped by order. Otherwise they are grouped by order and invoice (``slip``), which spreads
+    the lines of a very long order over many tasks.
+    """
+    orders = _orders(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
+    long_orders = (
+        _table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.count(F.lit(1)).alias("n_lines"))
+        .filter(F.col("n_lines") > max_items)
+    )
+    keys = ["o_orderkey"]
+    if long_orders.isEmpty():
+        orders = orders.withColumn("n_lines", F.lit(None).cast("bigint"))
+    else:
+        keys = ["o_orderkey", "slip"]
+        split = long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items))
+        orders = orders.join(split, "o_orderkey", "left").withColumn(
+            "slip", F.explode(F.sequence(F.lit(0), F.coalesce("n_slips", F.lit(1)) - 1))
+        )
+        # Hashing by order alone would satisfy the grouping too, but with all slips of a long order in one task.
+        lines = (
+            lines.join(split, "o_orderkey", "left")
+            .withColumn("slip", F.coalesce(F.pmod("seed", "n_slips"), F.lit(0)))
+            .repartition(*keys)
+        )
+    items = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return _records(orders.join(items, keys, "left"))
+
+
+def text_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the documents as topic records. They are prose, so none of them is an invoice."""
+    return _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").cast("binary").alias("key"),
+        F.col("text").cast("binary").alias("value"),
+        *_position(F.col("doc_id"), F.lit("1970-01-01 00:00:00")),
+    )
+
+
+def _position(offset: Column, timestamp: Column) -> list[Column]:
+    """The columns of a topic record after key and value."""
+    return [
+        F.lit(INVOICE_TOPIC).alias("topic"),
+        F.lit(0).alias("partition"),
+        offset.alias("offset"),
+        timestamp.cast("timestamp").alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+    ]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer, nation and region."""
+    return (
+        _table(spark, sf_dir, "orders")
+        .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    )
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order key, line item, and a number to deal the lines of a long order by.
+
+    The number comes from the row's place in the scanned files and is taken before any shuffle, so a task that is run
+    again gives each line the same number.
+    """
+    return (
+        _table(spark, sf_dir, "lineitem")
+        .withColumn("seed", F.xxhash64(F.monotonically_increasing_id()))
+        .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        .select(
+            F.col("l_orderkey").alias("o_orderkey"),
+            "seed",
+            F.struct(
+                "l_linenumber",
+                F.col("l_partkey").cast("string").alias("ItemCode"),
+                F.col("p_name").alias("ItemDescription"),
+                F.col("p_retailprice").alias("ItemPrice"),
+                F.col("l_quantity").cast("int").alias("ItemQty"),
+                F.col("l_extendedprice").alias("TotalValue"),
+            ).alias("item"),
+        )
+    )
+
+
+def _records(invoices: DataFrame) -> DataFrame:
+    """Orders with their sorted line items to topic records."""
+    number = F.col("o_orderkey").cast("string")
+    card = F.col("o_custkey").cast("string")
+    total = F.col("o_totalprice")
+    at_home = F.col("o_orderstatus") == "O"
+    # Whole milliseconds since 1970 of a timestamp without time zone, whatever the session's time zone.
+    created = F.expr(
+        "cast(cast(cast(o_orderdate - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18, 6))"
+        " * 1000 as bigint)"
+    )
+    document = json_text(
+        number.alias("InvoiceNumber"),
+        created.alias("CreatedTime"),
+        F.concat(F.lit("STR"), F.col("c_nationkey").cast("string")).alias("StoreID"),
+        F.concat(F.lit("POS"), (F.col("o_custkey") % 100).cast("string")).alias("PosID"),
+        F.concat(F.lit("OAS"), (F.col("o_orderkey") % 50).cast("string")).alias("CashierID"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "PRIME").otherwise("NONPRIME").alias("CustomerType"),
+        card.alias("CustomerCardNo"),
+        total.alias("TotalAmount"),
+        F.coalesce("n_lines", F.array_size("items"), F.lit(0)).alias("NumberOfItems"),
+        F.when(F.col("o_orderpriority") < "3", "CARD").otherwise("CASH").alias("PaymentMethod"),
+        total.alias("TaxableAmount"),
+        (total * 0.025).alias("CGST"),
+        (total * 0.025).alias("SGST"),
+        (total * 0.00125).alias("CESS"),
+        F.when(at_home, "HOME-DELIVERY").otherwise("TAKEAWAY").alias("DeliveryType"),
+        F.when(
+            at_home,
+            F.struct(
+                F.col("c_name").alias("AddressLine"),
+                F.col("n_name").alias("City"),
+                F.col("r_name").alias("State"),
+                F.lpad(number, 6, "0").alias("PinCode"),
+                card.alias("ContactNumber"),
+            ),
+        ).alias("DeliveryAddress"),
+        F.transform("items", lambda item: item.dropFields("l_linenumber")).alias("InvoiceLineItems"),
+    )
+    return invoices.select(
+        number.cast("binary").alias("key"),
+        document.cast("binary").alias("value"),
+        *_position(F.col("o_orderkey"), F.col("o_orderdate")),
+    )
