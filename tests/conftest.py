@@ -1,0 +1,44 @@
+import json
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .appName("tillstream-tests")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def topic(spark):
+    """Topic records from values: dicts become JSON text, strings their bytes, bytes and None stay."""
+
+    def build(*values):
+        from tillstream.schemas import TOPIC_SCHEMA
+
+        def encoded(value):
+            text = json.dumps(value) if isinstance(value, dict) else value
+            return text.encode() if isinstance(text, str) else text
+
+        rows = [(None, encoded(value), "invoices", 0, offset, None, 0) for offset, value in enumerate(values)]
+        return spark.createDataFrame(rows, TOPIC_SCHEMA)
+
+    return build

@@ -1,0 +1,115 @@
+"""What becomes of each kind of record: parsed fields, notification, number of flat rows."""
+
+import json
+
+import pytest
+
+from tests.records import HOME_DELIVERY, TAKEAWAY
+from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
+
+TEXT = json.dumps(TAKEAWAY)
+NORMAL = '{"CustomerCardNo":"555001","TotalAmount":3374.0,"EarnedLoyaltyPoints":674.8000000000001}'
+WITHOUT_TOTAL = '{"CustomerCardNo":"555001"}'
+ITEMS = TAKEAWAY["InvoiceLineItems"]
+
+
+def put(**fields):
+    return TAKEAWAY | fields
+
+
+def total(value):
+    return '{"CustomerCardNo":"555001",' + value + "}"
+
+
+# name: (record, key, message, flat rows)
+CASES = {
+    "normal": (TAKEAWAY, "7001", NORMAL, 2),
+    "null": (None, None, "{}", 0),
+    "empty": ("", None, "{}", 0),
+    "blank": ("   ", None, "{}", 0),
+    "prose": ("not json", None, "{}", 0),
+    "cut off": (TEXT[:200], None, "{}", 0),
+    "cut off in the items": (TEXT[:-20], None, "{}", 0),
+    "JSON null": ("null", None, "{}", 0),
+    "empty object": ("{}", None, "{}", 0),
+    "number": ("5", None, "{}", 0),
+    "array": (f"[{TEXT}]", None, "{}", 0),
+    "unquoted names": ('{InvoiceNumber:"7001"}', None, "{}", 0),
+    "bad escape": (TEXT.replace("STR10", r"STR\q"), None, "{}", 0),
+    "single quotes": (TEXT.replace('"', "'"), "7001", NORMAL, 2),
+    "newlines between fields": (json.dumps(TAKEAWAY, indent=2), "7001", NORMAL, 2),
+    "number as text": (put(TotalAmount="12.5"), "7001", WITHOUT_TOTAL, 2),
+    "word for a number": (put(TotalAmount="x"), "7001", WITHOUT_TOTAL, 2),
+    "null total": (put(TotalAmount=None), "7001", WITHOUT_TOTAL, 2),
+    "number for text": (put(InvoiceNumber=51402977), "51402977", NORMAL, 2),
+    "fraction for an int": (put(NumberOfItems=2.5), "7001", NORMAL, 2),
+    "too large an int": (put(NumberOfItems=3000000000), "7001", NORMAL, 2),
+    "text for a long": (put(CreatedTime="now"), "7001", NORMAL, 2),
+    "int for a double": (
+        put(TotalAmount=3),
+        "7001",
+        total('"TotalAmount":3.0,"EarnedLoyaltyPoints":0.6000000000000001'),
+        2,
+    ),
+    "negative": (put(TotalAmount=-10.0), "7001", total('"TotalAmount":-10.0,"EarnedLoyaltyPoints":-2.0'), 2),
+    "NaN": (put(TotalAmount=float("nan")), "7001", total('"TotalAmount":"NaN","EarnedLoyaltyPoints":"NaN"'), 2),
+    "NaN as text": (put(TotalAmount="NaN"), "7001", total('"TotalAmount":"NaN","EarnedLoyaltyPoints":"NaN"'), 2),
+    "other case of a name": (TEXT.replace("InvoiceNumber", "invoicenumber"), None, NORMAL, 2),
+    "repeated field": (TEXT[:-1] + ',"InvoiceNumber":"7003"}', "7003", NORMAL, 2),
+    "unknown field": (put(Till="front"), "7001", NORMAL, 2),
+    "two objects": (TEXT + json.dumps(HOME_DELIVERY), "7001", NORMAL, 2),
+    "null items": (put(InvoiceLineItems=None), "7001", NORMAL, 0),
+    "no items": (put(InvoiceLineItems=[]), "7001", NORMAL, 0),
+    "object for items": (put(InvoiceLineItems=ITEMS[0]), "7001", NORMAL, 0),
+    "null item": (put(InvoiceLineItems=[None, ITEMS[0]]), "7001", NORMAL, 2),
+    "bad field in an item": (put(InvoiceLineItems=[ITEMS[0] | {"ItemQty": "two"}, ITEMS[1]]), "7001", NORMAL, 2),
+    "damaged items": (TEXT.replace('"ItemCode":', '"ItemCode"'), "7001", NORMAL, 0),
+    "text for an address": (put(DeliveryAddress="1 Mill Lane"), "7001", NORMAL, 2),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_record(topic, name):
+    record, key, message, flat = CASES[name]
+    invoices = parse_invoices(topic(record))
+    assert [tuple(row) for row in notification_messages(loyalty_points(invoices)).collect()] == [(key, message)]
+    assert flatten_line_items(invoices).count() == flat
+
+
+def test_all_fields(topic):
+    row = parse_invoices(topic(HOME_DELIVERY)).select("value.*").first().asDict(recursive=True)
+    expected = {name: value for name, value in HOME_DELIVERY.items() if name != "TaxableAmount"}
+    assert row == expected
+    assert list(row) == (
+        "InvoiceNumber CreatedTime StoreID PosID CashierID CustomerType CustomerCardNo TotalAmount NumberOfItems"
+        " PaymentMethod CGST SGST CESS DeliveryType DeliveryAddress InvoiceLineItems"
+    ).split()
+
+
+@pytest.mark.parametrize("value", [None, "", "  \n"])
+def test_nothing_is_a_null_struct(topic, value):
+    assert parse_invoices(topic(value)).first()["value"] is None
+
+
+@pytest.mark.parametrize("value", ["prose", "{}", "null", "[]"])
+def test_other_text_is_a_struct_of_nulls(topic, value):
+    row = parse_invoices(topic(value)).first()["value"]
+    assert row is not None and set(row.asDict().values()) == {None}
+
+
+def test_bad_address_keeps_the_other_fields(topic):
+    row = parse_invoices(topic(put(DeliveryAddress="1 Mill Lane"))).select("value.*").first()
+    assert row["DeliveryAddress"] is None and row["StoreID"] == "STR10" and len(row["InvoiceLineItems"]) == 2
+
+
+def test_bad_utf8_is_replaced(topic):
+    record = TEXT.encode().replace(b"STR10", b"STR\xff")
+    assert parse_invoices(topic(record)).select("value.StoreID").first()[0] == "STR\ufffd"
+
+
+def test_narrower_schema_differs_on_damaged_items(topic):
+    """Why every query parses all fields: with fewer, Spark skips the items, and damage in them voids the record."""
+    damaged = topic(CASES["damaged items"][0])
+    assert parse_invoices(damaged).first()["value"]["InvoiceNumber"] == "7001"
+    narrow = damaged.selectExpr("from_json(cast(value as string), 'InvoiceNumber string') as value")
+    assert narrow.first()["value"]["InvoiceNumber"] is None

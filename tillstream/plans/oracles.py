@@ -1,6 +1,6 @@
 """The registered queries in SQL on the tables, without topic, JSON or stream."""
 
-from tillstream.sources.order_topic import MAX_ITEMS
+from tillstream.sources.tables import MAX_ITEMS
 
 #: One row per invoice: an order, or each slip of an order that is too long for one invoice.
 _INVOICES = f"""

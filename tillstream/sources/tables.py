@@ -31,7 +31,7 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         .filter(F.col("n_lines") > max_items)
     )
     keys = ["o_orderkey"]
-    if long_orders.isEmpty():
+    if long_orders.count() == 0:
         orders = orders.withColumn("n_lines", F.lit(None).cast("bigint"))
     else:
         keys = ["o_orderkey", "slip"]
@@ -39,13 +39,12 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         orders = orders.join(split, "o_orderkey", "left").withColumn(
             "slip", F.explode(F.sequence(F.lit(0), F.coalesce("n_slips", F.lit(1)) - 1))
         )
-        # Hashing by order alone would satisfy the grouping too, but with all slips of a long order in one task.
-        lines = (
-            lines.join(split, "o_orderkey", "left")
-            .withColumn("slip", F.coalesce(F.pmod("seed", "n_slips"), F.lit(0)))
-            .repartition(*keys)
+        lines = lines.join(split, "o_orderkey", "left").withColumn(
+            "slip", F.coalesce(F.pmod("seed", "n_slips"), F.lit(0))
         )
-    items = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    # The shuffle is written out: rows travel before they are collected into arrays, which shrinks nothing. And it is by
+    # both keys: after the join above, Spark would group by slip inside one task per long order.
+    items = lines.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
     return _records(orders.join(items, keys, "left"))
 
 
@@ -74,13 +73,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer, nation and region."""
-    return (
-        _table(spark, sf_dir, "orders")
-        .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    """Orders with their customer and the customer's nation and region."""
+    customers = (
+        _table(spark, sf_dir, "customer")
         .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     )
+    return _table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
