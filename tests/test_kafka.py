@@ -1,0 +1,164 @@
+"""The Kafka options, seen by a data source that keeps a topic as a file. No broker is involved.
+
+Spark does not let another source take the name ``kafka``, so the tests change the name the library asks for. Spark's own
+Kafka source and sink are not exercised: the connector is not installed here.
+"""
+
+import json
+from pathlib import Path
+
+import pytest
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceStreamWriter,
+    SimpleDataSourceStreamReader,
+    WriterCommitMessage,
+)
+
+import tillstream.sources.topic
+import tillstream.streaming.sinks
+from tests.records import HOME_DELIVERY, TAKEAWAY
+from tillstream.__main__ import arguments
+from tillstream.plans import run_job, start_job
+from tillstream.schemas import FLAT_SCHEMA, TOPIC_SCHEMA
+
+
+def file_kafka():
+    """The data source class. It is made in a function so that it reaches Python workers by value."""
+
+    class Reader(SimpleDataSourceStreamReader):
+        def __init__(self, options):
+            self.options = dict(options)
+
+        def records(self):
+            folder = self.options["kafka.bootstrap.servers"]
+            with open(f"{folder}/{self.options['subscribe']}.jsonl") as lines:
+                return [line.rstrip("\n").encode() for line in lines]
+
+        def initialOffset(self):
+            return {"offset": 0 if self.options["startingoffsets"] == "earliest" else len(self.records())}
+
+        def read(self, start):
+            rows, end = self.rows(start["offset"], None)
+            return iter(rows), {"offset": end}
+
+        def readBetweenOffsets(self, start, end):
+            return iter(self.rows(start["offset"], end["offset"])[0])
+
+        def rows(self, start, end):
+            values = self.records()[start:end]
+            topic = self.options["subscribe"]
+            rows = [(None, value, topic, 0, start + i, None, 0) for i, value in enumerate(values)]
+            return rows, start + len(values)
+
+    class Writer(DataSourceStreamWriter):
+        def __init__(self, options):
+            self.path = f"{options['kafka.bootstrap.servers']}/{options['topic']}.jsonl"
+
+        def write(self, rows):
+            import json
+
+            with open(self.path, "a") as out:
+                for row in rows:
+                    out.write(json.dumps([row.key, row.value]) + "\n")
+            return WriterCommitMessage()
+
+    class FileKafka(DataSource):
+        @classmethod
+        def name(cls):
+            return "filekafka"
+
+        def schema(self):
+            return " ".join(TOPIC_SCHEMA.split())
+
+        def simpleStreamReader(self, schema):
+            return Reader(self.options)
+
+        def streamWriter(self, schema, overwrite):
+            return Writer(self.options)
+
+    return FileKafka
+
+
+@pytest.fixture
+def broker(spark, tmp_path, monkeypatch):
+    for module in (tillstream.sources.topic, tillstream.streaming.sinks):
+        monkeypatch.setattr(module, "TOPIC_FORMAT", "filekafka")
+    spark.dataSource.register(file_kafka())
+    lines = [json.dumps(TAKEAWAY), json.dumps(HOME_DELIVERY), "not json"]
+    (tmp_path / "invoices.jsonl").write_text("".join(f"{line}\n" for line in lines))
+    return tmp_path
+
+
+def test_job_by_broker(spark, broker):
+    queries = start_job(spark, str(broker), f"{broker}/output", f"{broker}/checkpoints")
+    try:
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    sent = [json.loads(line) for line in (broker / "notifications.jsonl").read_text().splitlines()]
+    assert [key for key, _ in sent] == ["7001", "7002", None]
+    assert sent[1][1] == '{"CustomerCardNo":"555002","TotalAmount":1750.0,"EarnedLoyaltyPoints":350.0}'
+    assert sent[2][1] == "{}"
+    rows = spark.read.schema(FLAT_SCHEMA).json(f"{broker}/output").collect()
+    assert sorted(row.ItemCode for row in rows) == ["11", "12", "13"]
+
+
+def test_source_options_win(spark, broker):
+    """An option given by the caller replaces the default."""
+    queries = start_job(spark, str(broker), f"{broker}/output", f"{broker}/checkpoints", startingOffsets="latest")
+    try:
+        for query in queries:
+            query.processAllAvailable()
+        with open(broker / "invoices.jsonl", "a") as out:
+            out.write(json.dumps(TAKEAWAY | {"InvoiceNumber": "7009"}) + "\n")
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    sent = [json.loads(line) for line in (broker / "notifications.jsonl").read_text().splitlines()]
+    assert [key for key, _ in sent] == ["7009"]
+
+
+def test_run_job_raises_the_failure_of_a_query(spark, broker):
+    spark.streams.resetTerminated()
+    (broker / "invoices.jsonl").unlink()
+    try:
+        with pytest.raises(StreamingQueryException):
+            run_job(spark, broker=str(broker), output=f"{broker}/output", checkpoints=f"{broker}/checkpoints")
+    finally:
+        for query in spark.streams.active:
+            query.stop()
+        spark.streams.resetTerminated()
+
+
+def test_checkpoints_go_to_the_shared_folder(spark, broker):
+    queries = start_job(spark, str(broker), f"{broker}/output")
+    for query in queries:
+        query.processAllAvailable()
+        query.stop()
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    assert (shared / "chk-point-dir/notify/metadata").exists()
+    assert (shared / "chk-point-dir/flatten/metadata").exists()
+
+
+def test_kafka_itself_needs_the_connector(spark):
+    with pytest.raises(AnalysisException, match="kafka"):
+        start_job(spark)
+
+
+def test_arguments():
+    args = arguments(["--broker", "b:1", "--source-option", "minPartitions=64", "--source-option", "a=b=c"])
+    assert (args.broker, args.output, args.checkpoints) == ("b:1", "output", None)
+    assert dict(args.source_option) == {"minPartitions": "64", "a": "b=c"}
+    assert arguments([]).broker == "localhost:9092"
+
+
+@pytest.mark.parametrize("option", ["minPartitions", "=64"])
+def test_bad_option_is_refused(option):
+    with pytest.raises(SystemExit):
+        arguments(["--source-option", option])

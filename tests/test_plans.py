@@ -1,0 +1,48 @@
+"""Physical plans: one narrow stage, one parse, one column read; bounded groups in the topic."""
+
+import pytest
+
+from tests.conftest import SF_DIR
+from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
+from tillstream.sources import order_topic
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def invoices(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("topic") / "records")
+    order_topic(spark, SF_DIR).write.parquet(folder)
+    return parse_invoices(spark.read.parquet(folder))
+
+
+@pytest.mark.parametrize(
+    "operator", [flatten_line_items, loyalty_points, lambda invoices: notification_messages(loyalty_points(invoices))]
+)
+def test_narrow_and_parsed_once(invoices, operator):
+    text = plan(operator(invoices))
+    assert "Exchange" not in text and "Python" not in text
+    assert text.count("from_json(") == 1
+    assert "ReadSchema: struct<value:binary>" in text
+
+
+def test_flatten_has_no_inferred_filter(invoices):
+    assert "- Filter" not in plan(flatten_line_items(invoices))
+
+
+def test_topic_shuffles_the_lines_once(spark):
+    """Where lookups are broadcast, lines and orders are shuffled by order key and by nothing else."""
+    text = plan(order_topic(spark, SF_DIR))
+    assert text.count("Exchange hashpartitioning(o_orderkey") == 2
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_long_orders_are_grouped_by_slip(spark):
+    text = plan(order_topic(spark, SF_DIR, max_items=3))
+    grouping = text[text.index("collect_list") :]
+    assert grouping.index("Exchange hashpartitioning(o_orderkey") == grouping.index("Exchange")
+    assert "slip" in grouping[grouping.index("Exchange") :].splitlines()[0]
+    assert "CartesianProduct" not in text and "NestedLoop" not in text

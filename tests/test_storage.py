@@ -1,0 +1,32 @@
+import pytest
+
+from tillstream.storage import run_folder, shared_folder
+
+
+class Session:
+    """A session's settings and master, without Spark."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self.conf = self
+        self.master, self.folder = master, folder
+
+    def get(self, name, default):
+        assert name == "spark.checkpoint.dir"
+        return self.folder or default
+
+
+def test_folder_of_the_cluster():
+    session = Session("yarn", "hdfs://name/shared/")
+    assert shared_folder(session) == "hdfs://name/shared"
+    assert run_folder(session).startswith("hdfs://name/shared/tillstream-")
+    assert run_folder(session) != run_folder(session)
+
+
+def test_temporary_folder_for_local_sessions_only():
+    assert "tillstream-" in run_folder(Session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        run_folder(Session("yarn"))
+
+
+def test_setting_of_a_real_session(spark):
+    assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -1,4 +1,8 @@
-"""Command line: ``spark-submit --packages … -m`` or ``python -m tillstream``."""
+"""Command line of the job.
+
+``PYTHONPATH=. spark-submit --packages org.apache.spark:spark-sql-kafka-0-10_2.13:4.1.2 tillstream/__main__.py``, where
+the package has the version of the cluster's Spark. The master and all Spark settings come from ``spark-submit``.
+"""
 
 import argparse
 

@@ -1,8 +1,11 @@
 """Names and places of the job.
 
-Fixed values: topics, query names, default broker, output folder and checkpoint folders.
+Fixed values: source and sink formats, topics, query names, default broker, output folder and checkpoint folders.
 """
 
+TOPIC_FORMAT = "kafka"
+FILE_FORMAT = "json"
+
 BROKER = "localhost:9092"
 INVOICE_TOPIC = "invoices"
 NOTIFICATION_TOPIC = "notifications"

@@ -73,13 +73,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer and the customer's nation and region."""
-    customers = (
-        _table(spark, sf_dir, "customer")
+    """Orders with their customer and the customer's nation and region.
+
+    One chain, so that Spark sees the file sizes of nation and region and broadcasts them by these.
+    """
+    return (
+        _table(spark, sf_dir, "orders")
+        .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     )
-    return _table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tillstream.schemas import TOPIC_SCHEMA
-from tillstream.settings import BROKER, INVOICE_TOPIC, STARTING_OFFSETS
+from tillstream.settings import BROKER, INVOICE_TOPIC, STARTING_OFFSETS, TOPIC_FORMAT
 
 
 def read_topic(spark: SparkSession, broker: str = BROKER, topic: str = INVOICE_TOPIC, **options: str) -> DataFrame:
@@ -13,7 +13,7 @@ def read_topic(spark: SparkSession, broker: str = BROKER, topic: str = INVOICE_T
     that holds much of the topic into several tasks) and ``maxOffsetsPerTrigger`` (bounds a micro-batch).
     """
     return (
-        spark.readStream.format("kafka")
+        spark.readStream.format(TOPIC_FORMAT)
         .option("kafka.bootstrap.servers", broker)
         .option("subscribe", topic)
         .option("startingOffsets", STARTING_OFFSETS)

@@ -3,7 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tillstream.settings import BROKER, FLATTEN_QUERY, NOTIFICATION_QUERY, NOTIFICATION_TOPIC
+from tillstream.settings import (
+    BROKER,
+    FILE_FORMAT,
+    FLATTEN_QUERY,
+    NOTIFICATION_QUERY,
+    NOTIFICATION_TOPIC,
+    TOPIC_FORMAT,
+)
 
 
 def write_topic(
@@ -18,7 +25,7 @@ def write_topic(
     """Publish ``key``, ``value`` rows to a Kafka topic, at least once."""
     return (
         _append(messages, name, checkpoint, available_now)
-        .format("kafka")
+        .format(TOPIC_FORMAT)
         .option("kafka.bootstrap.servers", broker)
         .option("topic", topic)
         .options(**options)
@@ -31,7 +38,7 @@ def write_files(
     path: str,
     checkpoint: str,
     name: str = FLATTEN_QUERY,
-    format: str = "json",
+    format: str = FILE_FORMAT,
     available_now: bool = False,
     **options: str,
 ) -> StreamingQuery:
