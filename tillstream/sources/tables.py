@@ -22,11 +22,11 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
     none is, the lines are grouped by order. Otherwise they are grouped by order and invoice (``slip``), which spreads
     the lines of a very long order over many tasks.
     """
+    lineitem = _table(spark, sf_dir, "lineitem")
     orders = _orders(spark, sf_dir)
-    lines = _lines(spark, sf_dir)
+    lines = _lines(lineitem, _table(spark, sf_dir, "part"))
     long_orders = (
-        _table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.count(F.lit(1)).alias("n_lines"))
         .filter(F.col("n_lines") > max_items)
     )
@@ -85,16 +85,15 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Order key, line item, and a number to deal the lines of a long order by.
 
     The number comes from the row's place in the scanned files and is taken before any shuffle, so a task that is run
     again gives each line the same number.
     """
     return (
-        _table(spark, sf_dir, "lineitem")
-        .withColumn("seed", F.xxhash64(F.monotonically_increasing_id()))
-        .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        lineitem.withColumn("seed", F.xxhash64(F.monotonically_increasing_id()))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         .select(
             F.col("l_orderkey").alias("o_orderkey"),
             "seed",
