@@ -46,3 +46,13 @@ def test_long_orders_are_grouped_by_slip(spark):
     assert grouping.index("Exchange hashpartitioning(o_orderkey") == grouping.index("Exchange")
     assert "slip" in grouping[grouping.index("Exchange") :].splitlines()[0]
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_joins_with_long_orders_can_be_split(spark):
+    """Adaptive execution splits a join only if both sides come straight from a shuffle: no count stands before it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(order_topic(spark, SF_DIR, max_items=3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "count(1)" not in text and "n_slips" in text

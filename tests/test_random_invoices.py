@@ -1,0 +1,68 @@
+"""Random invoices against a model in plain Python."""
+
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
+from tillstream.operators.invoices import ADDRESS_FIELDS, HEADER_FIELDS
+
+ITEM_FIELDS = ("ItemCode", "ItemDescription", "ItemPrice", "ItemQty", "TotalValue")
+
+text = st.none() | st.text(st.characters(exclude_categories=["Cs"]), max_size=12)
+money = st.none() | st.floats(allow_nan=False, allow_infinity=False)
+count = st.none() | st.integers(-(2**31), 2**31 - 1)
+
+
+def some(fields):
+    """An object in which any field may be missing."""
+    return st.fixed_dictionaries({}, optional=fields)
+
+
+item = some(
+    {"ItemCode": text, "ItemDescription": text, "ItemPrice": money, "ItemQty": count, "TotalValue": money, "Extra": text}
+)
+address = some({name: text for name in ("AddressLine", "City", "State", "PinCode", "ContactNumber")})
+invoice = some(
+    {name: text for name in HEADER_FIELDS if name != "CreatedTime"}
+    | {
+        "CreatedTime": st.none() | st.integers(-(2**63), 2**63 - 1),
+        "CashierID": text,
+        "CustomerCardNo": text,
+        "TotalAmount": money,
+        "NumberOfItems": count,
+        "TaxableAmount": money,
+        "CGST": money,
+        "DeliveryAddress": st.none() | address,
+        "InvoiceLineItems": st.none() | st.lists(st.none() | item, max_size=4),
+    }
+)
+
+
+def message(record):
+    amount = record.get("TotalAmount")
+    fields = {
+        "CustomerCardNo": record.get("CustomerCardNo"),
+        "TotalAmount": amount,
+        "EarnedLoyaltyPoints": None if amount is None else amount * 0.2,
+    }
+    return record.get("InvoiceNumber"), {name: value for name, value in fields.items() if value is not None}
+
+
+def flat(record):
+    where = record.get("DeliveryAddress") or {}
+    head = [record.get(name) for name in HEADER_FIELDS] + [where.get(name) for name in ADDRESS_FIELDS]
+    return [(*head, *((line or {}).get(name) for name in ITEM_FIELDS)) for line in record.get("InvoiceLineItems") or []]
+
+
+@settings(
+    max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow]
+)
+@given(st.lists(invoice, min_size=1, max_size=20), st.booleans())
+def test_random_invoices(topic, records, ascii_only):
+    invoices = parse_invoices(topic(*(json.dumps(record, ensure_ascii=ascii_only) for record in records)))
+    sent = [(row.key, json.loads(row.value)) for row in notification_messages(loyalty_points(invoices)).collect()]
+    assert sent == [message(record) for record in records]
+    rows = [tuple(row) for row in flatten_line_items(invoices).collect()]
+    assert rows == [row for record in records for row in flat(record)]

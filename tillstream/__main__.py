@@ -30,7 +30,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
-if __name__ == "__main__":
+def main() -> None:
     args = arguments()
     run_job(
         SparkSession.builder.appName("tillstream").getOrCreate(),
@@ -39,3 +39,7 @@ if __name__ == "__main__":
         checkpoints=args.checkpoints,
         **dict(args.source_option),
     )
+
+
+if __name__ == "__main__":
+    main()

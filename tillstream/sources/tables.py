@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillstream.functions import json_text
 from tillstream.settings import INVOICE_TOPIC
+from tillstream.storage import run_folder
 
 #: Line items per invoice, about 0.6 MB of text.
 MAX_ITEMS = 5000
@@ -35,7 +36,7 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         orders = orders.withColumn("n_lines", F.lit(None).cast("bigint"))
     else:
         keys = ["o_orderkey", "slip"]
-        split = long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items))
+        split = _written(long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items)))
         orders = orders.join(split, "o_orderkey", "left").withColumn(
             "slip", F.explode(F.sequence(F.lit(0), F.coalesce("n_slips", F.lit(1)) - 1))
         )
@@ -68,6 +69,17 @@ def _position(offset: Column, timestamp: Column) -> list[Column]:
     ]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder.
+
+    Of a table Spark knows the size, so that it broadcasts a small one. And adaptive execution splits a skewed join only
+    where both sides are shuffled as they come, without an aggregate after the shuffle.
+    """
+    path = f"{run_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
