@@ -1,7 +1,7 @@
 """The Kafka options, seen by a data source that keeps a topic as a file. No broker is involved.
 
-Spark does not let another source take the name ``kafka``, so the tests change the name the library asks for. Spark's own
-Kafka source and sink are not exercised: the connector is not installed here.
+Spark does not let another source take the name ``kafka``, so the tests change the name the library asks for. Spark's
+own Kafka source and sink are not exercised: the connector is not installed here.
 """
 
 import json

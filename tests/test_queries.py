@@ -98,8 +98,9 @@ def test_items_are_in_line_order(spark):
         lines[str(row.l_orderkey)].append((row.l_linenumber, str(row.l_partkey)))
     # Only orders whose line numbers differ have one right order.
     expected = {key: sorted(rows) for key, rows in lines.items() if len(dict(rows)) == len(rows)}
-    records = parse_invoices(order_topic(spark, SF_DIR)).select("value.InvoiceNumber", "value.InvoiceLineItems.ItemCode")
-    found = {key: codes for key, codes in records.collect() if key in expected}
+    invoices = parse_invoices(order_topic(spark, SF_DIR))
+    records = invoices.select("value.InvoiceNumber", "value.InvoiceLineItems.ItemCode").collect()
+    found = {key: codes for key, codes in records if key in expected}
     assert found == {key: [code for _, code in rows] for key, rows in expected.items()}
     assert any(len(codes) > 2 for codes in found.values())
 

@@ -21,7 +21,14 @@ def some(fields):
 
 
 item = some(
-    {"ItemCode": text, "ItemDescription": text, "ItemPrice": money, "ItemQty": count, "TotalValue": money, "Extra": text}
+    {
+        "ItemCode": text,
+        "ItemDescription": text,
+        "ItemPrice": money,
+        "ItemQty": count,
+        "TotalValue": money,
+        "Extra": text,
+    }
 )
 address = some({name: text for name in ("AddressLine", "City", "State", "PinCode", "ContactNumber")})
 invoice = some(

@@ -18,8 +18,8 @@ from tillstream.streaming import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Topic files of one micro-batch at most, so that a failed batch of a large topic is cheap to repeat.
-FILES_PER_BATCH = 1000
+#: Topic files of one micro-batch at most: enough to keep a large cluster busy, few enough to repeat a failed batch.
+FILES_PER_BATCH = 10_000
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

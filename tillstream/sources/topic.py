@@ -25,7 +25,7 @@ def read_topic(spark: SparkSession, broker: str = BROKER, topic: str = INVOICE_T
 def read_topic_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Topic records kept as parquet files, as a stream: each file that arrives in ``path`` is read once.
 
-    ``options`` go to Spark's file source as they are: ``maxFilesPerTrigger`` bounds a micro-batch, and ``maxFileAge`` has
-    to be raised where files may arrive that are more than a week older than the newest one already read.
+    ``options`` go to Spark's file source as they are: ``maxFilesPerTrigger`` bounds a micro-batch, and ``maxFileAge``
+    has to be raised where files may arrive that are more than a week older than the newest one already read.
     """
     return spark.readStream.schema(TOPIC_SCHEMA).options(**options).parquet(path)
