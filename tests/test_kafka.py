@@ -19,6 +19,7 @@ from pyspark.sql.datasource import (
 import tillstream.sources.topic
 import tillstream.streaming.sinks
 from tests.records import HOME_DELIVERY, TAKEAWAY
+from tillstream import __main__ as command_line
 from tillstream.__main__ import arguments
 from tillstream.plans import run_job, start_job
 from tillstream.schemas import FLAT_SCHEMA, TOPIC_SCHEMA
@@ -158,6 +159,14 @@ def test_arguments():
     assert arguments([]).broker == "localhost:9092"
 
 
+def test_main_passes_the_arguments_on(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr("sys.argv", ["tillstream", "--broker", "b:1", "--source-option", "minPartitions=64"])
+    monkeypatch.setattr(command_line, "run_job", lambda session, **settings: given.update(settings))
+    command_line.main()
+    assert given == {"broker": "b:1", "output": "output", "checkpoints": None, "minPartitions": "64"}
+
+
 @pytest.mark.parametrize("option", ["minPartitions", "=64"])
 def test_bad_option_is_refused(option):
     with pytest.raises(SystemExit):

@@ -1,10 +1,12 @@
 """Physical plans: one narrow stage, one parse, one column read; bounded groups in the topic."""
 
+import re
+
 import pytest
 
 from tests.conftest import SF_DIR
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
-from tillstream.sources import order_topic
+from tillstream.sources import order_topic, tables
 
 
 def plan(df):
@@ -40,6 +42,14 @@ def test_topic_shuffles_the_lines_once(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_many_lines_get_more_tasks(spark, monkeypatch):
+    """More than the session's 8, for the lines and for the orders they are joined with."""
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 100)
+    text = plan(order_topic(spark, SF_DIR))
+    assert len(re.findall(r"Exchange hashpartitioning\(o_orderkey#\d+L, 60\)", text)) == 2
+    assert text.count("Exchange hashpartitioning") == 2
+
+
 def test_long_orders_are_grouped_by_slip(spark):
     text = plan(order_topic(spark, SF_DIR, max_items=3))
     grouping = text[text.index("collect_list") :]

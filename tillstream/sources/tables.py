@@ -5,6 +5,8 @@ stay small (a broker takes 1 MB by default), so an order of more than ``max_item
 which repeat its header: its lines are dealt out over the invoices, and no line is lost.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +17,28 @@ from tillstream.storage import run_folder
 #: Line items per invoice, about 0.6 MB of text.
 MAX_ITEMS = 5000
 
+#: Line items per task after the shuffle, about 100 MB of text.
+LINES_PER_TASK = 1_000_000
+
 
 def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """The orders under ``sf_dir`` as topic records.
 
-    A count over the order keys of the line items, run here, tells whether any order is too long for one invoice. If
-    none is, the lines are grouped by order. Otherwise they are grouped by order and invoice (``slip``), which spreads
-    the lines of a very long order over many tasks.
+    A count over the order keys of the line items, run here, tells how many tasks the lines need, and whether any order
+    is too long for one invoice. If none is, the lines are grouped by order. Otherwise they are grouped by order and
+    invoice (``slip``), which spreads the lines of a very long order over many tasks.
     """
     lineitem = _table(spark, sf_dir, "lineitem")
     orders = _orders(spark, sf_dir)
     lines = _lines(lineitem, _table(spark, sf_dir, "part"))
-    long_orders = (
-        lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.count(F.lit(1)).alias("n_lines"))
-        .filter(F.col("n_lines") > max_items)
-    )
+    tally = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
+    total, longest = tally.agg(F.coalesce(F.sum("n_lines"), F.lit(0)), F.coalesce(F.max("n_lines"), F.lit(0))).first()
     keys = ["o_orderkey"]
-    if long_orders.count() == 0:
+    if longest <= max_items:
         orders = orders.withColumn("n_lines", F.lit(None).cast("bigint"))
     else:
         keys = ["o_orderkey", "slip"]
+        long_orders = tally.filter(F.col("n_lines") > max_items)
         split = _written(long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items)))
         orders = orders.join(split, "o_orderkey", "left").withColumn(
             "slip", F.explode(F.sequence(F.lit(0), F.coalesce("n_slips", F.lit(1)) - 1))
@@ -45,10 +48,21 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         )
     # The shuffle is written out: rows travel before they are collected into arrays, which shrinks nothing. And it is by
     # both keys: after the join above, Spark would group by slip inside one task per long order.
-    items = lines.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = _spread(lines, total, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
     return _records(orders.join(items, keys, "left"))
 
 
+def _spread(lines: DataFrame, total: int, keys: list[str]) -> DataFrame:
+    """The lines by their keys over as many tasks as the session sets, or more where each would get too many.
+
+    Where the session's number does, it is left to Spark, which then merges small partitions.
+    """
+    tasks = math.ceil(total / LINES_PER_TASK)
+    if tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return lines.repartition(tasks, *keys)
+    return lines.repartition(*keys)
+
+
 def text_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the documents as topic records. They are prose, so none of them is an invoice."""
     return _table(spark, sf_dir, "documents").select(
