@@ -92,15 +92,32 @@ def broker(spark, tmp_path, monkeypatch):
     return tmp_path
 
 
-def test_job_by_broker(spark, broker):
-    queries = start_job(spark, str(broker), f"{broker}/output", f"{broker}/checkpoints")
+def take_in(spark, broker, then=lambda: None, **options):
+    """Run the job until it has taken in what is there, do ``then``, and until it has taken in what came by that."""
+    queries = start_job(spark, str(broker), f"{broker}/output", f"{broker}/checkpoints", **options)
     try:
         for query in queries:
             query.processAllAvailable()
+        then()
+        for query in queries:
+            query.processAllAvailable()
     finally:
         for query in queries:
             query.stop()
-    sent = [json.loads(line) for line in (broker / "notifications.jsonl").read_text().splitlines()]
+
+
+def arrive(broker, number):
+    with open(broker / "invoices.jsonl", "a") as out:
+        out.write(json.dumps(TAKEAWAY | {"InvoiceNumber": number}) + "\n")
+
+
+def messages(broker):
+    return [json.loads(line) for line in (broker / "notifications.jsonl").read_text().splitlines()]
+
+
+def test_job_by_broker(spark, broker):
+    take_in(spark, broker)
+    sent = messages(broker)
     assert [key for key, _ in sent] == ["7001", "7002", None]
     assert sent[1][1] == '{"CustomerCardNo":"555002","TotalAmount":1750.0,"EarnedLoyaltyPoints":350.0}'
     assert sent[2][1] == "{}"
@@ -110,19 +127,19 @@ def test_job_by_broker(spark, broker):
 
 def test_source_options_win(spark, broker):
     """An option given by the caller replaces the default."""
-    queries = start_job(spark, str(broker), f"{broker}/output", f"{broker}/checkpoints", startingOffsets="latest")
-    try:
-        for query in queries:
-            query.processAllAvailable()
-        with open(broker / "invoices.jsonl", "a") as out:
-            out.write(json.dumps(TAKEAWAY | {"InvoiceNumber": "7009"}) + "\n")
-        for query in queries:
-            query.processAllAvailable()
-    finally:
-        for query in queries:
-            query.stop()
-    sent = [json.loads(line) for line in (broker / "notifications.jsonl").read_text().splitlines()]
-    assert [key for key, _ in sent] == ["7009"]
+    take_in(spark, broker, lambda: arrive(broker, "7009"), startingOffsets="latest")
+    assert [key for key, _ in messages(broker)] == ["7009"]
+
+
+def test_a_restart_goes_on_from_the_checkpoint(spark, broker):
+    """Whatever the starting offsets are: these count on the first start only."""
+    take_in(spark, broker)
+    arrive(broker, "7009")
+    take_in(spark, broker, startingOffsets="latest")
+    take_in(spark, broker)
+    assert [key for key, _ in messages(broker)] == ["7001", "7002", None, "7009"]
+    rows = spark.read.schema(FLAT_SCHEMA).json(f"{broker}/output").collect()
+    assert sorted(row.InvoiceNumber for row in rows) == ["7001", "7001", "7002", "7009", "7009"]
 
 
 def test_run_job_raises_the_failure_of_a_query(spark, broker):
