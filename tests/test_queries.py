@@ -19,13 +19,14 @@ LONG_ORDER = 4
 
 @pytest.fixture(scope="module")
 def skewed_dir(tmp_path_factory):
-    """Tables in which one order has most line items, one part is in many of them, and lookups are missing."""
+    """Tables in which one order has many line items, many have no order, one part is in many, and lookups are missing."""
     folder = tmp_path_factory.mktemp("skewed")
     changed = {
         "lineitem": f"""select * replace (
                 case when l_suppkey % 3 > 0 then {LONG_ORDER} else l_orderkey end as l_orderkey,
                 case when l_suppkey % 3 = 1 then 17 else l_partkey end as l_partkey)
-            from (select * from lineitem union all select * from lineitem)""",
+            from (select * from lineitem union all select * from lineitem)
+            union all select * replace (null as l_orderkey) from lineitem""",
         "part": "select * from part where p_partkey <> 18",
         "customer": "select * from customer where c_custkey % 10 > 0",
         "nation": "select * from nation where n_nationkey <> 3",

@@ -28,7 +28,8 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
     is too long for one invoice. If none is, the lines are grouped by order. Otherwise they are grouped by order and
     invoice (``slip``), which spreads the lines of a very long order over many tasks.
     """
-    lineitem = _table(spark, sf_dir, "lineitem")
+    # A line without order is in no invoice. There may be many of them, and they would all be one group.
+    lineitem = _table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey").isNotNull())
     orders = _orders(spark, sf_dir)
     lines = _lines(lineitem, _table(spark, sf_dir, "part"))
     tally = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
