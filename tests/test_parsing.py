@@ -102,6 +102,11 @@ def test_bad_address_keeps_the_other_fields(topic):
     assert row["DeliveryAddress"] is None and row["StoreID"] == "STR10" and len(row["InvoiceLineItems"]) == 2
 
 
+def test_text_in_place_of_bytes(spark):
+    invoices = parse_invoices(spark.createDataFrame([(TEXT,)], "value string"))
+    assert invoices.first()["value"]["InvoiceNumber"] == "7001"
+
+
 def test_bad_utf8_is_replaced(topic):
     record = TEXT.encode().replace(b"STR10", b"STR\xff")
     assert parse_invoices(topic(record)).select("value.StoreID").first()[0] == "STR\ufffd"
