@@ -1,0 +1,26 @@
+"""What the bench prints."""
+
+import json
+
+import __spark_entry__ as registered
+import bench
+from tests.conftest import SF_DIR
+
+
+def test_one_json_line(spark, monkeypatch, capsys):
+    monkeypatch.setenv("BENCH_SF_DIR", SF_DIR)
+    monkeypatch.setenv("BENCH_RUNS", "1")
+    bench.main()
+    (line,) = capsys.readouterr().out.splitlines()
+    report = json.loads(line)
+    assert report["queries"].keys() == registered.queries().keys()
+    assert report["value"] == round(sum(report["queries"].values()), 3) > 0
+    assert (report["unit"], report["sf"], report["topic_records"]) == ("sec", "0.001", 1500)
+
+
+def test_what_is_compared_is_equal(spark):
+    """The plan that the line items are measured against gives the same rows."""
+    invoices = bench.parse_invoices(bench.order_topic(spark, SF_DIR))
+    plain, flat = bench.plain_explode(invoices), bench.flatten_line_items(invoices)
+    assert plain.columns == flat.columns
+    assert plain.exceptAll(flat).isEmpty() and flat.exceptAll(plain).isEmpty()
