@@ -42,11 +42,13 @@ def test_topic_shuffles_the_lines_once(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_many_lines_get_more_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("most, tasks", [(30_000, 60), (20, 20)])
+def test_many_lines_get_more_tasks(spark, monkeypatch, most, tasks):
     """More than the session's 8, for the lines and for the orders they are joined with."""
     monkeypatch.setattr(tables, "LINES_PER_TASK", 100)
+    monkeypatch.setattr(tables, "MAX_TASKS", most)
     text = plan(order_topic(spark, SF_DIR))
-    assert len(re.findall(r"Exchange hashpartitioning\(o_orderkey#\d+L, 60\)", text)) == 2
+    assert len(re.findall(rf"Exchange hashpartitioning\(o_orderkey#\d+L, {tasks}\)", text)) == 2
     assert text.count("Exchange hashpartitioning") == 2
 
 

@@ -20,6 +20,9 @@ MAX_ITEMS = 5000
 #: Line items per task after the shuffle, about 100 MB of text.
 LINES_PER_TASK = 1_000_000
 
+#: Tasks after the shuffle at most. With more, blocks get tiny and the driver's table of them huge; larger tasks spill.
+MAX_TASKS = 30_000
+
 
 def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) -> DataFrame:
     """The orders under ``sf_dir`` as topic records.
@@ -58,7 +61,7 @@ def _spread(lines: DataFrame, total: int, keys: list[str]) -> DataFrame:
 
     Where the session's number does, it is left to Spark, which then merges small partitions.
     """
-    tasks = math.ceil(total / LINES_PER_TASK)
+    tasks = min(math.ceil(total / LINES_PER_TASK), MAX_TASKS)
     if tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return lines.repartition(tasks, *keys)
     return lines.repartition(*keys)
