@@ -68,5 +68,7 @@ def start_job(
 
 def run_job(spark: SparkSession, **settings) -> None:
     """Start the job and wait until either query ends; the failure of a query is raised here."""
+    # Otherwise a query that ended earlier in this session would end the wait.
+    spark.streams.resetTerminated()
     start_job(spark, **settings)
     spark.streams.awaitAnyTermination()
