@@ -10,7 +10,7 @@ from tests.conftest import SF_DIR
 from tests.oracle import differences
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
 from tillstream.schemas import TOPIC_SCHEMA
-from tillstream.sources import order_topic
+from tillstream.sources import order_topic, tables
 
 QUERIES = registered.queries()
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents")
@@ -77,8 +77,10 @@ def test_topic_schema(spark):
     assert fields == [" ".join(field.split()) for field in TOPIC_SCHEMA.split(",")]
 
 
-def test_long_orders_are_split(spark):
-    """No invoice is much longer than asked for, no line is lost, and short orders stay whole."""
+@pytest.mark.parametrize("block", [tables.SLIPS_PER_BLOCK, 2])
+def test_long_orders_are_split(spark, monkeypatch, block):
+    """An order has as many invoices as it needs, no line is lost, and short orders stay whole."""
+    monkeypatch.setattr(tables, "SLIPS_PER_BLOCK", block)
     invoices = parse_invoices(order_topic(spark, SF_DIR, max_items=3)).cache()
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     slips = lines.groupBy("l_orderkey").count().selectExpr("sum(ceil(count / 3))").first()[0]

@@ -17,6 +17,9 @@ from tillstream.storage import run_folder
 #: Line items per invoice, about 0.6 MB of text.
 MAX_ITEMS = 5000
 
+#: Invoices of a long order that are numbered together.
+SLIPS_PER_BLOCK = 10_000
+
 #: Line items per task after the shuffle, about 100 MB of text.
 LINES_PER_TASK = 1_000_000
 
@@ -44,8 +47,15 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         keys = ["o_orderkey", "slip"]
         long_orders = tally.filter(F.col("n_lines") > max_items)
         split = _written(long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items)))
-        orders = orders.join(split, "o_orderkey", "left").withColumn(
-            "slip", F.explode(F.sequence(F.lit(0), F.coalesce("n_slips", F.lit(1)) - 1))
+        # Numbered in two steps, so that no array grows with the order.
+        last = F.coalesce("n_slips", F.lit(1)) - 1
+        first_of_block = F.col("block") * SLIPS_PER_BLOCK
+        orders = (
+            orders.join(split, "o_orderkey", "left")
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(last / SLIPS_PER_BLOCK))))
+            .withColumn(
+                "slip", F.explode(F.sequence(first_of_block, F.least(first_of_block + SLIPS_PER_BLOCK - 1, last)))
+            )
         )
         lines = lines.join(split, "o_orderkey", "left").withColumn(
             "slip", F.coalesce(F.pmod("seed", "n_slips"), F.lit(0))
