@@ -57,6 +57,22 @@ def test_query_on_skewed_tables(spark, skewed_dir, name):
     assert differences(result, registered.oracle_sql()[name], skewed_dir) == ({}, {})
 
 
+@pytest.fixture(scope="module")
+def folder_dir(spark, tmp_path_factory):
+    """Each table as a folder of several files."""
+    folder = tmp_path_factory.mktemp("folders")
+    for name in TABLES:
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["parse_invoices", "flatten_line_items", "invoice_job_messages", "event_props"])
+def test_query_on_tables_of_many_files(spark, folder_dir, name):
+    result = QUERIES[name](spark, folder_dir)
+    assert differences(result, registered.oracle_sql()[name], folder_dir) == ({}, {})
+    assert differences(result, registered.oracle_sql()[name], SF_DIR) == ({}, {})
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() == 6000
 
