@@ -47,7 +47,7 @@ def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) ->
         keys = ["o_orderkey", "slip"]
         long_orders = tally.filter(F.col("n_lines") > max_items)
         split = _written(long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items)))
-        # Numbered in two steps, so that no array grows with the order.
+        # Numbered in two steps, so that no array gets long.
         last = F.coalesce("n_slips", F.lit(1)) - 1
         first_of_block = F.col("block") * SLIPS_PER_BLOCK
         orders = (
