@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import compression, decontamination, licenses, mixing, repetition, toxicity, viterbi
+from tillstream.llm import compression, decontamination, forest, licenses, mixing, repetition, toxicity, viterbi
 from tillstream.llm.tables import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _predicted(scores: DataFrame, held_out: Column, least: float) -> DataFrame:
     predicted = (F.col("score") >= least).cast("int").alias("predicted")
     return scores.select("doc_id", held_out.alias("held_out"), "score", predicted)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
