@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import compression, decontamination, forest, licenses, mixing, repetition, toxicity, viterbi
+from tillstream.llm import compression, decontamination, doubling, forest, licenses, mixing, repetition, toxicity, viterbi
 from tillstream.llm.tables import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
