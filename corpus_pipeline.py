@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillstream.llm.decontamination import removed
+from tillstream.llm.forest import one_of_each
 from tillstream.llm.mixing import mixed_documents
 from tillstream.llm.repetition import keep_good
+from tillstream.llm.windows import without_passages
 from tillstream.storage import run_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,6 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group whose sets of five-word shingles are alike to 80 % or more."""
+    return one_of_each(docs, size=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that nearly repeat one of an earlier document."""
+    return without_passages(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages that benchmark items cover."""
     return removed(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -31,6 +43,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("decontamination", decontamination),
     ("source_mixing", source_mixing),
 ]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tillstream.llm.text import ByteHashes, Texts, documents, per_piece, texts_of
+from tillstream.llm.text import Texts, documents, per_piece, texts_of
 
 #: A missing id comes after all others.
 NO_ID = (1 << 63) - 1
@@ -23,8 +25,16 @@ def places(column: pa.Array) -> np.ndarray:
 
 
 def codes(texts: Texts) -> np.ndarray:
-    """31 bits of a hash of each text; they tell documents apart that share an id."""
-    return (ByteHashes(texts.data).of(texts.offset[:-1], texts.offset[1:]) >> np.uint64(33)).astype(np.int64)
+    """31 bits of the CRC of each text; they tell documents apart that share an id."""
+    ends = zip(texts.offset[:-1], texts.offset[1:], strict=True)
+    return np.array([zlib.crc32(texts.data[a:b]) >> 1 for a, b in ends], dtype=np.int64)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows, with columns ``doc_id`` and ``text``, with their place and the code of their text."""
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    return docs.withColumn("place", place).withColumn("code", F.shiftright(F.crc32(raw), 1))
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import compression, decontamination, doubling, forest, licenses, mixing, repetition, toxicity, viterbi
+from tillstream.llm import compression, decontamination, doubling, forest, licenses, mixing, repetition, toxicity, viterbi, windows
 from tillstream.llm.tables import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.toxicity(docs, model), fold(F.col("doc_id"), 5) == 0, 0.5)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of over 50 words that nearly repeat one of an earlier document, with that document's id."""
+    return windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = compression.train(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 

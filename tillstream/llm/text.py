@@ -91,6 +91,10 @@ class Texts:
     def raw(self, i: int) -> bytes:
         return self.data[self.offset[i] : self.offset[i + 1]].tobytes()
 
+    def lower(self) -> Texts:
+        """The texts with A-Z in lower case."""
+        return Texts(_UPPER[self.data], self.offset)
+
 
 @dataclass
 class Words:
@@ -192,20 +196,23 @@ def per_piece(
     return df.mapInArrow(run, schema)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The same rows with columns named by place, but for ``doc_id``, ``text`` and ``n_chars``.
+
+    So other columns may have any names, also those that an operator uses itself.
+    """
+    names = [f"_{i}" for i in range(len(df.columns))]
+    for known in ("doc_id", "text", "n_chars"):
+        if known in df.columns:
+            names[df.columns.index(known)] = known
+    return df.toDF(*names)
+
+
 def rewritten(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = PIECE_BYTES
 ) -> DataFrame:
-    """``work`` on every piece of the rows with all their columns, giving rows of the same columns.
-
-    Inside, columns are named by place, and the texts are called ``text``; so other columns may have any names.
-    """
-    at = df.columns.index("text")
-    names = ["text" if i == at else f"_{i}" for i in range(len(df.columns))]
-    if "doc_id" in df.columns:
-        names[df.columns.index("doc_id")] = "doc_id"
-    if "n_chars" in df.columns:
-        names[df.columns.index("n_chars")] = "n_chars"
-    inner = df.toDF(*names)
+    """``work`` on every piece of the rows with all their columns, named by place, giving rows of the same columns."""
+    inner = by_place(df)
     return per_piece(inner, work, inner.schema, limit).toDF(*df.columns)
 
 
