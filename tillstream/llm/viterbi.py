@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Callable
@@ -57,21 +58,38 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         if vocabulary.pieces:
             self.automaton.make_automaton()
+        self.single = frozenset(piece for piece in vocabulary.pieces if len(piece) == 1)
         # Where no piece has a blank after another character, no piece spans the start of a word, and the best
         # segmentation of a text is that of its words one by one.
         inner = re.compile(f"[^{SPACE}]{SPACE}")
         apart = not any(inner.search(piece) for piece in vocabulary.pieces)
         # Unknown characters in a row may be one piece: a blank must not be one of them.
         apart &= self.fallback or SPACE in vocabulary.pieces
-        self.units: Callable[[str], list[str]] = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if apart else list_of
-        self.memory: dict[str, tuple[int, int]] = {}
+        self.apart = apart
+        self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.memory = Memory(self._best)
 
     def _best(self, unit: str) -> tuple[int, int]:
         """Pieces and unknown characters of the best path.
 
-        As in the tokenizer: paths are extended from each position in turn, shorter pieces first, and a later path
-        replaces an earlier one only if its score is larger. A character that is no piece by itself may be unknown.
+        As in the tokenizer: paths are extended from each position in turn, and a later path to a place replaces an
+        earlier one only if its score is larger. A character that is no piece by itself may be unknown.
         """
+        if not self.single.issuperset(unit):
+            return self._best_with_unknown(unit)
+        # Every place is reached. The automaton gives the matches by their ends, and those of an end longest first, which
+        # is the order of their starts: so all paths to a start are known when it is needed, and ties go to the first.
+        score = [0.0] + [-math.inf] * len(unit)
+        pieces = [0] * len(score)
+        for end, (size, value) in self.automaton.iter(unit):
+            start = end + 1 - size
+            total = score[start] + value
+            if total > score[end + 1]:
+                score[end + 1] = total
+                pieces[end + 1] = pieces[start] + 1
+        return pieces[-1], 0
+
+    def _best_with_unknown(self, unit: str) -> tuple[int, int]:
         n = len(unit)
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         if len(self.automaton):
@@ -104,22 +122,34 @@ class Counter:
         """Pieces and unknown characters of a text. It gets a blank in front, as in the tokenizer; an empty one none."""
         if not text:
             return 0, 0
-        pieces = unknown = 0
-        for unit in self.units(SPACE + text.replace(" ", SPACE)):
-            found = self.memory.get(unit)
-            if found is None:
-                found = self._best(unit)
-                if len(unit) <= 64:
-                    if len(self.memory) >= MEMORY:
-                        self.memory.clear()
-                    self.memory[unit] = found
-            pieces += found[0]
-            unknown += found[1]
-        return pieces, unknown
-
-
-def list_of(text: str) -> list[str]:
-    return [text]
+        if not self.apart:
+            return self._best(SPACE + text.replace(" ", SPACE))
+        if "  " in text or text[0] == " " or SPACE in text:
+            units = self.units(SPACE + text.replace(" ", SPACE))
+        else:
+            units = (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+        total = sum(map(self.memory.__getitem__, units))
+        return total & Memory.LOW, total >> Memory.SHIFT
+
+
+class Memory(dict):
+    """Counts of words, worked out when first asked for: pieces, and above them unknown characters, in one number."""
+
+    SHIFT = 48
+    LOW = (1 << SHIFT) - 1
+
+    def __init__(self, best: Callable[[str], tuple[int, int]]):
+        super().__init__()
+        self.best = best
+
+    def __missing__(self, unit: str) -> int:
+        pieces, unknown = self.best(unit)
+        value = pieces | unknown << self.SHIFT
+        if len(unit) <= 64:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[unit] = value
+        return value
 
 
 #: The last vocabulary's counter, kept by a worker from task to task.
