@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import compression, decontamination, doubling, forest, licenses, mixing, repetition, toxicity, viterbi, windows
+from tillstream.llm.oracles import ORACLES
 from tillstream.llm.tables import fold
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -79,6 +82,4 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
-}
-
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
