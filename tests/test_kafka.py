@@ -21,7 +21,7 @@ import tillstream.streaming.sinks
 from tests.records import HOME_DELIVERY, TAKEAWAY
 from tillstream import __main__ as command_line
 from tillstream.__main__ import arguments
-from tillstream.plans import run_job, start_job
+from tillstream.plans import job, run_job, start_job
 from tillstream.schemas import FLAT_SCHEMA, TOPIC_SCHEMA
 
 
@@ -119,7 +119,7 @@ def test_job_by_broker(spark, broker):
     take_in(spark, broker)
     sent = messages(broker)
     assert [key for key, _ in sent] == ["7001", "7002", None]
-    assert sent[1][1] == '{"CustomerCardNo":"555002","TotalAmount":1750.0,"EarnedLoyaltyPoints":350.0}'
+    assert sent[1][1] == '{"CustomerCardNo":"555002","TotalAmount":1260.0,"EarnedLoyaltyPoints":252.0}'
     assert sent[2][1] == "{}"
     rows = spark.read.schema(FLAT_SCHEMA).json(f"{broker}/output").collect()
     assert sorted(row.ItemCode for row in rows) == ["11", "12", "13"]
@@ -127,7 +127,7 @@ def test_job_by_broker(spark, broker):
 
 def test_source_options_win(spark, broker):
     """An option given by the caller replaces the default."""
-    take_in(spark, broker, lambda: arrive(broker, "7009"), startingOffsets="latest")
+    take_in(spark, broker, lambda: arrive(broker, "7009"), source_options={"startingOffsets": "latest"})
     assert [key for key, _ in messages(broker)] == ["7009"]
 
 
@@ -135,20 +135,51 @@ def test_a_restart_goes_on_from_the_checkpoint(spark, broker):
     """Whatever the starting offsets are: these count on the first start only."""
     take_in(spark, broker)
     arrive(broker, "7009")
-    take_in(spark, broker, startingOffsets="latest")
+    take_in(spark, broker, source_options={"startingOffsets": "latest"})
     take_in(spark, broker)
     assert [key for key, _ in messages(broker)] == ["7001", "7002", None, "7009"]
     rows = spark.read.schema(FLAT_SCHEMA).json(f"{broker}/output").collect()
     assert sorted(row.InvoiceNumber for row in rows) == ["7001", "7001", "7002", "7009", "7009"]
 
 
+def test_both_ends_get_their_options(spark, broker, monkeypatch):
+    seen = {}
+
+    def write(messages, checkpoint, broker, available_now, **options):
+        seen["sink"] = (broker, options)
+        raise InterruptedError
+
+    def read(spark, broker, **options):
+        seen["source"] = (broker, options)
+        return spark.readStream.format("rate").load()
+
+    monkeypatch.setattr(job, "read_topic", read)
+    monkeypatch.setattr(job, "write_topic", write)
+    monkeypatch.setattr(job, "parse_invoices", lambda records: records)
+    monkeypatch.setattr(job, "loyalty_points", lambda invoices: invoices)
+    monkeypatch.setattr(job, "notification_messages", lambda points: points)
+    source, sink = {"kafka.security.protocol": "SSL", "minPartitions": "9"}, {"kafka.security.protocol": "SSL"}
+    with pytest.raises(InterruptedError):
+        start_job(spark, "b:1", "/o", "/c", source_options=source, sink_options=sink)
+    assert seen == {"source": ("b:1", source), "sink": ("b:1", sink)}
+
+
+@pytest.mark.parametrize("end", ["source_options", "sink_options"])
+@pytest.mark.parametrize("name", ["broker", "checkpoints", "available_now", "kafka.bootstrap.servers", "topic"])
+def test_settings_are_refused_as_options(spark, end, name):
+    with pytest.raises(ValueError, match=f"{name} is a setting of the job"):
+        start_job(spark, **{end: {name: "x"}})
+
+
 def test_run_job_raises_the_failure_of_a_query(spark, broker):
-    """Its own query's: those that ended before are forgotten."""
+    """Its own query's, and it leaves none of its queries running; those of others it leaves alone."""
+    other = spark.readStream.format("rate").load().writeStream.format("noop").start()
     take_in(spark, broker)
     (broker / "invoices.jsonl").unlink()
     try:
         with pytest.raises(StreamingQueryException):
             run_job(spark, broker=str(broker), output=f"{broker}/output", checkpoints=f"{broker}/checkpoints")
+        assert [query.id for query in spark.streams.active] == [other.id]
     finally:
         for query in spark.streams.active:
             query.stop()
@@ -174,15 +205,22 @@ def test_arguments():
     args = arguments(["--broker", "b:1", "--source-option", "minPartitions=64", "--source-option", "a=b=c"])
     assert (args.broker, args.output, args.checkpoints) == ("b:1", "output", None)
     assert dict(args.source_option) == {"minPartitions": "64", "a": "b=c"}
+    assert dict(arguments(["--sink-option", "kafka.acks=all"]).sink_option) == {"kafka.acks": "all"}
     assert arguments([]).broker == "localhost:9092"
 
 
 def test_main_passes_the_arguments_on(spark, monkeypatch):
     given = {}
-    monkeypatch.setattr("sys.argv", ["tillstream", "--broker", "b:1", "--source-option", "minPartitions=64"])
+    monkeypatch.setattr("sys.argv", ["tillstream", "--broker", "b:1", "--source-option", "broker=64"])
     monkeypatch.setattr(command_line, "run_job", lambda session, **settings: given.update(settings))
     command_line.main()
-    assert given == {"broker": "b:1", "output": "output", "checkpoints": None, "minPartitions": "64"}
+    assert given == {
+        "broker": "b:1",
+        "output": "output",
+        "checkpoints": None,
+        "source_options": {"broker": "64"},
+        "sink_options": {},
+    }
 
 
 @pytest.mark.parametrize("option", ["minPartitions", "=64"])

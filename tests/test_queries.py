@@ -1,6 +1,6 @@
 """Every registered query against its SQL."""
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -9,10 +9,12 @@ import __spark_entry__ as registered
 from tests.conftest import SF_DIR
 from tests.oracle import differences
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
+from tillstream.plans.catalog import QUERIES
+from tillstream.plans.oracles import ORACLES
 from tillstream.schemas import TOPIC_SCHEMA
-from tillstream.sources import order_topic, tables
+from tillstream.sources import order_topic
+from tillstream.storage import remove_run_folders, run_folder
 
-QUERIES = registered.queries()
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents")
 LONG_ORDER = 4
 
@@ -41,20 +43,22 @@ def skewed_dir(tmp_path_factory):
 
 
 def test_every_query_has_its_sql():
-    assert registered.oracle_sql().keys() == QUERIES.keys()
+    assert ORACLES.keys() == QUERIES.keys()
+    assert QUERIES.items() <= registered.queries().items()
+    assert ORACLES.items() <= registered.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, name):
     result = QUERIES[name](spark, SF_DIR)
     assert not result.isEmpty()
-    assert differences(result, registered.oracle_sql()[name], SF_DIR) == ({}, {})
+    assert differences(result, ORACLES[name], SF_DIR) == ({}, {})
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_on_skewed_tables(spark, skewed_dir, name):
     result = QUERIES[name](spark, skewed_dir)
-    assert differences(result, registered.oracle_sql()[name], skewed_dir) == ({}, {})
+    assert differences(result, ORACLES[name], skewed_dir) == ({}, {})
 
 
 @pytest.fixture(scope="module")
@@ -69,8 +73,8 @@ def folder_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["parse_invoices", "flatten_line_items", "invoice_job_messages", "event_props"])
 def test_query_on_tables_of_many_files(spark, folder_dir, name):
     result = QUERIES[name](spark, folder_dir)
-    assert differences(result, registered.oracle_sql()[name], folder_dir) == ({}, {})
-    assert differences(result, registered.oracle_sql()[name], SF_DIR) == ({}, {})
+    assert differences(result, ORACLES[name], folder_dir) == ({}, {})
+    assert differences(result, ORACLES[name], SF_DIR) == ({}, {})
 
 
 def test_entry(spark):
@@ -93,36 +97,62 @@ def test_topic_schema(spark):
     assert fields == [" ".join(field.split()) for field in TOPIC_SCHEMA.split(",")]
 
 
-@pytest.mark.parametrize("block", [tables.SLIPS_PER_BLOCK, 2])
-def test_long_orders_are_split(spark, monkeypatch, block):
-    """An order has as many invoices as it needs, no line is lost, and short orders stay whole."""
-    monkeypatch.setattr(tables, "SLIPS_PER_BLOCK", block)
-    invoices = parse_invoices(order_topic(spark, SF_DIR, max_items=3)).cache()
-    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-    slips = lines.groupBy("l_orderkey").count().selectExpr("sum(ceil(count / 3))").first()[0]
-    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
-    empty = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_anti")
-    assert invoices.count() == slips + empty.count()
-    split = flatten_line_items(invoices)
-    whole = flatten_line_items(parse_invoices(order_topic(spark, SF_DIR)))
-    assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty()
-    short = invoices.filter("value.NumberOfItems <= 3 and value.NumberOfItems > 0")
-    assert short.filter("size(value.InvoiceLineItems) <> value.NumberOfItems").isEmpty()
-    invoices.unpersist()
+@pytest.fixture(scope="module")
+def long_dir(tmp_path_factory):
+    """One order has 6,000 lines; some keys have more than six digits, and some orders have no key."""
+    folder = tmp_path_factory.mktemp("long")
+    changed = {
+        "orders": """select * replace (case when o_orderkey % 3 = 0 then o_orderkey + 1234560 when o_orderkey % 7 = 1
+                then null else o_orderkey end as o_orderkey) from orders""",
+        "lineitem": f"""select * replace ({LONG_ORDER} as l_orderkey) from
+            (select * from lineitem union all select * from lineitem) limit 6000""",
+    }
+    with duckdb.connect() as connection:
+        for name in TABLES:
+            connection.execute(f"create view {name} as select * from '{SF_DIR}/{name}.parquet'")
+            query = changed.get(name, f"select * from {name}")
+            connection.execute(f"copy ({query}) to '{folder}/{name}.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["parse_invoices", "loyalty_points", "notification_messages", "flatten_line_items"])
+def test_query_on_long_orders_and_keys(spark, long_dir, name):
+    assert differences(QUERIES[name](spark, long_dir), ORACLES[name], long_dir) == ({}, {})
+
+
+def test_an_order_is_one_record_at_any_size(spark, long_dir):
+    invoices = parse_invoices(order_topic(spark, long_dir)).filter(f"value.InvoiceNumber = '{LONG_ORDER}'")
+    (invoice,) = invoices.collect()
+    assert invoice.value.NumberOfItems == len(invoice.value.InvoiceLineItems) == 6000
+    (points,) = loyalty_points(invoices).collect()
+    assert points.EarnedLoyaltyPoints == points.TotalAmount * 0.2
+    assert notification_messages(loyalty_points(invoices)).count() == 1
+
+
+def test_pin_codes_of_long_keys_differ(spark, long_dir):
+    pins = parse_invoices(order_topic(spark, long_dir)).select("value.InvoiceNumber", "value.DeliveryAddress.PinCode")
+    found = {row.InvoiceNumber: row.PinCode for row in pins.filter("length(InvoiceNumber) > 6").collect() if row.PinCode}
+    assert len(found) > 10 and all(key == pin for key, pin in found.items())
+
+
+def test_restarted_stream_writes_the_topic_once(spark, long_dir):
+    remove_run_folders(spark)
+    rows = QUERIES["restarted_stream"](spark, long_dir)
+    folder = rows.inputFiles()[0].rsplit("/output/", 1)[0]
+    topic = spark.read.parquet(f"{folder}/topic")
+    assert topic.count() == spark.read.parquet(f"{long_dir}/orders.parquet").count()
+    starts = spark.read.text(f"{folder}/checkpoints/flatten/commits").count()
+    assert rows.count() == 6000 and starts > 0
+    assert remove_run_folders(spark) == 1 and remove_run_folders(spark) == 0
 
 
-def test_lines_are_dealt_alike_whatever_the_shuffle(spark):
-    """So that a task which is run again, after others have read its first output, gives them the same lines."""
-    dealt = []
-    for partitions, adaptive in (("8", "true"), ("3", "false")):
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-        try:
-            dealt.append(Counter(bytes(row.value) for row in order_topic(spark, SF_DIR, max_items=3).collect()))
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", "8")
-            spark.conf.unset("spark.sql.adaptive.enabled")
-    assert dealt[0] == dealt[1]
+def test_run_folders_are_removed(spark, tmp_path):
+    folder = run_folder(spark)
+    spark.range(3).write.parquet(f"{folder}/table")
+    assert spark.read.parquet(f"{folder}/table").count() == 3
+    remove_run_folders(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/table")
 
 
 def test_items_are_in_line_order(spark):
@@ -143,6 +173,6 @@ def test_created_time_does_not_depend_on_the_session_zone(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         result = QUERIES["flatten_line_items"](spark, SF_DIR)
-        assert differences(result, registered.oracle_sql()["flatten_line_items"], SF_DIR) == ({}, {})
+        assert differences(result, ORACLES["flatten_line_items"], SF_DIR) == ({}, {})
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")

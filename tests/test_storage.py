@@ -1,6 +1,6 @@
 import pytest
 
-from tillstream.storage import run_folder, shared_folder
+from tillstream.storage import checked_place, run_folder, shared_folder
 
 
 class Session:
@@ -8,7 +8,7 @@ class Session:
 
     def __init__(self, master, folder=None):
         self.sparkContext = self.conf = self
-        self.master, self.folder = master, folder
+        self.master, self.folder, self.applicationId = master, folder, "test"
 
     def get(self, name, default):
         assert name == "spark.checkpoint.dir"
@@ -30,3 +30,19 @@ def test_temporary_folder_for_local_sessions_only():
 
 def test_setting_of_a_real_session(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_relative_places_are_refused_on_a_cluster_without_a_common_file_system(spark, monkeypatch):
+    assert checked_place(spark, "output", "the output folder") == "output"  # a local session
+    monkeypatch.setattr("tillstream.storage._local", lambda session: False)
+    assert checked_place(spark, "/mnt/shared/output", "the output folder") == "/mnt/shared/output"
+    assert checked_place(spark, "hdfs://name/output", "the output folder") == "hdfs://name/output"
+    with pytest.raises(ValueError, match="the output folder is the relative path 'output'"):
+        checked_place(spark, "output", "the output folder")
+    hadoop = spark._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "hdfs://name:8020")
+    try:
+        assert checked_place(spark, "output", "the output folder") == "output"
+    finally:
+        hadoop.set("fs.defaultFS", before)

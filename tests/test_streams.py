@@ -1,6 +1,8 @@
 """The streams: micro-batches, restart, fan-out, refusal of other output modes, failure."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.records import HOME_DELIVERY, TAKEAWAY
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
-from tillstream.plans import start_queries
+from tillstream.plans import start_queries, wait_for_any
 from tillstream.schemas import FLAT_SCHEMA, MESSAGE_SCHEMA
 from tillstream.sources import read_topic_files
 from tillstream.streaming import write_files
@@ -96,6 +98,24 @@ def test_restart_takes_in_what_is_new_and_only_that(run):
     assert run.item_codes() == codes(1, 2, 3)
 
 
+def test_late_files_are_read(run):
+    """Also one that is ten days older than the newest file read before."""
+    run.arrive(numbered(1))
+    run.finish(run.flatten())
+    before = set((run.folder / "topic").glob("*.parquet"))
+    run.arrive(numbered(2))
+    old = time.time() - 10 * 24 * 3600
+    for path in set((run.folder / "topic").glob("*.parquet")) - before:
+        os.utime(path, (old, old))
+    run.finish(run.flatten())
+    assert run.item_codes() == codes(1, 2)
+
+
+def test_a_smaller_age_is_the_callers_choice(run):
+    run.arrive(numbered(1))
+    assert run.stream(maxFileAge="1h").isStreaming
+
+
 def test_restart_after_a_failed_batch(run, spark):
     """A batch that fails is done again from the checkpoint, and leaves no half of its rows behind."""
     run.arrive(numbered(1))
@@ -129,8 +149,8 @@ def test_job_feeds_both_sinks(run):
     run.arrive(TAKEAWAY, HOME_DELIVERY, "not json", "", None, TAKEAWAY)
     notify, flatten = run.job()
     run.finish(notify, flatten)
-    taken = ("7001", '{"CustomerCardNo":"555001","TotalAmount":3374.0,"EarnedLoyaltyPoints":674.8000000000001}')
-    brought = ("7002", '{"CustomerCardNo":"555002","TotalAmount":1750.0,"EarnedLoyaltyPoints":350.0}')
+    taken = ("7001", '{"CustomerCardNo":"555001","TotalAmount":2943.0,"EarnedLoyaltyPoints":588.6}')
+    brought = ("7002", '{"CustomerCardNo":"555002","TotalAmount":1260.0,"EarnedLoyaltyPoints":252.0}')
     assert run.keys() == [("", "{}")] * 3 + [taken, taken, brought]
     assert run.item_codes() == sorted(codes(7001) * 2 + [("7002", "13")])
     assert (notify.name, flatten.name) == ("Notification Writer", "Flattened Invoice Writer")
@@ -154,9 +174,9 @@ def test_waiting_ends_with_the_first_query(run, spark):
     spark.streams.resetTerminated()
     notify, flatten = run.job(available_now=False)
     try:
-        assert not spark.streams.awaitAnyTermination(1)
+        assert not wait_for_any([notify, flatten], 1)
         notify.stop()
-        assert spark.streams.awaitAnyTermination(WAIT)
+        assert wait_for_any([notify, flatten], WAIT) and spark.streams.awaitAnyTermination(WAIT)
         assert flatten.isActive
     finally:
         notify.stop()

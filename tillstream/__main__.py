@@ -24,9 +24,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--broker", default=BROKER)
     parser.add_argument("--output", default=OUTPUT_PATH, help="folder of the line-item JSON files")
     parser.add_argument("--checkpoints", help="default: in the folder named by spark.checkpoint.dir")
-    parser.add_argument(
-        "--source-option", type=_option, action="append", default=[], metavar="NAME=VALUE", help="Kafka source option"
-    )
+    for end in ("source", "sink"):
+        parser.add_argument(
+            f"--{end}-option", type=_option, action="append", default=[], metavar="NAME=VALUE", help=f"Kafka {end} option"
+        )
     return parser.parse_args(argv)
 
 
@@ -37,7 +38,8 @@ def main() -> None:
         broker=args.broker,
         output=args.output,
         checkpoints=args.checkpoints,
-        **dict(args.source_option),
+        source_options=dict(args.source_option),
+        sink_options=dict(args.sink_option),
     )
 
 

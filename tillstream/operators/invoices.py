@@ -11,21 +11,24 @@ HEADER_FIELDS = ("InvoiceNumber", "CreatedTime", "StoreID", "PosID", "CustomerTy
 ADDRESS_FIELDS = ("City", "State", "PinCode")
 
 
-def parse_invoices(records: DataFrame) -> DataFrame:
-    """Topic records to one struct column ``value``. A record that cannot be parsed stays, with nulls."""
-    return records.select(parsed_json(F.col("value"), INVOICE_SCHEMA).alias("value"))
+def parse_invoices(records: DataFrame, *keep: str) -> DataFrame:
+    """Topic records to one struct column ``value``. A record that cannot be parsed stays, with nulls.
 
+    The columns ``keep`` of the records stay next to it; so they do in the next two operators.
+    """
+    return records.select(*keep, parsed_json(F.col("value"), INVOICE_SCHEMA).alias("value"))
 
-def loyalty_points(invoices: DataFrame) -> DataFrame:
+
+def loyalty_points(invoices: DataFrame, *keep: str) -> DataFrame:
     """Points for every parsed invoice, whatever its customer type."""
-    return invoices.select("value.InvoiceNumber", "value.CustomerCardNo", "value.TotalAmount").withColumn(
-        "EarnedLoyaltyPoints", earned_points(F.col("TotalAmount"))
-    )
+    fields = ("value.InvoiceNumber", "value.CustomerCardNo", "value.TotalAmount")
+    return invoices.select(*keep, *fields).withColumn("EarnedLoyaltyPoints", earned_points(F.col("TotalAmount")))
 
 
-def notification_messages(points: DataFrame) -> DataFrame:
+def notification_messages(points: DataFrame, *keep: str) -> DataFrame:
     """One keyed message per row of :func:`loyalty_points`."""
     return points.select(
+        *keep,
         F.col("InvoiceNumber").alias("key"),
         json_text("CustomerCardNo", "TotalAmount", "EarnedLoyaltyPoints").alias("value"),
     )

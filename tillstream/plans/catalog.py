@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillstream.functions import parsed_json
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
-from tillstream.plans.job import start_queries
-from tillstream.schemas import FLAT_SCHEMA, MESSAGE_SCHEMA, TOPIC_SCHEMA
+from tillstream.plans.job import start_queries, wait_for_any
+from tillstream.schemas import FLAT_SCHEMA, MESSAGE_SCHEMA
 from tillstream.settings import NOTIFICATION_QUERY
 from tillstream.sources import order_topic, read_topic_files, text_topic
 from tillstream.storage import run_folder
@@ -18,9 +18,6 @@ from tillstream.streaming import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Topic files of one micro-batch at most: enough to keep a large cluster busy, few enough to repeat a failed batch.
-FILES_PER_BATCH = 10_000
-
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar fields of every invoice and of its address."""
@@ -45,8 +42,9 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unreadable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages for records that are no invoices: each still gives one, without key and without fields."""
-    return notification_messages(loyalty_points(parse_invoices(text_topic(spark, sf_dir))))
+    """Messages for records of which half are no invoices: those still give one each, without key and without fields."""
+    records = text_topic(spark, sf_dir).withColumnRenamed("offset", "doc_id")
+    return notification_messages(loyalty_points(parse_invoices(records, "doc_id"), "doc_id"), "doc_id")
 
 
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,34 +70,45 @@ def flatten_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-item query, ended and started again from its checkpoint when later records have arrived."""
-    folder = _topic_folder(spark, sf_dir, "records")
-    records = spark.read.schema(TOPIC_SCHEMA).parquet(f"{folder}/records")
-    early = F.coalesce(F.col("timestamp") < "2000-01-01", F.lit(False))
-    for arrived in (early, ~early):
-        records.filter(arrived).write.mode("append").parquet(f"{folder}/topic")
+    folder = run_folder(spark)
+    # The records of one half of the orders, by key, and later those of the other half.
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    middle = orders.agg(F.percentile_approx("o_orderkey", 0.5)).first()[0]
+    for keys in (lambda key: F.coalesce(key <= middle, F.lit(False)), lambda key: F.coalesce(key > middle, F.lit(True))):
+        order_topic(spark, sf_dir, keys).write.mode("append").parquet(f"{folder}/topic")
         _finish(_flatten(spark, folder))
     return _flattened(spark, folder)
 
 
 def invoice_job(spark: SparkSession, sf_dir: str, result: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """Both queries of the job together on one stream."""
+    """Both queries of the job together on one stream, with the default trigger: they run until they are stopped.
+
+    When all records are taken in, one is stopped; waiting for any of the two then ends, and the other is stopped.
+    """
     folder = _topic_folder(spark, sf_dir)
-    started = start_queries(
-        _stream(spark, folder), _publish(folder), f"{folder}/output", f"{folder}/checkpoints", available_now=True
-    )
-    _finish(*started)
+    publish = partial(_write_messages, f"{folder}/messages", available_now=False)
+    started = start_queries(_stream(spark, folder), publish, f"{folder}/output", f"{folder}/checkpoints")
+    try:
+        for query in started:
+            query.processAllAvailable()
+        started[0].stop()
+        wait_for_any(started)
+    finally:
+        for query in started:
+            query.stop()
     return result(spark, folder)
 
 
-def _topic_folder(spark: SparkSession, sf_dir: str, name: str = "topic") -> str:
+def _topic_folder(spark: SparkSession, sf_dir: str) -> str:
     """A new run folder with the order topic as files."""
     folder = run_folder(spark)
-    order_topic(spark, sf_dir).write.parquet(f"{folder}/{name}")
+    order_topic(spark, sf_dir).write.parquet(f"{folder}/topic")
     return folder
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    return read_topic_files(spark, f"{folder}/topic", maxFilesPerTrigger=str(FILES_PER_BATCH))
+def _stream(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """The topic files as a stream; ``options`` go to the source, such as ``maxFilesPerTrigger``."""
+    return read_topic_files(spark, f"{folder}/topic", **options)
 
 
 def _publish(folder: str) -> Callable[[DataFrame, str], StreamingQuery]:
@@ -107,8 +116,8 @@ def _publish(folder: str) -> Callable[[DataFrame, str], StreamingQuery]:
     return partial(_write_messages, f"{folder}/messages")
 
 
-def _write_messages(path: str, messages: DataFrame, checkpoint: str) -> StreamingQuery:
-    return write_files(messages, path, checkpoint, NOTIFICATION_QUERY, "parquet", available_now=True)
+def _write_messages(path: str, messages: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    return write_files(messages, path, checkpoint, NOTIFICATION_QUERY, "parquet", available_now)
 
 
 def _published(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The job: one parsed stream, two queries."""
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +15,7 @@ from tillstream.settings import (
     OUTPUT_PATH,
 )
 from tillstream.sources import read_topic
-from tillstream.storage import shared_folder
+from tillstream.storage import checked_place, shared_folder
 from tillstream.streaming import write_files, write_topic
 
 
@@ -52,23 +53,60 @@ def start_job(
     output: str = OUTPUT_PATH,
     checkpoints: str | None = None,
     available_now: bool = False,
-    **source_options: str,
+    source_options: Mapping[str, str] | None = None,
+    sink_options: Mapping[str, str] | None = None,
 ) -> list[StreamingQuery]:
-    """Start the job on a Kafka broker. Checkpoints go to the cluster's shared folder unless a folder is given."""
+    """Start the job on a Kafka broker, from which it reads and to which it writes.
+
+    ``source_options`` and ``sink_options`` go to Spark's Kafka source and sink as they are; a secured cluster needs its
+    client settings in both. Checkpoints go to the cluster's shared folder unless a folder is given.
+    """
+    for options in (source_options, sink_options):
+        _refuse_settings(options or {})
     if checkpoints is None:
         checkpoints = "/".join(filter(None, [shared_folder(spark), CHECKPOINT_ROOT]))
+    checked_place(spark, checkpoints, "the checkpoint folder")
+    checked_place(spark, output, "the output folder")
     return start_queries(
-        read_topic(spark, broker, **source_options),
-        lambda messages, checkpoint: write_topic(messages, checkpoint, broker, available_now=available_now),
+        read_topic(spark, broker, **(source_options or {})),
+        lambda messages, checkpoint: write_topic(
+            messages, checkpoint, broker, available_now=available_now, **(sink_options or {})
+        ),
         output,
         checkpoints,
         available_now,
     )
 
 
+#: What is set by arguments of the job, and so for both ends alike.
+_SETTINGS = {"broker", "output", "checkpoints", "available_now", "name", "topic", "messages", "checkpoint", "spark"}
+_SETTINGS |= {"kafka.bootstrap.servers", "checkpointlocation", "subscribe"}
+
+
+def _refuse_settings(options: Mapping[str, str]) -> None:
+    for name in options:
+        if name.lower() in _SETTINGS:
+            raise ValueError(f"{name} is a setting of the job, not an option of its source or sink")
+
+
+def wait_for_any(queries: Sequence[StreamingQuery], seconds: float | None = None) -> bool:
+    """Wait until one of these queries ends; the failure of one is raised here. False if ``seconds`` pass first.
+
+    Unlike Spark's wait for any query of the session, it is not ended by other people's queries, nor by earlier ones.
+    """
+    end = None if seconds is None else time.monotonic() + seconds
+    while end is None or time.monotonic() < end:
+        for query in queries:
+            if query.awaitTermination(0.5):
+                return True
+    return False
+
+
 def run_job(spark: SparkSession, **settings) -> None:
-    """Start the job and wait until either query ends; the failure of a query is raised here."""
-    # Otherwise a query that ended earlier in this session would end the wait.
-    spark.streams.resetTerminated()
-    start_job(spark, **settings)
-    spark.streams.awaitAnyTermination()
+    """Start the job and wait until one of its two queries ends, then stop the other; a failure is raised here."""
+    queries = start_job(spark, **settings)
+    try:
+        wait_for_any(queries)
+    finally:
+        for query in queries:
+            query.stop()

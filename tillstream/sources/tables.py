@@ -1,88 +1,55 @@
-"""Invoice topic records built from the order tables.
+"""Invoice topic records built from the order tables: each order is one record, the invoice with all its line items."""
 
-Each order becomes one topic record that holds the invoice with all its line items as JSON text. A topic record has to
-stay small (a broker takes 1 MB by default), so an order of more than ``max_items`` lines is issued as several invoices
-which repeat its header: its lines are dealt out over the invoices, and no line is lost.
-"""
-
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.functions import json_text
 from tillstream.settings import INVOICE_TOPIC
-from tillstream.storage import run_folder
-
-#: Line items per invoice, about 0.6 MB of text.
-MAX_ITEMS = 5000
-
-#: Invoices of a long order that are numbered together.
-SLIPS_PER_BLOCK = 10_000
-
-#: Line items per task after the shuffle, about 100 MB of text.
-LINES_PER_TASK = 1_000_000
 
-#: Tasks after the shuffle at most. With more, blocks get tiny and the driver's table of them huge; larger tasks spill.
-MAX_TASKS = 30_000
 
+def order_topic(
+    spark: SparkSession, sf_dir: str, keys: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """The orders under ``sf_dir`` as topic records, or those whose key meets the condition ``keys``.
 
-def order_topic(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """The orders under ``sf_dir`` as topic records.
-
-    A count over the order keys of the line items, run here, tells how many tasks the lines need, and whether any order
-    is too long for one invoice. If none is, the lines are grouped by order. Otherwise they are grouped by order and
-    invoice (``slip``), which spreads the lines of a very long order over many tasks.
+    The line items of an order are one group, since they become one document; no job runs before the records are asked
+    for. Orders and lines are each shuffled by order key once.
     """
     # A line without order is in no invoice. There may be many of them, and they would all be one group.
     lineitem = _table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey").isNotNull())
     orders = _orders(spark, sf_dir)
-    lines = _lines(lineitem, _table(spark, sf_dir, "part"))
-    tally = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
-    total, longest = tally.agg(F.coalesce(F.sum("n_lines"), F.lit(0)), F.coalesce(F.max("n_lines"), F.lit(0))).first()
-    keys = ["o_orderkey"]
-    if longest <= max_items:
-        orders = orders.withColumn("n_lines", F.lit(None).cast("bigint"))
-    else:
-        keys = ["o_orderkey", "slip"]
-        long_orders = tally.filter(F.col("n_lines") > max_items)
-        split = _written(long_orders.withColumn("n_slips", F.ceil(F.col("n_lines") / max_items)))
-        # Numbered in two steps, so that no array gets long.
-        last = F.coalesce("n_slips", F.lit(1)) - 1
-        first_of_block = F.col("block") * SLIPS_PER_BLOCK
-        orders = (
-            orders.join(split, "o_orderkey", "left")
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(last / SLIPS_PER_BLOCK))))
-            .withColumn(
-                "slip", F.explode(F.sequence(first_of_block, F.least(first_of_block + SLIPS_PER_BLOCK - 1, last)))
-            )
-        )
-        lines = lines.join(split, "o_orderkey", "left").withColumn(
-            "slip", F.coalesce(F.pmod("seed", "n_slips"), F.lit(0))
-        )
-    # The shuffle is written out: rows travel before they are collected into arrays, which shrinks nothing. And it is by
-    # both keys: after the join above, Spark would group by slip inside one task per long order.
-    items = _spread(lines, total, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return _records(orders.join(items, keys, "left"))
-
-
-def _spread(lines: DataFrame, total: int, keys: list[str]) -> DataFrame:
-    """The lines by their keys over as many tasks as the session sets, or more where each would get too many.
-
-    Where the session's number does, it is left to Spark, which then merges small partitions.
-    """
-    tasks = min(math.ceil(total / LINES_PER_TASK), MAX_TASKS)
-    if tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return lines.repartition(tasks, *keys)
-    return lines.repartition(*keys)
+    if keys is not None:
+        lineitem, orders = lineitem.filter(keys(F.col("l_orderkey"))), orders.filter(keys(F.col("o_orderkey")))
+    # Keys as text, so that orders without key can have one of their own: else they would all go to one task.
+    no_key = F.concat(F.lit("none "), F.xxhash64("o_custkey", "o_orderdate", "o_totalprice").cast("string"))
+    orders = orders.withColumn("order", F.coalesce(F.col("o_orderkey").cast("string"), no_key))
+    # The shuffle is written out: rows travel before they are collected into arrays, which shrinks nothing.
+    items = (
+        _lines(lineitem, _table(spark, sf_dir, "part"))
+        .repartition("order")
+        .groupBy("order")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+    )
+    return _records(orders.join(items, "order", "left"))
 
 
 def text_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of the documents as topic records. They are prose, so none of them is an invoice."""
-    return _table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").cast("binary").alias("key"),
-        F.col("text").cast("binary").alias("value"),
-        *_position(F.col("doc_id"), F.lit("1970-01-01 00:00:00")),
+    """Two topic records per document: its text, which is prose and so no invoice, and a short invoice about it."""
+    invoice = json_text(
+        F.col("doc_id").cast("string").alias("InvoiceNumber"),
+        F.col("source").alias("CustomerCardNo"),
+        F.col("n_chars").cast("double").alias("TotalAmount"),
+    )
+    return (
+        _table(spark, sf_dir, "documents")
+        .withColumn("record", F.explode(F.array("text", invoice)))
+        .select(
+            F.col("doc_id").cast("string").cast("binary").alias("key"),
+            F.col("record").cast("binary").alias("value"),
+            *_position(F.col("doc_id"), F.lit("1970-01-01 00:00:00")),
+        )
     )
 
 
@@ -97,17 +64,6 @@ def _position(offset: Column, timestamp: Column) -> list[Column]:
     ]
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder.
-
-    Of a table Spark knows the size, so that it broadcasts a small one. And adaptive execution splits a skewed join only
-    where both sides are shuffled as they come, without an aggregate after the shuffle.
-    """
-    path = f"{run_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -126,26 +82,17 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Order key, line item, and a number to deal the lines of a long order by.
-
-    The number comes from the row's place in the scanned files and is taken before any shuffle, so a task that is run
-    again gives each line the same number.
-    """
-    return (
-        lineitem.withColumn("seed", F.xxhash64(F.monotonically_increasing_id()))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .select(
-            F.col("l_orderkey").alias("o_orderkey"),
-            "seed",
-            F.struct(
-                "l_linenumber",
-                F.col("l_partkey").cast("string").alias("ItemCode"),
-                F.col("p_name").alias("ItemDescription"),
-                F.col("p_retailprice").alias("ItemPrice"),
-                F.col("l_quantity").cast("int").alias("ItemQty"),
-                F.col("l_extendedprice").alias("TotalValue"),
-            ).alias("item"),
-        )
+    """Order key, as text, and line item. The field ItemQty is an int: a fraction of a quantity is cut off."""
+    return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+        F.col("l_orderkey").cast("string").alias("order"),
+        F.struct(
+            "l_linenumber",
+            F.col("l_partkey").cast("string").alias("ItemCode"),
+            F.col("p_name").alias("ItemDescription"),
+            F.col("p_retailprice").alias("ItemPrice"),
+            F.col("l_quantity").cast("int").alias("ItemQty"),
+            F.col("l_extendedprice").alias("TotalValue"),
+        ).alias("item"),
     )
 
 
@@ -169,7 +116,7 @@ def _records(invoices: DataFrame) -> DataFrame:
         F.when(F.col("c_mktsegment") == "BUILDING", "PRIME").otherwise("NONPRIME").alias("CustomerType"),
         card.alias("CustomerCardNo"),
         total.alias("TotalAmount"),
-        F.coalesce("n_lines", F.array_size("items"), F.lit(0)).alias("NumberOfItems"),
+        F.coalesce(F.array_size("items"), F.lit(0)).alias("NumberOfItems"),
         F.when(F.col("o_orderpriority") < "3", "CARD").otherwise("CASH").alias("PaymentMethod"),
         total.alias("TaxableAmount"),
         (total * 0.025).alias("CGST"),
@@ -182,7 +129,7 @@ def _records(invoices: DataFrame) -> DataFrame:
                 F.col("c_name").alias("AddressLine"),
                 F.col("n_name").alias("City"),
                 F.col("r_name").alias("State"),
-                F.lpad(number, 6, "0").alias("PinCode"),
+                F.when(number.isNotNull(), F.format_string("%06d", "o_orderkey")).alias("PinCode"),
                 card.alias("ContactNumber"),
             ),
         ).alias("DeliveryAddress"),

@@ -12,6 +12,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder.rstrip("/") if folder else None
 
 
+#: Run folders that have not been removed, by application.
+_made: dict[str, list[str]] = {}
+
+
 def run_folder(spark: SparkSession) -> str:
     """A new folder name for the tables of one run, in the shared folder.
 
@@ -19,7 +23,39 @@ def run_folder(spark: SparkSession) -> str:
     """
     folder = shared_folder(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.gettempdir()
-    return f"{folder}/tillstream-{uuid.uuid4().hex}"
+    made = f"{folder}/tillstream-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def remove_run_folders(spark: SparkSession) -> int:
+    """Remove what the runs of this session have written so far, and say how many folders there were.
+
+    For a caller who has read all results: a DataFrame that reads such a folder cannot be used any more.
+    """
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
+
+
+def checked_place(spark: SparkSession, place: str, what: str) -> str:
+    """The place itself, unless executors of a cluster could not all find it.
+
+    A relative path is taken in the default file system. Where that is each machine's own, it is refused.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if not _local(spark) and not path.isAbsolute():
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default.startswith("file:"):
+            raise ValueError(f"{what} is the relative path {place!r}: give a folder that all executors share")
+    return place
+
+
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
