@@ -1,0 +1,70 @@
+import pytest
+
+from tests.conftest import SF_DIR
+
+WORDS = "alder birch cedar dogwood elm fir gum hazel ivy juniper kapok larch maple nutmeg oak pine quince rowan sorrel teak"
+PROSE = " ".join(f"{word}{i % 7}{i}" for i in range(40) for word in WORDS.split()[i % 5 : i % 5 + 4])
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SF_DIR}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="session")
+def labels(spark):
+    return spark.read.parquet(f"{SF_DIR}/labels.parquet")
+
+
+@pytest.fixture(scope="session")
+def benchmark_items(spark):
+    return spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+
+
+#: Names that operators use for columns of their own.
+EXTRA = ["n_words", "place", "code", "node", "a", "kept", "spans", "size", "taken", "label", "packed", "DOC_ID"]
+
+
+def table(spark, rows):
+    """Documents from (doc_id, text) pairs, with further columns of clashing names."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(
+        f"{name} string" for name in EXTRA
+    )
+    full = [
+        (doc_id, text, None, None if i % 3 == 0 else f"s{i % 3}", None if text is None else len(text), *["x"] * len(EXTRA))
+        for i, (doc_id, text) in enumerate(rows)
+    ]
+    return spark.createDataFrame(full, schema)
+
+
+LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(60_000))
+
+#: Nulls, empty and blank texts, repeated rows, a text twice under two ids, an id with two texts, and a very long text.
+MESSY = [
+    (1, PROSE),
+    (2, PROSE),
+    (2, PROSE),
+    (3, None),
+    (4, ""),
+    (5, " \n\t "),
+    (6, "word"),
+    (7, "Zwei Wörter, drei 🙂🙂 Zeichen"),
+    (8, PROSE + " and then some more words at the end"),
+    (8, "another text of the same id"),
+    (None, PROSE),
+    (None, None),
+    (None, "no id"),
+    (9, LONG),
+    (10, "line\n" * 50),
+    (11, "\x00\x01 odd   blanks here"),
+]
+
+
+@pytest.fixture(scope="session")
+def messy(spark):
+    return table(spark, MESSY).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return table(spark, MESSY).limit(0)

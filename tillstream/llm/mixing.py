@@ -159,13 +159,23 @@ def mixed_documents(
     shard_words: int = SHARD_WORDS,
     seed: int = 1,
 ) -> DataFrame:
-    """The documents that the mix takes words of: their columns, and size, source_size, target and taken."""
-    others = [name for name in docs.columns if name not in ("doc_id", "source")]
-    payload = F.struct(*[F.col(f"`{name}`") for name in others]).alias("payload")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), _size(F.col("text")).alias("size"), payload)
+    """The documents that the mix takes words of: their columns, and size, source_size, target and taken.
+
+    Columns of these names that the documents have already are replaced.
+    """
+    figures = ["size", "source_size", "target", "taken"]
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*places)
+    by_name = {name: F.col(place) for name, place in zip(reversed(docs.columns), reversed(places), strict=True)}
+    others = [(place, name) for place, name in zip(places, docs.columns, strict=True) if name.lower() not in figures]
+    rows = inner.select(
+        by_name["doc_id"].cast("bigint").alias("doc_id"),
+        by_name["source"].cast("string").alias("source"),
+        _size(by_name["text"]).alias("size"),
+        F.struct(*[place for place, _ in others]).alias("payload"),
+    )
     sizes = written(rows.drop("payload"), "sizes")
     plan = _planned(sizes, weights, block_words, shard_words)
     shares = written(_shares(sizes, plan, seed), "shares")
     taken = _taken(_sharded(rows, plan, seed), shares, block_words).filter(F.col("taken") > 0)
-    figures = [name for name in ("size", "source_size", "target", "taken") if name not in others]
-    return taken.select("doc_id", "source", "payload.*", *figures)
+    return taken.select("payload.*", *figures).toDF(*[name for _, name in others], *figures)

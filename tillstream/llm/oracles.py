@@ -23,7 +23,7 @@ words as (
   select doc_id, count(distinct x) as n
   from (select doc_id, unnest(range(i, i + k)) as x from (select distinct doc_id, i, k from hits)) group by doc_id
 ), items as (
-  select doc_id, count(*) as n, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+  select doc_id, count(item_id) as n, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
   from (select distinct doc_id, item_id from hits) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.n, 0) as bigint) as n_hit,
