@@ -16,12 +16,15 @@ from tillstream.llm.text import LETTERS, documents, lists, per_piece, texts_of,
 
 SCHEMA = "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>"
 
-#: Labelled examples of either class, terms that tell the classes apart, and how clearly they must (chi squared).
-EXAMPLES = 2000
+#: Labelled examples of either class, and terms that tell the classes apart.
+EXAMPLES = 4000
 MAX_TERMS = 4096
+#: How clearly they must: chi squared, and chi squared for each example.
 MIN_CHI2 = 30.0
-#: Neighbours that vote.
+MIN_EFFECT = 0.01
+#: Neighbours that vote, and the power of the cosine that their votes count by.
 NEIGHBOURS = 15
+POWER = 4
 #: Examples of a block of the index.
 BLOCK = 64
 
@@ -55,7 +58,7 @@ def _telling_terms(texts: DataFrame, size: tuple[int, int], max_terms: int, min_
     a, b = F.col("a"), F.col("b")
     rest = F.greatest(F.lit(0.0), n0 + n1 - a - b)
     chi2 = (n0 + n1) * F.pow(a * (n1 - b) - b * (n0 - a), F.lit(2.0)) / ((a + b) * rest * n0 * n1 + F.lit(1e-9))
-    chosen = counts.withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
+    chosen = counts.withColumn("chi2", chi2).filter(F.col("chi2") >= max(min_chi2, MIN_EFFECT * (n0 + n1)))
     return [row["word"] for row in chosen.orderBy(F.desc("chi2"), "word").limit(max_terms).collect()]
 
 
@@ -143,8 +146,8 @@ class Model:
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         example = [i for _, i in near]
-        power = np.array([score for score, _ in near]) * self.weight[example]
-        return float((power * self.label[example]).sum() / power.sum())
+        votes = np.array([score for score, _ in near]) ** POWER * self.weight[example]
+        return float((votes * self.label[example]).sum() / votes.sum())
 
 
 def train(
@@ -207,7 +210,7 @@ def train(
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Per document the probability that its label is 1, with the examples that say so.
 
-    The ``k`` examples of the largest TF-IDF cosine vote by cosine and class weight, and the vote is calibrated.
+    The ``k`` examples of the largest TF-IDF cosine vote by a power of it and by class weight, and the vote is calibrated.
 
     One row per row. Texts without any of the terms, also null and empty ones, have no neighbours and the score of no
     evidence. A null id stays null; repeated rows get equal scores; equal cosines go by the example's doc_id. Without
