@@ -5,10 +5,11 @@ from sorting pairs of ranks: that of a position, and that of the position one le
 is unique drop out on the way, and most do so at the first step, without ever being a row:
 
 1. **Anchors.** Of the 32-byte strings in any 100 bytes, the one of the smallest hash is their anchor; it depends on these
-   bytes alone, so equal 100-byte strings have equal anchors at equal offsets. Consecutive starts with the same anchor make
-   a run; there is one for about every 35 bytes. Spark sorts the runs by two ranks, that of the anchor's 32 bytes and that
-   of all bytes of the run. A run that equals an earlier one is repeated as a whole. A run whose anchor no other run has is
-   unique. What is left are runs with the same anchor in different surroundings: the edges of repeated passages.
+   bytes alone, so equal 100-byte strings have equal anchors at equal offsets. Consecutive starts with the same anchor, in
+   the same half of the string, make a run. All strings of a run have 66 bytes in common, the core: the anchor and what
+   follows it, or what is in front of it. Spark sorts the runs by two ranks, that of the core and that of all bytes of the
+   run. A run that equals an earlier one is repeated as a whole. A run whose core no other run has is unique. What is left
+   are runs with the same core in different surroundings: the edges of repeated passages.
 2. **Positions.** For each start in those, Spark sorts the pair of its ranks at 50 bytes: its own, and that of the start
    50 bytes on. Equal pairs are equal strings of 100 bytes, the threshold; all but the earliest are repeated.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillstream.llm.packing import codes, packed, per_unpacked, places
 from tillstream.llm.suffixes import covered, runs
-from tillstream.llm.tables import written
+from tillstream.llm.tables import free_shuffles, written
 from tillstream.llm.text import ByteHashes, Texts, documents, lists, mixed, per_piece, texts_of
 
 #: Bytes of a string that may stand once only.
@@ -37,6 +38,7 @@ LENGTH = 100
 ANCHOR = 32
 
 _LOW = np.uint64(0xFFFFFFFF)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "a bigint, b bigint, place bigint, spot bigint, shape bigint"
 
 
@@ -55,10 +57,10 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Per run: text, first start, number of starts, the anchor's place, and the two ranks."""
+    """Per run: text, first start, number of starts, and the two ranks."""
     n = len(texts.data)
     if n < length:
-        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),) * 2
     hashes = ByteHashes(texts.data)
     at = np.arange(n - anchor + 1)
     rank = hashes.of(at, at + anchor)
@@ -74,10 +76,21 @@ def _runs(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(head)
     count = np.diff(np.append(begin, len(start)))
     start, owner, place = start[begin], owner[begin], place[begin]
-    whole = hashes.of(start, start + count - 1 + length)
-    # The same bytes with the anchor elsewhere in them are another run.
-    whole = mixed(whole + (place - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return owner, start - texts.offset[owner], count, place, rank[place], whole
+    # The two halves of a run, by where the anchor is in the string; either may be empty.
+    half = (length - anchor) // 2
+    cut = np.clip(place - half, start, start + count)
+    parts = []
+    for first, last, low, high in (
+        (start, cut, place - half - 1, place + anchor),
+        (cut, start + count, place, place + length - half),
+    ):
+        some = np.flatnonzero(last > first)
+        first, last = first[some], last[some]
+        core = hashes.of(low[some], high[some])
+        # The same bytes with the anchor elsewhere in them are another run.
+        whole = mixed(hashes.of(first, last - 1 + length) + (place[some] - first).astype(np.uint64) * _BASE)
+        parts.append((owner[some], first - texts.offset[owner[some]], last - first, core, whole))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
 def _spots(code: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -119,7 +132,7 @@ def _local(
     again = order[later]
     o, s, e = _merged(owner[again], start[again], start[again] + count[again] - 1 + length, texts)
     # What is certain goes along under a rank of its own.
-    tag = mixed(code[o].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
+    tag = mixed(code[o].astype(np.uint64) * _BASE + s.astype(np.uint64)).view(np.int64)
     columns = [
         np.concatenate([a[kept], tag]),
         np.concatenate([b[kept], e]),
@@ -133,21 +146,21 @@ def _local(
 def _sorted_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(piece.column("text"))
-        owner, start, count, _, a, b = _runs(texts, length, anchor)
+        owner, start, count, a, b = _runs(texts, length, anchor)
         return _local(texts, places(piece.column("doc_id")), codes(texts), a, b, owner, start, count, length)
 
     rows = per_piece(documents(docs), work, _ROWS)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # By ranges of both ranks: an anchor with very many surroundings is split like all the rest.
+    # By ranges of both ranks: a core with very many surroundings is split like all the rest.
     return rows.repartitionByRange(partitions, "a", "b").sortWithinPartitions("a", "b", "place", "spot")
 
 
 def _judged(rows: DataFrame, length: int, edges: bool) -> DataFrame:
-    """From sorted rows: the stretches that repeat (``end`` set), and, with ``edges``, the runs whose anchor stands in
+    """From sorted rows: the stretches that repeat (``end`` set), and, with ``edges``, the runs whose core stands in
     different surroundings (``n`` set).
 
-    A group of equal pairs lies in one partition; its first row is carried from batch to batch. Whether an anchor has
-    other surroundings is not known where its rows are cut off; then the run counts as an edge, which costs a few rows and
+    A group of equal pairs lies in one partition; its first row is carried from batch to batch. Whether a core has other
+    surroundings is not known where its rows are cut off; then the run counts as an edge, which costs a few rows and
     changes no result.
     """
 
@@ -181,7 +194,7 @@ def _judged(rows: DataFrame, length: int, edges: bool) -> DataFrame:
                     alone = np.ones(len(at), dtype=bool)
                     alone[1:] &= names[1:] != names[:-1]
                     alone[:-1] &= names[1:] != names[:-1]
-                    # The anchors at either end of the batch may have more rows outside.
+                    # The cores at either end of the batch may have more rows outside.
                     alone &= (names != a[0]) & (names != a[-1])
                     edge = at[~alone]
             stretches = [np.concatenate(columns) for columns in zip(*ends, strict=True)]
@@ -230,16 +243,19 @@ def _sorted_positions(docs: DataFrame, edges: DataFrame, length: int) -> DataFra
         return _local(texts, place, code, a, b, owner, start, one, length)
 
     texts = packed(docs).join(_by_document(edges, "n"), ["place", "code"])
-    rows = per_unpacked(texts.select("place", "code", "size", "packed", "parts"), work, _ROWS, 4 << 20)
+    rows = per_unpacked(texts.select("place", "code", "size", "packed", "parts"), work, _ROWS, 2 << 20)
     return rows.repartition("a", "b").sortWithinPartitions("a", "b", "place", "spot")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """The stretches to remove, as place, spot, end; they may overlap."""
     judged = written(_judged(_sorted_runs(docs, length, anchor), length, edges=True))
+    free_shuffles(docs.sparkSession)
     edges = judged.filter("n is not null")
     positions = _judged(_sorted_positions(docs, edges, length), length, edges=False)
-    return written(judged.unionAll(positions).filter("end is not null").select("place", "spot", "end"))
+    found = written(judged.unionAll(positions).filter("end is not null").select("place", "spot", "end"))
+    free_shuffles(docs.sparkSession)
+    return found
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -280,4 +296,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,"
         " spans array<struct<first_byte: bigint, end_byte: bigint>>"
     )
-    return per_unpacked(rows, work, schema, 4 << 20)
+    return per_unpacked(rows, work, schema, 2 << 20)

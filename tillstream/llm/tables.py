@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm.text import pick
@@ -11,9 +13,20 @@ from tillstream.storage import run_folder
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows as Parquet files in the cluster's shared folder: lost executors cost nothing that came before."""
-    path = f"{run_folder(df.sparkSession)}/{name}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{run_folder(spark)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which may be long after; the files of all steps of an operator would
+    be on disk together. Python's side lets go of Java objects in the background, about once a second.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fold(doc_id: Column, folds: int) -> Column:
