@@ -22,8 +22,8 @@ DICTIONARY_BYTES = 112_640
 #: Labelled documents of either class that are sampled, and slices of them that the dictionaries are built from.
 SAMPLE_DOCS = 4000
 SAMPLE_SLICES = 4000
-#: Added to the compressed sizes, so that texts of a few bytes tell little.
-HEADER = 64
+#: Added to the size of a text, so that one of a few bytes tells little.
+MARGIN = 8
 LEVEL = 3
 
 
@@ -59,11 +59,11 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def difference(text: bytes, bad: bytes, good: bytes) -> float:
-    """From -1 to 1: how much smaller the good dictionary makes the text than the bad one does."""
+    """How much smaller the good dictionary makes the text than the bad one does, for each of its bytes."""
     with_bad, with_good = _compressor(bad), _compressor(good)
     a = sum(len(with_bad.compress(part)) for part in _slices(text))
     b = sum(len(with_good.compress(part)) for part in _slices(text))
-    return (a - b) / (a + b + HEADER)
+    return (a - b) / (len(text) + MARGIN)
 
 
 def _sample_slices(texts: DataFrame, label: int, most: int) -> list[bytes]:
@@ -111,7 +111,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     """Per document the probability that its label is 1.
 
     Each text is cut into slices of 2 kB, and all of them are compressed once with either dictionary; the difference of
-    the sizes over their sum is calibrated to a score from 0 to 1.
+    the sizes over the text's own size is calibrated to a score from 0 to 1.
 
     One row per row. Null and empty texts compress to nothing and get the score of no evidence; a null id stays null;
     repeated rows get equal scores. Without labels of one kind its dictionary is empty; without any, scores are 0.5. An
