@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +31,49 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return new.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links of each task joined on the spot: every node with the smallest one of its component there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            above = parent.setdefault(node, node)
+            while above != parent[above]:
+                parent[node] = above = parent[above]
+                node = above
+            return above
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        rows = [(node, root(node)) for node in list(parent)]
+        rows = [row for row in rows if row[0] != row[1]]
+        for i in range(0, len(rows), 100_000):
+            columns = [pa.array(column, pa.int64()) for column in zip(*rows[i : i + 100_000], strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return links.mapInArrow(run, "a bigint, b bigint")
+
+
+def _is_flat(links: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, which has none itself."""
+    once = links.groupBy("a").agg(F.count("*").alias("n"))
+    if not once.filter("n > 1").isEmpty():
+        return False
+    return links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Each linked node with the smallest node of its component, as (node, component).
 
-    Large and small stars in turns until nothing changes, which takes a number of rounds that grows with the logarithm
-    of the nodes. Links (a, b) may repeat and may go either way; a node linked with itself alone is left out.
+    Each task joins its own links first. Then large and small stars take turns until each node is linked with the
+    smallest one alone, which takes a number of rounds that grows with the logarithm of the nodes. Links (a, b) may
+    repeat and may go either way; a node linked with itself alone is left out.
     """
-    now = written(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    seen = None
-    while True:
-        now = written(_star(_star(now, large=True), large=False))
-        row = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(row) == seen:
-            break
-        seen = tuple(row)
+    now = written(_contracted(links.select("a", "b").filter(F.col("a") != F.col("b"))))
+    while not _is_flat(now):
+        now = written(_star(written(_star(now, large=True)), large=False))
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return linked.unionAll(now.select("b", "b").distinct().toDF("node", "component"))

@@ -6,29 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.components import components
-from tillstream.llm.tables import written
+from tillstream.llm.tables import free_shuffles, written
 from tillstream.llm.text import PRINTED, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
 
 #: Words of a shingle, and the least percentage of shingles that linked documents have in common.
 SHINGLE = 4
 PERCENT = 80
 #: Hash functions of a signature, trees, and hash values of a tree's key; trees draw their values from the signature.
-HASHES = 64
+HASHES = 128
 TREES = 16
 DEPTH = 8
-#: Documents are compared in a tree if they agree in this many values, with this many neighbours in the tree's order.
+#: Documents are compared in a tree if they agree in this many values, with this many neighbours in the tree's order, and
+#: so many of them that agree best are taken.
 LEAST_DEPTH = 2
-NEIGHBOURS = 32
-#: Pairs whose signatures agree in fewer values are no candidates: of 64, a pair at 80 % agrees in 38 or fewer with a
-#: probability of one in 10,000, in each comparison that the trees make of it.
-AGREEMENT = 38
+NEIGHBOURS = 256
+BEST = 4
+#: Pairs whose sketches agree in fewer values are no candidates. Sketches have four bits of each value, so that one in
+#: sixteen different values agrees too: a pair at 80 % agrees in 104 of 128 on average, and in fewer than 86 with a
+#: probability of 1 in 30,000.
+AGREEMENT = 86
 
 _RANDOM = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _RANDOM.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: How many of the two values of a byte are equal, by the exclusive or of the bytes.
+_EQUAL = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
 _ORDERS = np.array([_RANDOM.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
 
 
@@ -110,12 +115,13 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _trees(nodes: DataFrame) -> DataFrame:
-    """Each node once per tree, with its key there and the low bytes of its signature."""
+    """Each node once per tree, with its key there and the low bits of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = _matrix(batch.column("signature"), 4 * HASHES).reshape(-1, HASHES, 4)
-            sketch = _binary(signature[:, :, 3])
+            low = signature[:, :, 3] & 15
+            sketch = _binary(low[:, ::2] << 4 | low[:, 1::2])
             for tree, order in enumerate(_ORDERS):
                 key = _binary(signature[:, order].reshape(-1, 4 * DEPTH))
                 where = pa.array(np.full(len(batch), tree), pa.int32())
@@ -126,43 +132,42 @@ def _trees(nodes: DataFrame) -> DataFrame:
 
 
 def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among rows in order of tree and key: pairs of nodes, and in how many values their signatures agree.
+    """Candidates among rows in order of tree and key: pairs of nodes, and in how many values their sketches agree.
 
     A row is compared with the rows before it as far as their keys agree in LEAST_DEPTH values, and at most NEIGHBOURS
     of them: in a dense region these are the ones with the longest common prefix, so the depth follows the density. Of
-    the rows that pass, the one of the best agreement, the one of the smallest number and the nearest one are taken.
+    the rows that pass, the ones that agree best are taken, and the one of the smallest number.
     """
     tree = batch.column("tree").to_numpy()
     key = _matrix(batch.column("key"), 4 * DEPTH)
     prefix = np.ascontiguousarray(key[:, : 4 * LEAST_DEPTH]).view(np.uint64).reshape(len(key), -1)
     node = batch.column("node").to_numpy()
     n = batch.column("n").to_numpy()
-    sketch = _matrix(batch.column("sketch"), HASHES)
-    size = len(node)
-    best = np.full(size, -1)
-    chosen = np.full((3, size), -1)
-    agreements = np.zeros((3, size), dtype=np.int64)
+    sketch = _matrix(batch.column("sketch"), HASHES // 2)
+    active = np.arange(len(node))
+    parts = []
     for shift in range(1, NEIGHBOURS + 1):
-        at = np.arange(shift, size)
-        at = at[(prefix[at] == prefix[at - shift]).all(axis=1) & (tree[at] == tree[at - shift])]
-        if not len(at):
+        # In sorted rows, who differs from the row at a distance differs from those farther away.
+        active = active[active >= shift]
+        active = active[(prefix[active] == prefix[active - shift]).all(axis=1) & (tree[active] == tree[active - shift])]
+        if not len(active):
             break
-        other = at - shift
+        other = active - shift
         # Sets of too different sizes cannot reach the percentage.
-        fits = (node[at] != node[other]) & (100 * np.minimum(n[at], n[other]) >= PERCENT * np.maximum(n[at], n[other]))
-        at, other = at[fits], other[fits]
-        agree = (sketch[at] == sketch[other]).sum(axis=1)
-        good = agree >= AGREEMENT
-        at, other, agree = at[good], other[good], agree[good]
-        new = chosen[0, at] < 0
-        chosen[0, at[new]], agreements[0, at[new]] = other[new], agree[new]
-        new = agree > best[at]
-        chosen[1, at[new]], agreements[1, at[new]], best[at[new]] = other[new], agree[new], agree[new]
-        new = (chosen[2, at] < 0) | (node[other] < node[chosen[2, at]])
-        chosen[2, at[new]], agreements[2, at[new]] = other[new], agree[new]
-    rows = np.broadcast_to(np.arange(size), (3, size))
-    some = chosen >= 0
-    return node[rows[some]], node[chosen[some]], agreements[some]
+        fits = 100 * np.minimum(n[active], n[other]) >= PERCENT * np.maximum(n[active], n[other])
+        at, other = active[fits], other[fits]
+        agree = _EQUAL[sketch[at] ^ sketch[other]].sum(axis=1, dtype=np.int64)
+        good = (agree >= AGREEMENT) & (node[at] != node[other])
+        parts.append((at[good], other[good], agree[good]))
+    if not parts:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    at, other, agree = (np.concatenate(column) for column in zip(*parts, strict=True))
+    chosen = np.zeros(len(at), dtype=bool)
+    for most, rank in ((BEST, -agree), (1, node[other])):
+        order = np.lexsort((rank, at))
+        begin = np.searchsorted(at[order], at[order])
+        chosen[order[np.arange(len(order)) - begin < most]] = True
+    return node[at[chosen]], node[other[chosen]], agree[chosen]
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -221,44 +226,30 @@ def _texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
     """The components of the nodes under confirmed links, as (node, component).
 
-    Of the candidates between two components only the best few are confirmed in a round, four times as many each
-    round; what confirmed links have joined needs no further pairs. It ends when every candidate has been confirmed,
-    rejected, or found to lie within a component.
+    First each node is compared with its best candidate and with its smallest one, which joins most of a large group
+    into one component; then all candidates that are still in different components are compared.
     """
     texts = _texts(docs, candidates)
-    rest = candidates
-    links = None
-    labels = None
-    most = 1
-    while True:
-        if labels is None:
-            ends = rest.select("*", F.col("a").alias("ca"), F.col("b").alias("cb"))
-            # First, each node with its best partner and with its smallest one.
-            sides = ends.select("a", "b", F.explode(F.array("a", "b")).alias("of"), "agree")
-            own = sides.groupBy("of").agg(
-                F.max(F.struct("agree", F.negate("a").alias("x"), F.negate("b").alias("y"))).alias("best"),
-                F.min(F.struct(F.when(F.col("agree") >= 50, 0).otherwise(1).alias("low"), "a", "b")).alias("least"),
-            )
-            tried = own.select((-F.col("best.x")).alias("a"), (-F.col("best.y")).alias("b")).unionAll(
-                own.select("least.a", "least.b")
-            )
-            tried = written(tried.distinct())
-        else:
-            between = Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b")
-            tried = written(rest.withColumn("place", F.row_number().over(between)).filter(F.col("place") <= most).select("a", "b"))
-        confirmed = _confirmed(tried, texts, size, percent)
-        links = written(confirmed if links is None else links.unionAll(confirmed))
-        labels = written(components(links))
-        rest = rest.select("a", "b", "agree").join(tried, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-            rest = rest.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-        least, largest = F.least("ca", "cb"), F.greatest("ca", "cb")
-        rest = rest.filter("ca != cb").select("a", "b", "agree", least.alias("ca"), largest.alias("cb"))
-        rest = written(rest)
-        if rest.isEmpty():
-            return labels
-        most *= 4
+    sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("of"), "agree")
+    low = F.when(F.col("agree") >= HASHES * PERCENT // 100, 0).otherwise(1)
+    own = sides.groupBy("of").agg(
+        F.min(F.struct((-F.col("agree")).alias("rank"), "a", "b")).alias("best"),
+        F.min(F.struct(low.alias("rank"), "a", "b")).alias("least"),
+    )
+    tried = written(own.select(F.explode(F.array("best", "least")).alias("pair")).select("pair.a", "pair.b").distinct())
+    labels = components(_confirmed(tried, texts, size, percent))
+    rest = candidates.select("a", "b").join(tried, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = written(rest.filter("ca != cb"))
+    joined = _confirmed(rest, texts, size, percent).join(rest, ["a", "b"])
+    # Components of components: each old one by its smallest node.
+    labels = labels.unionAll(rest.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", "node"))
+    merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    labels = labels.distinct().join(merged, "component", "left")
+    return written(labels.select("node", F.coalesce("whole", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -275,7 +266,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     meta = written(signatures(docs, size))
     nodes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
     nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    labels = _links(docs, written(_candidates(nodes)), size, percent)
+    candidates = written(_candidates(nodes))
+    free_shuffles(docs.sparkSession)
+    labels = _links(docs, candidates, size, percent)
+    free_shuffles(docs.sparkSession)
     sets = nodes.select("set_a", "set_b", "n_shingles", "node")
     rows = meta.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
     rows = rows.join(labels, "node", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ def free_shuffles(spark: SparkSession) -> None:
     be on disk together. Python's side lets go of Java objects in the background, about once a second.
     """
     gc.collect()
+    time.sleep(1.5)
     spark._jvm.System.gc()
 
 
