@@ -273,14 +273,27 @@ def test_calibration():
 
 def test_windows_hold_every_passage_once():
     random = np.random.default_rng(3)
-    for n in (6, 30, 200):
-        values = random.permutation(n).astype(np.uint64)
-        smallest = np.array([i + int(np.argmin(values[i : i + 6])) for i in range(n - 5)])
-        left, centre, right = windows.compact_windows(values, 6, smallest)
-        for i in range(n):
-            for k in range(i + 5, n):
-                c = i + int(np.argmin(values[i : k + 1]))
-                assert sum((left <= i) & (centre == c) & (k <= right)) == 1
+    sizes = np.array([6, 30, 0, 200, 7])
+    end = np.cumsum(sizes)
+    first = end - sizes
+    values = random.permutation(int(end[-1])).astype(np.uint64)
+    starts = [(t, i) for t in range(5) for i in range(first[t], end[t] - 5)]
+    smallest = np.array([i + int(np.argmin(values[i : i + 6])) for _, i in starts])
+    owner = np.array([t for t, _ in starts])
+    text, left, centre, right = windows.compact_windows(values, first, end, smallest, owner)
+    for t, i in starts:
+        for k in range(i + 5, end[t]):
+            c = i + int(np.argmin(values[i : k + 1]))
+            assert sum((left <= i) & (centre == c) & (k <= right) & (text == t)) == 1
+
+
+@given(st.lists(st.booleans(), max_size=40))
+def test_stretches(shared):
+    found = windows._stretches(np.array(shared, dtype=bool), 0.7)
+    assert all(0 <= a < b <= len(shared) and shared[a] and shared[b - 1] for a, b in found)
+    assert all(sum(shared[a:b]) >= 0.7 * (b - a) for a, b in found)
+    assert all(b <= c for (_, b), (c, _) in zip(found, found[1:], strict=False))
+    assert not any(shared[i] for i in range(len(shared)) if not any(a <= i < b for a, b in found)) or found
 
 
 def test_repeated_passages_are_found(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on together. A longer text makes a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[ord("A") : ord("Z") + 1] += 32
