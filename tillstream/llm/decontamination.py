@@ -38,7 +38,7 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 MAX_BENCHMARK_BYTES = 256 << 20
 #: Bytes of training text in one index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
