@@ -18,7 +18,7 @@ SHINGLE = 4
 PERCENT = 80
 #: Hash functions of a signature, trees, and hash values of a tree's key; trees draw their values from the signature.
 HASHES = 128
-TREES = 16
+TREES = 20
 DEPTH = 8
 #: Documents are compared in a tree if they agree in this many values, with this many neighbours in the tree's order, and
 #: so many of them that agree best are taken.
@@ -26,9 +26,9 @@ LEAST_DEPTH = 2
 NEIGHBOURS = 256
 BEST = 4
 #: Pairs whose sketches agree in fewer values are no candidates. Sketches have four bits of each value, so that one in
-#: sixteen different values agrees too: a pair at 80 % agrees in 104 of 128 on average, and in fewer than 86 with a
-#: probability of 1 in 30,000.
-AGREEMENT = 86
+#: sixteen different values agrees too: a pair at 80 % agrees in 104 of 128 on average, and in fewer than 80 with a
+#: probability of 1 in 10 million.
+AGREEMENT = 80
 
 _RANDOM = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _RANDOM.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -283,7 +283,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
+    """The documents that are the first of their group, with all their columns.
+
+    Rows without doc_id stay, and so do rows that repeat one: they are the same document.
+    """
     dropped = written(near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct())
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("doc_id")]
