@@ -42,14 +42,13 @@ def packed(docs: DataFrame) -> DataFrame:
     compressed. Null is an empty text."""
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(piece.column("text"))
-        press = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(places(piece.column("doc_id"))),
                 pa.array(codes(texts)),
                 piece.column("doc_id"),
                 pa.array(np.diff(texts.offset)),
-                pa.array([press(texts.raw(i)) for i in range(len(texts))], pa.binary()),
+                pack(texts.raw(i) for i in range(len(texts))),
             ],
             ["place", "code", "doc_id", "size", "packed"],
         )
@@ -57,9 +56,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return per_piece(documents(docs), work, PACKED)
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
+def pack(values: Iterable[bytes | np.ndarray]) -> pa.Array:
+    press = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    return pa.array([press(value) for value in values], pa.binary())
+
+
+def unpack(values: Iterable[bytes]) -> Texts:
     press = zstandard.ZstdDecompressor().decompress
-    return [press(value) for value in column.to_pylist()]
+    raw = [press(value) for value in values]
+    offset = np.concatenate([[0], np.cumsum([len(value) for value in raw])]).astype(np.int64)
+    return Texts(np.frombuffer(b"".join(raw), dtype=np.uint8), offset)
 
 
 def per_unpacked(
@@ -75,9 +81,7 @@ def per_unpacked(
                 done = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
                 piece = batch.slice(start, stop - start)
-                values = unpacked(piece.column("packed"))
-                offset = np.concatenate([[0], np.cumsum([len(value) for value in values])]).astype(np.int64)
-                yield work(piece, Texts(np.frombuffer(b"".join(values), dtype=np.uint8), offset))
+                yield work(piece, unpack(piece.column("packed").to_pylist()))
                 start = stop
 
     return df.mapInArrow(run, schema)

@@ -32,6 +32,8 @@ def _byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: Bytes of a word in lower case: all but ``[\x00-\x2F\x3A-\x60\x7B-\x7F]``.
 LETTERS = ~_byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+#: A-Z, for words of texts that are not in lower case.
+UPPER = _byte_set((0x41, 0x5A))
 #: Bytes of a word between blanks: all but ``[\x20\x09-\x0D]``.
 PRINTED = ~_byte_set((0x20, 0x20), (0x09, 0x0D))
 
