@@ -4,9 +4,9 @@ A position's rank for a length says which of the strings of that length begins t
 from sorting pairs of ranks: that of a position, and that of the position one length further on. Positions whose string
 is unique drop out on the way, and most do so at the first step, without ever being a row:
 
-1. **Anchors.** Of the 32-byte strings in any 100 bytes, the one of the smallest hash is their anchor; it depends on these
+1. **Anchors.** Of the 24-byte strings in any 100 bytes, the one of the smallest hash is their anchor; it depends on these
    bytes alone, so equal 100-byte strings have equal anchors at equal offsets. Consecutive starts with the same anchor, in
-   the same half of the string, make a run. All strings of a run have 66 bytes in common, the core: the anchor and what
+   the same half of the string, make a run. All strings of a run have 62 bytes in common, the core: the anchor and what
    follows it, or what is in front of it. Spark sorts the runs by two ranks, that of the core and that of all bytes of the
    run. A run that equals an earlier one is repeated as a whole. A run whose core no other run has is unique. What is left
    are runs with the same core in different surroundings: the edges of repeated passages.
@@ -35,7 +35,7 @@ from tillstream.llm.text import ByteHashes, Texts, documents, lists, mixed, per_
 #: Bytes of a string that may stand once only.
 LENGTH = 100
 #: Bytes of an anchor.
-ANCHOR = 32
+ANCHOR = 24
 
 _LOW = np.uint64(0xFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -24,9 +24,11 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs that nothing refers to any more.
 
     It does so when the driver collects its garbage, which may be long after; the files of all steps of an operator would
-    be on disk together. Python's side lets go of Java objects in the background, about once a second.
+    be on disk together. Python's side lets go of Java objects in the background, about once a second, and Spark keeps
+    the last query until another one ends.
     """
     gc.collect()
+    spark.range(1).collect()
     time.sleep(1.5)
     spark._jvm.System.gc()
 
