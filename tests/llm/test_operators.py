@@ -215,6 +215,42 @@ def test_a_large_group_of_near_copies(spark):
     assert found == {i: root(i) for i in sets}
 
 
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_one_link_between_two_groups(spark, partitions):
+    """Every document has many closer ones than the only link between the groups; and there may be more partitions than rows."""
+
+    def edited(words, places, mark):
+        return [f"{mark}{i}" if i in places else word for i, word in enumerate(words)]
+
+    base = [f"w{i}" for i in range(300)]
+    # 8 of 300 words: 265 of 329 shingles, which is 80.5 %; with one more it is 78.4 %.
+    bridge = edited(base, set(range(20, 300, 37)), "b")
+    rows = [(2000, " ".join(base)), (1999, " ".join(bridge))]
+    rows += [(i, " ".join(edited(base, {5 + 37 * (i % 8)}, f"x{i}y"))) for i in range(60)]
+    rows += [(1000 + i, " ".join(edited(bridge, {10 + 37 * (i % 8)}, f"z{i}y"))) for i in range(60)]
+    rows += [(5000, "a text of its own that nothing is like")]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = {row.doc_id: row.component_id for row in forest.near_duplicates(table(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found == {i: 5000 if i == 5000 else 0 for i, _ in rows}
+
+
+def test_regions_of_several_parts(spark, monkeypatch):
+    """All pairs between components are found, whatever parts a region is cut into."""
+    random = np.random.default_rng(2)
+    rows = [(i, " ".join(f"n{i}x{k}" if random.random() < 0.02 else f"w{k}" for k in range(200))) for i in range(60)]
+    nodes = forest.signatures(table(spark, rows)).withColumnRenamed("doc_id", "node").cache()
+    labels = spark.createDataFrame([(i, 0) for i in range(30)], "node bigint, component bigint")
+    found = []
+    for part in (1024, 7):
+        monkeypatch.setattr(forest, "PART", part)
+        found.append({(row.a, row.b) for row in forest._apart(nodes, labels).collect()})
+    assert found[0] == found[1] and len(found[0]) > 500
+    assert all(a < b and b >= 30 for a, b in found[0])
+
+
 # 8: toxicity
 
 

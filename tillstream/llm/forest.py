@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.components import components
+from tillstream.llm.packing import whole_groups
 from tillstream.llm.tables import free_shuffles, written
 from tillstream.llm.text import PRINTED, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
 
@@ -20,11 +21,15 @@ PERCENT = 80
 HASHES = 128
 TREES = 20
 DEPTH = 8
-#: Documents are compared in a tree if they agree in this many values, with this many neighbours in the tree's order, and
-#: so many of them that agree best are taken.
+#: Documents are compared in a tree if they agree in this many values. At first it is with this many neighbours in the
+#: tree's order, and so many of them that agree best are taken; what that leaves apart is compared with all.
 LEAST_DEPTH = 2
 NEIGHBOURS = 256
 BEST = 4
+#: Rows of a part of a region; two parts are compared at a time.
+PART = 1024
+#: Pairs that are put together before they go on.
+CHUNK = 1 << 20
 #: Pairs whose sketches agree in fewer values are no candidates. Sketches have four bits of each value, so that one in
 #: sixteen different values agrees too: a pair at 80 % agrees in 104 of 128 on average, and in fewer than 80 with a
 #: probability of 1 in 10 million.
@@ -131,6 +136,18 @@ def _trees(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "tree int, key binary, node bigint, n bigint, sketch binary")
 
 
+def _alike(
+    at: np.ndarray, other: np.ndarray, n: np.ndarray, sketch: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows whose sizes and sketches allow a link, and in how many values their sketches agree."""
+    # Sets of too different sizes cannot reach the percentage.
+    fits = 100 * np.minimum(n[at], n[other]) >= PERCENT * np.maximum(n[at], n[other])
+    at, other = at[fits], other[fits]
+    agree = _EQUAL[sketch[at] ^ sketch[other]].sum(axis=1, dtype=np.int64)
+    good = agree >= AGREEMENT
+    return at[good], other[good], agree[good]
+
+
 def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among rows in order of tree and key: pairs of nodes, and in how many values their sketches agree.
 
@@ -152,13 +169,7 @@ def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         active = active[(prefix[active] == prefix[active - shift]).all(axis=1) & (tree[active] == tree[active - shift])]
         if not len(active):
             break
-        other = active - shift
-        # Sets of too different sizes cannot reach the percentage.
-        fits = 100 * np.minimum(n[active], n[other]) >= PERCENT * np.maximum(n[active], n[other])
-        at, other = active[fits], other[fits]
-        agree = _EQUAL[sketch[at] ^ sketch[other]].sum(axis=1, dtype=np.int64)
-        good = (agree >= AGREEMENT) & (node[at] != node[other])
-        parts.append((at[good], other[good], agree[good]))
+        parts.append(_alike(active, active - shift, n, sketch))
     if not parts:
         return (np.zeros(0, dtype=np.int64),) * 3
     at, other, agree = (np.concatenate(column) for column in zip(*parts, strict=True))
@@ -173,7 +184,8 @@ def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a < b) of nodes that are near each other in some tree's order, with the agreement of their signatures.
 
-    All trees are sorted together by ranges, so that a dense region is split over tasks like any other.
+    All trees are sorted together by ranges, so that a dense region is split over tasks like any other. These pairs are a
+    start, by which most of a group is joined; ``_apart`` gives all that are left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +204,83 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, agree bigint").distinct()
 
 
+def _crossing(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Pairs of nodes in different components among the rows of each cell (region, i, j), a few at a time."""
+    head = np.ones(len(batch), dtype=bool)
+    for key in ("region", "i", "j"):
+        column = batch.column(key).to_numpy()
+        head[1:] &= column[1:] == column[:-1]
+    head[1:] = ~head[1:]
+    cell = np.cumsum(head)
+    inner = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+    part, node, n, component = (batch.column(name).to_numpy() for name in ("part", "node", "n", "component"))
+    sketch = _matrix(batch.column("sketch"), HASHES // 2)
+    active = np.arange(len(node))
+    pairs: list[np.ndarray] = []
+    for shift in range(1, len(node)):
+        active = active[active >= shift]
+        active = active[cell[active] == cell[active - shift]]
+        if not len(active):
+            break
+        other = active - shift
+        apart = (component[active] != component[other]) & (inner[active] | (part[active] != part[other]))
+        at, other, _ = _alike(active[apart], other[apart], n, sketch)
+        if len(at):
+            pairs.append(np.stack([np.minimum(node[at], node[other]), np.maximum(node[at], node[other])]))
+        if sum(own.shape[1] for own in pairs) >= CHUNK:
+            yield np.unique(np.concatenate(pairs, axis=1), axis=1)
+            pairs = []
+    if pairs:
+        yield np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def _apart(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a < b) of nodes in different components that agree in LEAST_DEPTH values of some tree and whose sizes and
+    sketches allow a link.
+
+    A region is what agrees in those values. Only regions of several components are looked at. A large one is cut into
+    parts, those of its most frequent component and those of the rest, and every two parts that are not both of the
+    former meet in a cell; so no task has a whole region, and a large group is not compared with itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["region", "i", "j"]):
+            for a, b in _crossing(group):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    region = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_DEPTH))
+    trees = _trees(nodes).select(region.alias("region"), "node", "n", "sketch")
+    named = nodes.select("node").join(labels, "node", "left")
+    named = written(named.select("node", F.coalesce("component", "node").alias("component")))
+    trees = trees.join(named, "node")
+    counts = trees.groupBy("region", "component").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("region").agg(
+        F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")
+    )
+    several = written(counts.filter("components > 1").select("region", "total", "most"))
+    rows = trees.join(several, "region")
+    own = F.col("component") == F.col("most.component")
+    parts, rest = F.ceil(F.col("most.n") / PART), F.ceil((F.col("total") - F.col("most.n")) / PART)
+    small, spread = F.col("total") <= PART, F.xxhash64("node")
+    part = F.when(small, 0).when(own, F.pmod(spread, parts)).otherwise(parts + F.pmod(spread, rest))
+    rows = rows.withColumn("part", part.cast("bigint"))
+    part = F.col("part")
+    cells = (
+        F.when(small, F.array(F.struct(part.alias("i"), part.alias("j"))))
+        .when(own, F.transform(F.sequence(parts, parts + rest - 1), lambda j: F.struct(part.alias("i"), j.alias("j"))))
+        .otherwise(
+            F.transform(
+                F.sequence(F.lit(0).cast("bigint"), parts + rest - 1),
+                lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")),
+            )
+        )
+    )
+    rows = rows.select("region", "part", "node", "n", "component", "sketch", F.explode(cells).alias("cell"))
+    rows = rows.select("region", "cell.i", "cell.j", "part", "node", "n", "component", "sketch")
+    rows = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "node")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have at least ``percent`` percent of their shingles in common."""
 
@@ -223,11 +312,32 @@ def _texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return written(rows.select(F.col("doc_id").alias("node"), "text").distinct())
 
 
-def _links(docs: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs in different components, with these as ``ca`` and ``cb``."""
+    rows = pairs.select("a", "b")
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        rows = rows.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return written(rows.filter("ca != cb"))
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The components after those of the pairs that are links have joined them."""
+    links = _confirmed(pairs, texts, size, percent).join(pairs, ["a", "b"])
+    # Components of components: each old one by its smallest node.
+    labels = labels.unionAll(pairs.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", "node"))
+    merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    labels = labels.distinct().join(merged, "component", "left")
+    return written(labels.select("node", F.coalesce("whole", "component").alias("component")))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
     """The components of the nodes under confirmed links, as (node, component).
 
     First each node is compared with its best candidate and with its smallest one, which joins most of a large group
-    into one component; then all candidates that are still in different components are compared.
+    into one component; then all candidates that are still in different components are compared, and last all other
+    pairs between components. Whatever pair is not compared then is in one component already.
     """
     texts = _texts(docs, candidates)
     sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("of"), "agree")
@@ -238,18 +348,15 @@ def _links(docs: DataFrame, candidates: DataFrame, size: int, percent: int) -> D
     )
     tried = written(own.select(F.explode(F.array("best", "least")).alias("pair")).select("pair.a", "pair.b").distinct())
     labels = components(_confirmed(tried, texts, size, percent))
-    rest = candidates.select("a", "b").join(tried, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        rest = rest.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    rest = written(rest.filter("ca != cb"))
-    joined = _confirmed(rest, texts, size, percent).join(rest, ["a", "b"])
-    # Components of components: each old one by its smallest node.
-    labels = labels.unionAll(rest.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", "node"))
-    merged = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    labels = labels.distinct().join(merged, "component", "left")
-    return written(labels.select("node", F.coalesce("whole", "component").alias("component")))
+    rest = _between(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels)
+    labels = _joined(labels, rest, texts, size, percent)
+    free_shuffles(docs.sparkSession)
+    # Candidates between components have been compared.
+    rest = written(_apart(nodes, labels).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    free_shuffles(docs.sparkSession)
+    if rest.isEmpty():
+        return labels
+    return _joined(labels, _between(rest, labels), _texts(docs, rest), size, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -257,7 +364,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     component_id, kept.
 
     Documents with equal sets are one node. The nodes' MinHash signatures are sorted in several orders; neighbours there
-    with long common prefixes and like signatures are candidates; links are confirmed on the full sets of shingles.
+    with long common prefixes and like signatures are candidates; links are confirmed on the full sets of shingles. Then
+    all nodes of different components that share the beginning of a key are compared too, however many they are.
 
     One row per row. Null and empty texts have an empty set and are linked with nothing. Rows that share a doc_id belong
     together. A row without doc_id is linked with nothing, has no component, and is kept. An empty table gives an empty
@@ -268,7 +376,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     candidates = written(_candidates(nodes))
     free_shuffles(docs.sparkSession)
-    labels = _links(docs, candidates, size, percent)
+    labels = _links(docs, nodes, candidates, size, percent)
     free_shuffles(docs.sparkSession)
     sets = nodes.select("set_a", "set_b", "n_shingles", "node")
     rows = meta.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
