@@ -363,6 +363,19 @@ def test_repeated_passages_are_found(spark):
         assert sum(word in texts[row.of_doc].split() for word in part.split()) >= 0.8 * len(part.split())
 
 
+def test_passages_with_more_partitions_than_windows(spark):
+    """Windows of one min-hash meet wherever the ranges are cut."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(9)), shared, *(f"b{i}x{k}" for k in range(9))])) for i in range(8)]
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        found = windows.passages(table(spark, rows).repartition(8)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    whole = {row.doc_id for row in found if row.first_word <= 9 and row.end_word >= 69}
+    assert whole == set(range(1, 8)) and all(row.of_doc < row.doc_id for row in found)
+
+
 def test_exact_passages_of_the_documents(spark):
     """Of all 52-word windows that an earlier document has, nearly all lie in a passage; no clean document has any."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
