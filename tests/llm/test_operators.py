@@ -237,6 +237,20 @@ def test_one_link_between_two_groups(spark, partitions):
     assert found == {i: 5000 if i == 5000 else 0 for i, _ in rows}
 
 
+def test_links_of_a_lower_percentage(spark):
+    """60 of 97 shingles are 62 %; the sizes alone rule such a link out at 80 %."""
+    assert forest.least_agreement(80) == 80
+    rows = []
+    for i in range(30):
+        base = [f"d{i}w{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:63]))]
+    docs = table(spark, rows)
+    found = {row.doc_id: row.component_id for row in forest.near_duplicates(docs, percent=60).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+    with pytest.raises(ValueError):
+        forest.near_duplicates(docs, percent=40)
+
+
 def test_regions_of_several_parts(spark, monkeypatch):
     """All pairs between components are found, whatever parts a region is cut into."""
     random = np.random.default_rng(2)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +23,20 @@ PERCENT = 80
 HASHES = 128
 TREES = 20
 DEPTH = 8
-#: Documents are compared in a tree if they agree in this many values. At first it is with this many neighbours in the
+#: Documents are compared in a tree if they agree in this many values, or in one for links under DEEP percent; with 20 trees
+#: links under LEAST_PERCENT would be missed too often. At first it is with this many neighbours in the
 #: tree's order, and so many of them that agree best are taken; what that leaves apart is compared with all.
 LEAST_DEPTH = 2
+DEEP = 75
+LEAST_PERCENT = 50
 NEIGHBOURS = 256
 BEST = 4
 #: Rows of a part of a region; two parts are compared at a time.
 PART = 1024
 #: Pairs that are put together before they go on.
 CHUNK = 1 << 20
-#: Pairs whose sketches agree in fewer values are no candidates. Sketches have four bits of each value, so that one in
-#: sixteen different values agrees too: a pair at 80 % agrees in 104 of 128 on average, and in fewer than 80 with a
-#: probability of 1 in 10 million.
-AGREEMENT = 80
+#: With what probability the sketches of a link may agree in too few values for a candidate.
+MISSED = 2e-7
 
 _RANDOM = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _RANDOM.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,19 +139,39 @@ def _trees(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "tree int, key binary, node bigint, n bigint, sketch binary")
 
 
+@cache
+def least_agreement(percent: int) -> int:
+    """Pairs whose sketches agree in fewer values are no candidates.
+
+    Sketches have four bits of each value, so that one in sixteen different values agrees too: a pair at 80 % agrees in 104
+    of 128 on average, and in fewer than 80 with a probability of 1 in 10 million.
+    """
+    same = percent / 100 + (1 - percent / 100) / 16
+    total = 0.0
+    for agree in range(HASHES):
+        total += comb(HASHES, agree) * same**agree * (1 - same) ** (HASHES - agree)
+        if total > MISSED:
+            return agree
+    return HASHES
+
+
+def _depth(percent: int) -> int:
+    return LEAST_DEPTH if percent >= DEEP else 1
+
+
 def _alike(
-    at: np.ndarray, other: np.ndarray, n: np.ndarray, sketch: np.ndarray
+    at: np.ndarray, other: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of rows whose sizes and sketches allow a link, and in how many values their sketches agree."""
     # Sets of too different sizes cannot reach the percentage.
-    fits = 100 * np.minimum(n[at], n[other]) >= PERCENT * np.maximum(n[at], n[other])
+    fits = 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
     at, other = at[fits], other[fits]
     agree = _EQUAL[sketch[at] ^ sketch[other]].sum(axis=1, dtype=np.int64)
-    good = agree >= AGREEMENT
+    good = agree >= least_agreement(percent)
     return at[good], other[good], agree[good]
 
 
-def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among rows in order of tree and key: pairs of nodes, and in how many values their sketches agree.
 
     A row is compared with the rows before it as far as their keys agree in LEAST_DEPTH values, and at most NEIGHBOURS
@@ -157,7 +180,7 @@ def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     tree = batch.column("tree").to_numpy()
     key = _matrix(batch.column("key"), 4 * DEPTH)
-    prefix = np.ascontiguousarray(key[:, : 4 * LEAST_DEPTH]).view(np.uint64).reshape(len(key), -1)
+    prefix = np.ascontiguousarray(key[:, : 4 * _depth(percent)]).view(np.uint32).reshape(len(key), -1)
     node = batch.column("node").to_numpy()
     n = batch.column("n").to_numpy()
     sketch = _matrix(batch.column("sketch"), HASHES // 2)
@@ -169,7 +192,7 @@ def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         active = active[(prefix[active] == prefix[active - shift]).all(axis=1) & (tree[active] == tree[active - shift])]
         if not len(active):
             break
-        parts.append(_alike(active, active - shift, n, sketch))
+        parts.append(_alike(active, active - shift, n, sketch, percent))
     if not parts:
         return (np.zeros(0, dtype=np.int64),) * 3
     at, other, agree = (np.concatenate(column) for column in zip(*parts, strict=True))
@@ -181,7 +204,7 @@ def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node[at[chosen]], node[other[chosen]], agree[chosen]
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of nodes that are near each other in some tree's order, with the agreement of their signatures.
 
     All trees are sorted together by ranges, so that a dense region is split over tasks like any other. These pairs are a
@@ -193,7 +216,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             # The last rows of a batch are compared with the first ones of the next.
             rows = batch if ahead is None else pa.concat_batches([ahead, batch])
-            a, b, agree = _near(rows)
+            a, b, agree = _near(rows, percent)
             ahead = rows.slice(max(0, len(rows) - NEIGHBOURS))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), agree]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(row) for row in pairs], ["a", "b", "agree"])
@@ -204,7 +227,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, agree bigint").distinct()
 
 
-def _crossing(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _crossing(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
     """Pairs of nodes in different components among the rows of each cell (region, i, j), a few at a time."""
     head = np.ones(len(batch), dtype=bool)
     for key in ("region", "i", "j"):
@@ -224,7 +247,7 @@ def _crossing(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             break
         other = active - shift
         apart = (component[active] != component[other]) & (inner[active] | (part[active] != part[other]))
-        at, other, _ = _alike(active[apart], other[apart], n, sketch)
+        at, other, _ = _alike(active[apart], other[apart], n, sketch, percent)
         if len(at):
             pairs.append(np.stack([np.minimum(node[at], node[other]), np.maximum(node[at], node[other])]))
         if sum(own.shape[1] for own in pairs) >= CHUNK:
@@ -234,7 +257,7 @@ def _crossing(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate(pairs, axis=1), axis=1)
 
 
-def _apart(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(nodes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All pairs (a < b) of nodes in different components that agree in LEAST_DEPTH values of some tree and whose sizes and
     sketches allow a link.
 
@@ -245,10 +268,10 @@ def _apart(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["region", "i", "j"]):
-            for a, b in _crossing(group):
+            for a, b in _crossing(group, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    region = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST_DEPTH))
+    region = F.xxhash64("tree", F.substring("key", 1, 4 * _depth(percent)))
     trees = _trees(nodes).select(region.alias("region"), "node", "n", "sketch")
     named = nodes.select("node").join(labels, "node", "left")
     named = written(named.select("node", F.coalesce("component", "node").alias("component")))
@@ -341,7 +364,7 @@ def _links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, size: int,
     """
     texts = _texts(docs, candidates)
     sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("of"), "agree")
-    low = F.when(F.col("agree") >= HASHES * PERCENT // 100, 0).otherwise(1)
+    low = F.when(F.col("agree") >= HASHES * percent // 100, 0).otherwise(1)
     own = sides.groupBy("of").agg(
         F.min(F.struct((-F.col("agree")).alias("rank"), "a", "b")).alias("best"),
         F.min(F.struct(low.alias("rank"), "a", "b")).alias("least"),
@@ -352,7 +375,7 @@ def _links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, size: int,
     labels = _joined(labels, rest, texts, size, percent)
     free_shuffles(docs.sparkSession)
     # Candidates between components have been compared.
-    rest = written(_apart(nodes, labels).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = written(_apart(nodes, labels, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
     free_shuffles(docs.sparkSession)
     if rest.isEmpty():
         return labels
@@ -369,12 +392,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     One row per row. Null and empty texts have an empty set and are linked with nothing. Rows that share a doc_id belong
     together. A row without doc_id is linked with nothing, has no component, and is kept. An empty table gives an empty
-    one. Other columns are ignored.
+    one. A ``percent`` under LEAST_PERCENT is refused. Other columns are ignored.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"links under {LEAST_PERCENT} % are not found reliably, so {percent} is refused")
     meta = written(signatures(docs, size))
     nodes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
     nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    candidates = written(_candidates(nodes))
+    candidates = written(_candidates(nodes, percent))
     free_shuffles(docs.sparkSession)
     labels = _links(docs, nodes, candidates, size, percent)
     free_shuffles(docs.sparkSession)
