@@ -148,10 +148,112 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(componen
 from d left join sizes using (doc_id) left join smallest on node = d.doc_id
 """
 
+
+def _crc_of_byte(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+_CRC_TABLE = "[" + ", ".join(f"{_crc_of_byte(byte)}::bigint" for byte in range(256)) + "]"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's bytes in SQL: one step for each byte, with a table of the 256 steps."""
+    numbers = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: cast('0x' || h as bigint))"
+    step = "xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({numbers}, lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint)"
+
+
+SHARDING = f"""
+with crc as (select {_CRC_TABLE} as t),
+d as (
+  select doc_id, coalesce(cast(doc_id as varchar), '-') as k,
+    octet_length(encode(coalesce(text, ''))) + 16 as size, {_crc32("coalesce(text, '')")} as text_crc32
+  from documents cross join crc
+), draws as (
+  select k, s, cast('0x' || substr(sha256(k || ':' || (s // 8)), 1 + 8 * (s % 8), 8) as bigint) as x
+  from (select distinct k from d), (select unnest(range(41)) as s)
+), best as (
+  select k, arg_min(s, (-ln((x + 0.5) / 4294967296.0), s)) filter (where s < 40) as shard,
+    arg_min(s, (-ln((x + 0.5) / 4294967296.0), s)) as grown_shard
+  from draws group by k
+)
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'key' as law,
+  cast(shard as int) as shard,
+  row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot,
+  cast(grown_shard as int) as grown_shard
+from d join best using (k)
+"""
+
+#: Levels of a tree in the SQL: up to 16 ** 4 documents of a source, and as many sources.
+_LEVELS = 4
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(cast({value} as varchar))) || ':' || cast({value} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _level(tree: str, k: int) -> str:
+    """From the nodes (t, i, h) of level ``k``, with what is left and right of each, to those of the next."""
+    return f"""
+{tree}_run{k} as (
+  select t, i, h, count(*) over (partition by t) as n,
+    coalesce(string_agg(h, '') over (partition by t, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over (partition by t, i // 16 order by i rows between 1 following and unbounded following), '') as r
+  from {tree}{k}
+), {tree}{k + 1} as (
+  select t, i // 16 as i, case when n > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h
+  from {tree}_run{k} group by t, i // 16, n
+), """
+
+
+def _fold(leaf: str, tree: str) -> str:
+    for k in range(_LEVELS):
+        at = f"{tree}_p{k}"
+        leaf = f"case when {at}.n > 1 then sha256({at}.l || {leaf} || {at}.r) else {leaf} end"
+    return leaf
+
+
+def _beside(tree: str) -> str:
+    return " || ".join(f"{tree}_p{k}.l || {tree}_p{k}.r" for k in range(_LEVELS))
+
+
+def _path(tree: str, t: str, i: str) -> str:
+    joins = (f"join {tree}_run{k} {tree}_p{k} on {tree}_p{k}.t = {t} and {tree}_p{k}.i = {i} // {16 ** k}" for k in range(_LEVELS))
+    return " ".join(joins)
+
+
+MERKLE = f"""
+with crc as (select {_CRC_TABLE} as t),
+d as (
+  select doc_id, coalesce('=' || source, '-') as t, {_leaf("text")} as h,
+    case when doc_id is not null and {_crc32("cast(doc_id as varchar)")} % 5 = 0
+      then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as changed
+  from documents cross join crc
+), a0 as (
+  select t, row_number() over (partition by t order by doc_id nulls first, h) - 1 as i, h, doc_id, changed from d
+), {"".join(_level("a", k) for k in range(_LEVELS))}
+b0 as (select '' as t, row_number() over (order by a.t) - 1 as i, a.h, a.t as source from a{_LEVELS} a),
+{"".join(_level("b", k) for k in range(_LEVELS))}
+paths as (
+  select a0.doc_id, a0.h as leaf, b0.h as subroot, b{_LEVELS}.h as root, sha256({_beside("a")} || {_beside("b")}) as proof_sha256,
+    {_fold("coalesce(a0.changed, a0.h)", "a")} as below, b0.i as top
+  from a0 {_path("a", "a0.t", "a0.i")} join b0 on b0.source = a0.t {_path("b", "''", "b0.i")} cross join b{_LEVELS}
+), folded as (select paths.*, {_fold("below", "b")} as folded_root from paths {_path("b", "''", "paths.top")})
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op3_quality_rules": QUALITY_RULES,
     "op4_license_scan": LICENSE_SCAN,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op7_near_dedup": NEAR_DEDUP,
+    "op12_merkle_manifest": MERKLE,
+    "op13_sharding": SHARDING,
 }
