@@ -25,7 +25,7 @@ from tillstream.llm.queries import ORACLES, QUERIES
 
 
 def test_all_are_registered():
-    assert len(QUERIES) == 10 and QUERIES.items() <= registered.queries().items()
+    assert len(QUERIES) == 13 and QUERIES.items() <= registered.queries().items()
     assert registered.queries()["pipeline"] is corpus_pipeline.run
     assert ORACLES.items() <= registered.oracle_sql().items()
     assert [name for name, _ in corpus_pipeline.STAGES] == [

@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tillstream.llm.packing import whole_groups
-from tillstream.llm.text import LETTERS, PRINTED, pieces, shingles_of, texts_of, words_of
+from tillstream.llm.text import LETTERS, PRINTED, hashes_of, pieces, shingles_of, texts_of, words_of
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 some_texts = st.lists(st.none() | st.text(st.sampled_from("aAbZ09 \t\n\x0b\r.-éÄ🙂  \x00~"), max_size=30), max_size=6)
@@ -56,3 +56,21 @@ def test_groups_stay_whole(keys, cuts):
     assert [i for group in groups for i in group.column("i").to_pylist()] == list(range(len(keys)))
     seen = [set(group.column("k").to_pylist()) for group in groups]
     assert all(not a & b for n, a in enumerate(seen) for b in seen[:n])
+
+
+def test_long_words_that_fool_polynomials():
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    for size in (1024, 2048):
+        pair = ["".join("ab"[b ^ flip] for b in bits[:size]) for flip in (0, 1)]
+        words = words_of(texts_of(pa.array(pair)), LETTERS)
+        assert len(words.hash) == 2 and words.hash[0] != words.hash[1]
+
+
+@given(st.lists(st.binary(max_size=70), max_size=20))
+def test_hashes_differ_exactly_where_bytes_do(values):
+    data = np.frombuffer(b"".join(values), dtype=np.uint8)
+    end = np.cumsum([len(value) for value in values], dtype=np.int64)
+    start = end - np.array([len(value) for value in values], dtype=np.int64)
+    codes = hashes_of(data, start, end).tolist()
+    assert all((codes[i] == codes[j]) == (values[i] == values[j]) for i in range(len(values)) for j in range(i))

@@ -148,6 +148,24 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(componen
 from d left join sizes using (doc_id) left join smallest on node = d.doc_id
 """
 
+RANKED_SEARCH = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) as w from documents),
+sums as (select count(*) filter (where len(w) > 0) as n, coalesce(sum(len(w)), 0)::bigint as l from d),
+sizes as (select r, doc_id, 50 + (50 * len(w) * n) // l as m from d cross join sums where len(w) > 0),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by r, t),
+weights as (select t, cast(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) as bigint) as w from tf cross join sums group by t),
+items as (select row_number() over () as q, item_id, regexp_extract_all({_LOWER}, {_LETTERS}) as w from benchmark),
+terms as (select distinct q, item_id, unnest(w) as t from items),
+scores as (
+  select q, item_id, r, doc_id, cast(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from terms join weights using (t) join tf using (t) join sizes using (r) group by q, item_id, r, doc_id
+), ranked as (
+  select q, item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from scores where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 50
+"""
+
 
 def _crc_of_byte(byte: int) -> int:
     for _ in range(8):
@@ -254,6 +272,7 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": LICENSE_SCAN,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op7_near_dedup": NEAR_DEDUP,
+    "op11_ranked_search": RANKED_SEARCH,
     "op12_merkle_manifest": MERKLE,
     "op13_sharding": SHARDING,
 }

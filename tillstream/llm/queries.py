@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import compression, decontamination, doubling, forest, licenses, merkle, mixing, repetition, sharding, toxicity, viterbi, windows
+from tillstream.llm import compression, decontamination, doubling, forest, licenses, merkle, mixing, nra, repetition, sharding, toxicity, viterbi, windows
 from tillstream.llm.oracles import ORACLES
 from tillstream.llm.tables import fold
 
@@ -71,6 +71,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(compression.quality(docs, model), fold(F.col("doc_id"), 4) == 2, 0.7)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
     proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sharding": op13_sharding,
 }
\ No newline at end of file
