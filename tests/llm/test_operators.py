@@ -198,21 +198,8 @@ def test_a_large_group_of_near_copies(spark):
             own[at] = f"new{i}x{at}"
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, " ".join(f"{w}{i}" for w in base)) for i in range(50)]
-    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
     found = {row.doc_id: row.component_id for row in forest.near_duplicates(table(spark, rows)).collect()}
-    assert found == {i: root(i) for i in sets}
+    assert found == linked_components(rows)
 
 
 @pytest.mark.parametrize("partitions", ["8", "200"])
@@ -251,18 +238,56 @@ def test_links_of_a_lower_percentage(spark):
         forest.near_duplicates(docs, percent=40)
 
 
-def test_regions_of_several_parts(spark, monkeypatch):
-    """All pairs between components are found, whatever parts a region is cut into."""
+def linked_components(rows, percent=80):
+    """Each document's component, by comparing all pairs."""
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("parts", [(1024, 128, 1 << 20), (7, 5, 1 << 20), (1024, 128, 700)])
+def test_a_group_of_many_documents_that_are_just_not_linked(spark, monkeypatch, parts):
+    """Of some 45,000 pairs in one region few are links; they are found whatever parts regions and clumps are cut into, and
+    no step puts out pairs."""
+    for name, value in zip(("PART", "SETS", "SET_SHINGLES"), parts, strict=True):
+        monkeypatch.setattr(forest, name, value)
     random = np.random.default_rng(2)
-    rows = [(i, " ".join(f"n{i}x{k}" if random.random() < 0.02 else f"w{k}" for k in range(200))) for i in range(60)]
-    nodes = forest.signatures(table(spark, rows)).withColumnRenamed("doc_id", "node").cache()
-    labels = spark.createDataFrame([(i, 0) for i in range(30)], "node bigint, component bigint")
-    found = []
-    for part in (1024, 7):
-        monkeypatch.setattr(forest, "PART", part)
-        found.append({(row.a, row.b) for row in forest._apart(nodes, labels).collect()})
-    assert found[0] == found[1] and len(found[0]) > 500
-    assert all(a < b and b >= 30 for a, b in found[0])
+    rows = []
+    for i in range(150):
+        rate = 0.006 if i % 10 == 0 else 0.032
+        rows.append((i, " ".join(f"n{i}x{k}" if random.random() < rate else f"w{k}" for k in range(200))))
+    expected = linked_components(rows)
+    assert 20 < len(set(expected.values())) < 150
+    given_ = []
+    real = forest._between
+    monkeypatch.setattr(forest, "_between", lambda *args: given_.append(real(*args)) or given_[-1])
+    found = {row.doc_id: row.component_id for row in forest.near_duplicates(table(spark, rows)).collect()}
+    assert found == expected
+    assert given_[0].count() < 40 * len(rows)
+
+
+def test_an_id_of_two_texts(spark):
+    first, second = (" ".join(f"{mark}{i}" for i in range(80)) for mark in "ab")
+    rows = [(2, first), (5, first), (5, second), (9, second), (9, second + " more"), (None, second)]
+    docs = table(spark, rows)
+    found = Counter(tuple(row) for row in forest.near_duplicates(docs).collect())
+    assert found == Counter(
+        [(2, 77, 2, True), (5, 77, 2, False), (5, 77, 5, True), (9, 77, 5, False), (9, 78, 5, False), (None, 77, None, True)]
+    )
+    # A row of each text stays.
+    kept = Counter((row[0], row[1]) for row in forest.one_of_each(docs).collect())
+    assert kept == Counter([(2, first), (5, second), (None, second)])
 
 
 # 8: toxicity

@@ -8,12 +8,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.components import components
 from tillstream.llm.packing import whole_groups
-from tillstream.llm.tables import free_shuffles, written
+from tillstream.llm.tables import content_key, free_shuffles, written
 from tillstream.llm.text import PRINTED, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
 
 #: Words of a shingle, and the least percentage of shingles that linked documents have in common.
@@ -25,16 +25,16 @@ TREES = 20
 DEPTH = 8
 #: Documents are compared in a tree if they agree in this many values, or in one for links under DEEP percent; with 20 trees
 #: links under LEAST_PERCENT would be missed too often. At first it is with this many neighbours in the
-#: tree's order, and so many of them that agree best are taken; what that leaves apart is compared with all.
+#: tree's order; what that leaves apart is compared with all.
 LEAST_DEPTH = 2
 DEEP = 75
 LEAST_PERCENT = 50
 NEIGHBOURS = 256
-BEST = 4
-#: Rows of a part of a region; two parts are compared at a time.
+#: Rows of a part of a region, of which two are compared by sketches at a time; and rows and shingles of a part of a clump, of
+#: which two are compared by their full sets.
 PART = 1024
-#: Pairs that are put together before they go on.
-CHUNK = 1 << 20
+SETS = 128
+SET_SHINGLES = 1 << 20
 #: With what probability the sketches of a link may agree in too few values for a candidate.
 MISSED = 2e-7
 
@@ -91,8 +91,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return data[fixed.offset * width : (fixed.offset + len(fixed)) * width].reshape(-1, width)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return documents(docs).select("doc_id", "text", *content_key(F.col("text")))
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Per document the size of its set, two hashes that tell sets apart, and its signature (null for empty sets)."""
+    """Per document the key of its text, the size of its set, two hashes that tell sets apart, its signature, and the sketch
+    of that, the low bits (both null for empty sets)."""
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(texts_of(piece.column("text"), lower=True), PRINTED)
@@ -102,38 +107,40 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         begin = (np.cumsum(n) - n)[some]
         sums = np.zeros((2, len(piece)), dtype=np.uint64)
         signature: list[bytes | None] = [None] * len(piece)
+        sketch: list[bytes | None] = [None] * len(piece)
         if len(some):
             sums[0, some] = np.add.reduceat(mixed(value), begin)
             sums[1, some] = np.add.reduceat(mixed(value ^ np.uint64(0x5DEECE66D)), begin)
-            for i, row in zip(some.tolist(), _signatures(value, begin), strict=True):
-                signature[i] = row.tobytes()
+            minima = _signatures(value, begin)
+            low = (minima & 15).astype(np.uint8)
+            for i, row, bits in zip(some.tolist(), minima, low[:, ::2] << 4 | low[:, 1::2], strict=True):
+                signature[i], sketch[i] = row.tobytes(), bits.tobytes()
         return pa.RecordBatch.from_arrays(
             [
-                piece.column("doc_id"),
+                *(piece.column(name) for name in ("doc_id", "key_a", "key_b")),
                 pa.array(n.astype(np.int64)),
                 pa.array(sums[0].view(np.int64)),
                 pa.array(sums[1].view(np.int64)),
                 pa.array(signature, pa.binary()),
+                pa.array(sketch, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+            ["doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b", "signature", "sketch"],
         )
 
-    schema = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"
-    return per_piece(documents(docs), work, schema)
+    numbers = ", ".join(f"{name} bigint" for name in ("doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b"))
+    return per_piece(keyed(docs), work, f"{numbers}, signature binary, sketch binary")
 
 
 def _trees(nodes: DataFrame) -> DataFrame:
-    """Each node once per tree, with its key there and the low bits of its signature."""
+    """Each node once per tree, with its key there and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = _matrix(batch.column("signature"), 4 * HASHES).reshape(-1, HASHES, 4)
-            low = signature[:, :, 3] & 15
-            sketch = _binary(low[:, ::2] << 4 | low[:, 1::2])
             for tree, order in enumerate(_ORDERS):
                 key = _binary(signature[:, order].reshape(-1, 4 * DEPTH))
                 where = pa.array(np.full(len(batch), tree), pa.int32())
-                columns = [where, key, batch.column("node"), batch.column("n_shingles"), sketch]
+                columns = [where, key, batch.column("node"), batch.column("n_shingles"), batch.column("sketch")]
                 yield pa.RecordBatch.from_arrays(columns, ["tree", "key", "node", "n", "sketch"])
 
     return nodes.mapInArrow(run, "tree int, key binary, node bigint, n bigint, sketch binary")
@@ -176,7 +183,7 @@ def _near(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray,
 
     A row is compared with the rows before it as far as their keys agree in LEAST_DEPTH values, and at most NEIGHBOURS
     of them: in a dense region these are the ones with the longest common prefix, so the depth follows the density. Of
-    the rows that pass, the ones that agree best are taken, and the one of the smallest number.
+    the rows that pass, the one that agrees best is taken, and the one of the smallest number.
     """
     tree = batch.column("tree").to_numpy()
     key = _matrix(batch.column("key"), 4 * DEPTH)
@@ -197,10 +204,10 @@ def _near(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray,
         return (np.zeros(0, dtype=np.int64),) * 3
     at, other, agree = (np.concatenate(column) for column in zip(*parts, strict=True))
     chosen = np.zeros(len(at), dtype=bool)
-    for most, rank in ((BEST, -agree), (1, node[other])):
+    for rank in (-agree, node[other]):
         order = np.lexsort((rank, at))
         begin = np.searchsorted(at[order], at[order])
-        chosen[order[np.arange(len(order)) - begin < most]] = True
+        chosen[order[np.arange(len(order)) == begin]] = True
     return node[at[chosen]], node[other[chosen]], agree[chosen]
 
 
@@ -208,7 +215,7 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of nodes that are near each other in some tree's order, with the agreement of their signatures.
 
     All trees are sorted together by ranges, so that a dense region is split over tasks like any other. These pairs are a
-    start, by which most of a group is joined; ``_apart`` gives all that are left.
+    start, by which most of a group is joined; ``_between`` finds all links that are left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +234,37 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, agree bigint").distinct()
 
 
-def _crossing(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of nodes in different components among the rows of each cell (region, i, j), a few at a time."""
+class _Sets:
+    """Numbers 0 .. n - 1 in disjoint sets."""
+
+    def __init__(self, n: int):
+        self._above = list(range(n))
+        self.roots = np.arange(n)
+
+    def _root(self, i: int) -> int:
+        above = self._above
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join the sets of each pair; which of the pairs joined two sets that were not joined before."""
+        done = np.zeros(len(a), dtype=bool)
+        for i in np.flatnonzero(self.roots[a] != self.roots[b]).tolist():
+            low, high = sorted((self._root(int(a[i])), self._root(int(b[i]))))
+            if low != high:
+                self._above[high] = low
+                done[i] = True
+        if done.any():
+            self.roots = np.array(self._above)
+            while not np.array_equal(up := self.roots[self.roots], self.roots):
+                self.roots = up
+        return done
+
+
+def _alike_nodes(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes in the cells (region, i, j), those whose sketches allow a link with a node of another component in the
+    cell, each with the first of all nodes that such pairs connect it with."""
     head = np.ones(len(batch), dtype=bool)
     for key in ("region", "i", "j"):
         column = batch.column(key).to_numpy()
@@ -238,8 +274,8 @@ def _crossing(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
     inner = batch.column("i").to_numpy() == batch.column("j").to_numpy()
     part, node, n, component = (batch.column(name).to_numpy() for name in ("part", "node", "n", "component"))
     sketch = _matrix(batch.column("sketch"), HASHES // 2)
+    sets = _Sets(len(node))
     active = np.arange(len(node))
-    pairs: list[np.ndarray] = []
     for shift in range(1, len(node)):
         active = active[active >= shift]
         active = active[cell[active] == cell[active - shift]]
@@ -247,44 +283,21 @@ def _crossing(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
             break
         other = active - shift
         apart = (component[active] != component[other]) & (inner[active] | (part[active] != part[other]))
+        # Nodes that are connected already add nothing.
+        apart &= sets.roots[active] != sets.roots[other]
         at, other, _ = _alike(active[apart], other[apart], n, sketch, percent)
-        if len(at):
-            pairs.append(np.stack([np.minimum(node[at], node[other]), np.maximum(node[at], node[other])]))
-        if sum(own.shape[1] for own in pairs) >= CHUNK:
-            yield np.unique(np.concatenate(pairs, axis=1), axis=1)
-            pairs = []
-    if pairs:
-        yield np.unique(np.concatenate(pairs, axis=1), axis=1)
-
-
-def _apart(nodes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs (a < b) of nodes in different components that agree in LEAST_DEPTH values of some tree and whose sizes and
-    sketches allow a link.
-
-    A region is what agrees in those values. Only regions of several components are looked at. A large one is cut into
-    parts, those of its most frequent component and those of the rest, and every two parts that are not both of the
-    former meet in a cell; so no task has a whole region, and a large group is not compared with itself.
-    """
+        sets.join(at, other)
+    some = np.flatnonzero(sets.roots != np.arange(len(node)))
+    return node[some], node[sets.roots[some]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, ["region", "i", "j"]):
-            for a, b in _crossing(group, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    region = F.xxhash64("tree", F.substring("key", 1, 4 * _depth(percent)))
-    trees = _trees(nodes).select(region.alias("region"), "node", "n", "sketch")
-    named = nodes.select("node").join(labels, "node", "left")
-    named = written(named.select("node", F.coalesce("component", "node").alias("component")))
-    trees = trees.join(named, "node")
-    counts = trees.groupBy("region", "component").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("region").agg(
-        F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")
-    )
-    several = written(counts.filter("components > 1").select("region", "total", "most"))
-    rows = trees.join(several, "region")
-    own = F.col("component") == F.col("most.component")
-    parts, rest = F.ceil(F.col("most.n") / PART), F.ceil((F.col("total") - F.col("most.n")) / PART)
-    small, spread = F.col("total") <= PART, F.xxhash64("node")
+def _cells(rows: DataFrame, group: str, small: Column, own: Column, parts: Column, rest: Column) -> DataFrame:
+    """The rows of each group in parts, and once in each cell of two parts: i, j and part.
+
+    Rows that are ``own`` go to the first ``parts`` parts, which are not compared with each other, the others to the ``rest``
+    behind them. A ``small`` group is one cell.
+    """
+    spread = F.xxhash64("node")
     part = F.when(small, 0).when(own, F.pmod(spread, parts)).otherwise(parts + F.pmod(spread, rest))
     rows = rows.withColumn("part", part.cast("bigint"))
     part = F.col("part")
@@ -298,10 +311,105 @@ def _apart(nodes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataF
             )
         )
     )
-    rows = rows.select("region", "part", "node", "n", "component", "sketch", F.explode(cells).alias("cell"))
-    rows = rows.select("region", "cell.i", "cell.j", "part", "node", "n", "component", "sketch")
+    return rows.withColumn("cell", F.explode(cells)).select(group, "cell.i", "cell.j", "part", "node", "n", "component", "sketch")
+
+
+def _clumps(nodes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The nodes that may have a link with a node of another component, with their component, and so that all such links are
+    within a clump: node, component, clump.
+
+    A region is what agrees in the first values of a tree's keys. Only regions of several components are looked at. A large
+    one is cut into parts, those of its most frequent component and those of the rest, and every two parts that are not
+    both of the former meet in a cell; so no task has a whole region, and a large group is not compared with itself. A
+    cell gives a row for each of its nodes at most, and no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["region", "i", "j"]):
+            yield pa.RecordBatch.from_arrays([pa.array(ends) for ends in _alike_nodes(group, percent)], ["a", "b"])
+
+    region = F.xxhash64("tree", F.substring("key", 1, 4 * _depth(percent)))
+    trees = _trees(nodes).select(region.alias("region"), "node", "n", "sketch").join(named, "node")
+    counts = trees.groupBy("region", "component").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("region").agg(
+        F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")
+    )
+    several = written(counts.filter("components > 1").select("region", "total", "most"))
+    rows = trees.join(several, "region")
+    parts, rest = F.ceil(F.col("most.n") / PART), F.ceil((F.col("total") - F.col("most.n")) / PART)
+    rows = _cells(rows, "region", F.col("total") <= PART, F.col("component") == F.col("most.component"), parts, rest)
     rows = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "node")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    clumps = components(rows.mapInArrow(run, "a bigint, b bigint"))
+    return written(clumps.withColumnRenamed("component", "clump").join(named, "node"))
+
+
+def _linked_components(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the components of a cell's nodes, confirmed on the full sets; one for each two that it joins."""
+    inner = batch.column("i")[0] == batch.column("j")[0]
+    part, n, component = (batch.column(name).to_numpy() for name in ("part", "n", "component"))
+    sketch = _matrix(batch.column("sketch"), HASHES // 2)
+    values = np.concatenate([np.frombuffer(own, dtype=np.int64) for own in batch.column("shingles").to_pylist()])
+    # Shingles as small numbers, so that a set can be marked in a table.
+    distinct, shingle = np.unique(values, return_inverse=True)
+    marked = np.zeros(len(distinct), dtype=bool)
+    end = np.cumsum(n)
+    names, name = np.unique(component, return_inverse=True)
+    sets = _Sets(len(names))
+    links: list[np.ndarray] = []
+    for i in range(1, len(n)):
+        own = sets.roots[name]
+        other = np.flatnonzero((own[:i] != own[i]) & (inner or part[:i] != part[i]))
+        _, other, _ = _alike(np.full(len(other), i), other, n, sketch, percent)
+        if not len(other):
+            continue
+        mine = shingle[end[i] - n[i] : end[i]]
+        marked[mine] = True
+        size = n[other]
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(end[other] - size - begin, size)
+        common = np.add.reduceat(marked[shingle[at]], begin, dtype=np.int64)
+        marked[mine] = False
+        linked = other[100 * common >= percent * (n[i] + size - common)]
+        pairs = np.stack([np.full(len(linked), name[i]), name[linked]])
+        links.append(pairs[:, sets.join(*pairs)])
+    pairs = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
+    return names[pairs[0]], names[pairs[1]]
+
+
+def _set_rows(texts: DataFrame, size: int) -> DataFrame:
+    """Each text's set as the bytes of its shingles."""
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        owner, value = shingle_sets(words_of(texts_of(piece.column("text"), lower=True), PRINTED), size)
+        first = np.searchsorted(owner, np.arange(len(piece) + 1))
+        sets = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return per_piece(texts, work, "node bigint, shingles binary")
+
+
+def _between(docs: DataFrame, nodes: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components: all components that confirmed links connect are connected by these.
+
+    All pairs of nodes of different components that agree in LEAST_DEPTH values of some tree, and whose sizes and sketches
+    allow a link, are in a clump; there their full sets are compared, in cells of two parts of a clump. A cell joins the
+    components that it finds linked on the spot, and gives a row for each two that it has joined, so a component less.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["clump", "i", "j"]):
+            yield pa.RecordBatch.from_arrays([pa.array(ends) for ends in _linked_components(group, percent)], ["a", "b"])
+
+    clumps = _clumps(nodes, named, percent)
+    rows = clumps.join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    sums = rows.groupBy("clump").agg(F.count("*").alias("total"), F.sum("n").alias("sum"))
+    parts = F.greatest(F.ceil(F.col("total") / SETS), F.ceil(F.col("sum") / SET_SHINGLES))
+    none = F.lit(0).cast("bigint")
+    rows = _cells(rows.join(sums, "clump"), "clump", parts <= 1, F.lit(False), none, parts)
+    sets = written(_set_rows(_texts(docs, nodes.join(clumps.select("node"), "node")), size))
+    keys = ["clump", "i", "j"]
+    rows = rows.join(sets, "node").repartitionByRange(*keys).sortWithinPartitions(*keys, "node")
+    return written(rows.mapInArrow(run, "a bigint, b bigint"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -325,61 +433,69 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     rows = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text", "other")
     schema = "a bigint, b bigint, linked boolean"
     # Rows carry two texts, so pieces are half as long.
-    return per_piece(rows, work, schema, 2 << 20).filter("linked").select("a", "b").distinct()
-
-
-def _texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The texts of the nodes that are in a pair."""
-    nodes = written(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    rows = documents(docs).join(nodes, "doc_id")
-    return written(rows.select(F.col("doc_id").alias("node"), "text").distinct())
+    return per_piece(rows, work, schema, 1 << 20).filter("linked").select("a", "b")
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs in different components, with these as ``ca`` and ``cb``."""
-    rows = pairs.select("a", "b")
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        rows = rows.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return written(rows.filter("ca != cb"))
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The text of each of the nodes, found by id and key."""
+    wanted = written(nodes.select("node", F.col("first.doc_id").alias("doc_id"), "first.key_a", "first.key_b").distinct())
+    rows = keyed(docs).join(wanted, ["doc_id", "key_a", "key_b"])
+    return written(rows.select("node", "text").distinct())
 
 
-def _joined(labels: DataFrame, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The components after those of the pairs that are links have joined them."""
-    links = _confirmed(pairs, texts, size, percent).join(pairs, ["a", "b"])
-    # Components of components: each old one by its smallest node.
-    labels = labels.unionAll(pairs.select(F.explode(F.array("ca", "cb")).alias("node")).distinct().select("node", "node"))
-    merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    labels = labels.distinct().join(merged, "component", "left")
-    return written(labels.select("node", F.coalesce("whole", "component").alias("component")))
-
-
-def _links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
-    """The components of the nodes under confirmed links, as (node, component).
-
-    First each node is compared with its best candidate and with its smallest one, which joins most of a large group
-    into one component; then all candidates that are still in different components are compared, and last all other
-    pairs between components. Whatever pair is not compared then is in one component already.
-    """
-    texts = _texts(docs, candidates)
+def _tried(candidates: DataFrame, percent: int) -> DataFrame:
+    """Of each node's candidates the one that agrees best, and the one of the smallest number of those that agree enough."""
     sides = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("of"), "agree")
     low = F.when(F.col("agree") >= HASHES * percent // 100, 0).otherwise(1)
     own = sides.groupBy("of").agg(
         F.min(F.struct((-F.col("agree")).alias("rank"), "a", "b")).alias("best"),
         F.min(F.struct(low.alias("rank"), "a", "b")).alias("least"),
     )
-    tried = written(own.select(F.explode(F.array("best", "least")).alias("pair")).select("pair.a", "pair.b").distinct())
+    return written(own.select(F.explode(F.array("best", "least")).alias("pair")).select("pair.a", "pair.b").distinct())
+
+
+def _labelled(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The nodes with the component they are in, under confirmed links.
+
+    First each node is compared with its best candidate and with its smallest one, which joins most of a large group
+    into one component; then all that are in different components and may be linked are compared.
+    """
+    tried = _tried(_candidates(nodes, percent), percent)
+    ends = tried.select(F.col("a").alias("node")).unionAll(tried.select("b")).distinct()
+    texts = _texts(docs, nodes.join(ends, "node"))
     labels = components(_confirmed(tried, texts, size, percent))
-    rest = _between(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels)
-    labels = _joined(labels, rest, texts, size, percent)
+    named = nodes.select("node").join(labels, "node", "left")
+    named = written(named.select("node", F.coalesce("component", "node").alias("component")))
     free_shuffles(docs.sparkSession)
-    # Candidates between components have been compared.
-    rest = written(_apart(nodes, labels, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
+    merged = components(_between(docs, nodes, named, size, percent))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = named.join(merged, "component", "left")
+    return written(named.select("node", F.coalesce("whole", "component").alias("component")))
+
+
+def _classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per document its key, the size of its set, and its component's first document, by id and key, as ``first``; null for
+    a document that is no node."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"links under {LEAST_PERCENT} % are not found reliably, so {percent} is refused")
+    meta = written(signatures(docs, size))
+    sets = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
+    sets = sets.agg(
+        F.min(F.struct("doc_id", "key_a", "key_b")).alias("first"),
+        F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch"),
+    )
+    # Numbers that are written once, and name a set whatever ids its documents have.
+    nodes = written(sets.withColumn("node", F.monotonically_increasing_id()))
+    labels = _labelled(docs, nodes, size, percent)
     free_shuffles(docs.sparkSession)
-    if rest.isEmpty():
-        return labels
-    return _joined(labels, _between(rest, labels), _texts(docs, rest), size, percent)
+    named = nodes.select("set_a", "set_b", "n_shingles", "node", "first").join(labels, "node")
+    named = written(named)
+    firsts = written(named.groupBy("component").agg(F.min("first").alias("first")))
+    named = named.drop("first", "node").join(firsts, "component").drop("component")
+    rows = meta.drop("signature", "sketch").withColumn("known", F.col("doc_id").isNotNull())
+    named = written(named.withColumn("known", F.lit(True)))
+    return rows.join(named, ["set_a", "set_b", "n_shingles", "known"], "left").drop("set_a", "set_b", "known")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -390,38 +506,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     with long common prefixes and like signatures are candidates; links are confirmed on the full sets of shingles. Then
     all nodes of different components that share the beginning of a key are compared too, however many they are.
 
-    One row per row. Null and empty texts have an empty set and are linked with nothing. Rows that share a doc_id belong
-    together. A row without doc_id is linked with nothing, has no component, and is kept. An empty table gives an empty
-    one. A ``percent`` under LEAST_PERCENT is refused. Other columns are ignored.
+    One row per row. Null and empty texts have an empty set and are linked with nothing. A row without doc_id is linked with
+    nothing, has no component, and is kept. Rows that share a doc_id are documents of their own: each is in the component of
+    its text. An empty table gives an empty one. A ``percent`` under LEAST_PERCENT is refused. Other columns are ignored.
     """
-    if percent < LEAST_PERCENT:
-        raise ValueError(f"links under {LEAST_PERCENT} % are not found reliably, so {percent} is refused")
-    meta = written(signatures(docs, size))
-    nodes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-    nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    candidates = written(_candidates(nodes, percent))
-    free_shuffles(docs.sparkSession)
-    labels = _links(docs, nodes, candidates, size, percent)
-    free_shuffles(docs.sparkSession)
-    sets = nodes.select("set_a", "set_b", "n_shingles", "node")
-    rows = meta.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"], "left")
-    rows = rows.join(labels, "node", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return rows.select(
-        "doc_id",
-        "n_shingles",
-        own.alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"),
-    )
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == own)
+    return _classed(docs, size, percent).select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that are the first of their group, with all their columns.
 
-    Rows without doc_id stay, and so do rows that repeat one: they are the same document.
+    The first is the one of the smallest doc_id, and of the smallest key of its text where ids are equal. So each group keeps
+    a document, also where an id has several texts. Rows without doc_id, and null and empty texts, stay. Rows that repeat
+    id and text are one document and stay together. An empty table gives an empty one. Other columns may have any names.
     """
-    dropped = written(near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct())
+    own = F.struct("doc_id", "key_a", "key_b")
+    dropped = _classed(docs, size, percent).filter(F.col("first").isNotNull() & (F.col("first") != own))
+    dropped = written(dropped.select("doc_id", "key_a", "key_b").distinct())
     names = [f"_{i}" for i in range(len(docs.columns))]
-    at = names[docs.columns.index("doc_id")]
-    inner = docs.toDF(*names)
-    return inner.join(dropped, inner[at].cast("bigint") == dropped["doc_id"], "left_anti").toDF(*docs.columns)
+    at, text = (names[docs.columns.index(name)] for name in ("doc_id", "text"))
+    key_a, key_b = content_key(F.col(text).cast("string"))
+    inner = docs.toDF(*names).withColumn("_key_a", key_a).withColumn("_key_b", key_b)
+    same = (
+        (inner[at].cast("bigint") == dropped["doc_id"])
+        & (inner["_key_a"] == dropped["key_a"])
+        & (inner["_key_b"] == dropped["key_b"])
+    )
+    return inner.join(dropped, same, "left_anti").select(*names).toDF(*docs.columns)

@@ -33,6 +33,11 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def content_key(text: Column) -> list[Column]:
+    """128 bits of hashes of a text, as two columns; they tell rows apart that share an id or have none."""
+    return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit("content"), text).alias("key_b")]
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
