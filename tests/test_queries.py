@@ -1,6 +1,9 @@
 """Every registered query against its SQL."""
 
+import json
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import duckdb
 import pytest
@@ -11,7 +14,7 @@ from tests.oracle import differences
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
 from tillstream.plans.catalog import QUERIES
 from tillstream.plans.oracles import ORACLES
-from tillstream.schemas import TOPIC_SCHEMA
+from tillstream.schemas import FLAT_SCHEMA, TOPIC_SCHEMA
 from tillstream.sources import order_topic
 from tillstream.storage import remove_run_folders, run_folder
 
@@ -135,14 +138,22 @@ def test_pin_codes_of_long_keys_differ(spark, long_dir):
     assert len(found) > 10 and all(key == pin for key, pin in found.items())
 
 
-def test_restarted_stream_writes_the_topic_once(spark, long_dir):
+def test_restarted_stream_takes_each_half_once(spark):
     remove_run_folders(spark)
-    rows = QUERIES["restarted_stream"](spark, long_dir)
+    rows = QUERIES["restarted_stream"](spark, SF_DIR)
     folder = rows.inputFiles()[0].rsplit("/output/", 1)[0]
-    topic = spark.read.parquet(f"{folder}/topic")
-    assert topic.count() == spark.read.parquet(f"{long_dir}/orders.parquet").count()
-    starts = spark.read.text(f"{folder}/checkpoints/flatten/commits").count()
-    assert rows.count() == 6000 and starts > 0
+    topic = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/topic")
+    assert topic.count() == spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
+    assert rows.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    # Two starts, a batch of each, and each batch has the line items of the half that had arrived since.
+    commits = spark.read.text(f"{folder}/checkpoints/flatten/commits").select("_metadata.file_name").distinct().collect()
+    assert {row.file_name for row in commits} == {"0", "1"}
+    for half in (0, 1):
+        log = Path(unquote(urlparse(folder).path), "output", "_spark_metadata", str(half)).read_text().splitlines()
+        files = [json.loads(line)["path"] for line in log[1:]]
+        batch = spark.read.schema(FLAT_SCHEMA).json(files)
+        arrived = flatten_line_items(parse_invoices(spark.read.parquet(f"{folder}/topic/{half}")))
+        assert 0 < batch.count() < rows.count() and batch.exceptAll(arrived).isEmpty() and arrived.exceptAll(batch).isEmpty()
     assert remove_run_folders(spark) == 1 and remove_run_folders(spark) == 0
 
 

@@ -13,7 +13,7 @@ from tillstream.plans.job import start_queries, wait_for_any
 from tillstream.schemas import FLAT_SCHEMA, MESSAGE_SCHEMA
 from tillstream.settings import NOTIFICATION_QUERY
 from tillstream.sources import order_topic, read_topic_files, text_topic
-from tillstream.storage import run_folder
+from tillstream.storage import move_folder, run_folder
 from tillstream.streaming import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,14 +69,16 @@ def flatten_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line-item query, ended and started again from its checkpoint when later records have arrived."""
+    """The line-item query, ended and started again from its checkpoint when later records have arrived.
+
+    The topic is written once, in two halves of its records; a half arrives when its folder is moved into the topic.
+    """
     folder = run_folder(spark)
-    # The records of one half of the orders, by key, and later those of the other half.
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    middle = orders.agg(F.percentile_approx("o_orderkey", 0.5)).first()[0]
-    for keys in (lambda key: F.coalesce(key <= middle, F.lit(False)), lambda key: F.coalesce(key > middle, F.lit(True))):
-        order_topic(spark, sf_dir, keys).write.mode("append").parquet(f"{folder}/topic")
-        _finish(_flatten(spark, folder))
+    half = F.pmod(F.xxhash64("value"), F.lit(2)).alias("half")
+    order_topic(spark, sf_dir).select("*", half).write.partitionBy("half").parquet(f"{folder}/written")
+    for number in range(2):
+        move_folder(spark, f"{folder}/written/half={number}", f"{folder}/topic/{number}")
+        _finish(_flatten(spark, folder, recursiveFileLookup="true"))
     return _flattened(spark, folder)
 
 
@@ -124,8 +126,8 @@ def _published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MESSAGE_SCHEMA).parquet(f"{folder}/messages")
 
 
-def _flatten(spark: SparkSession, folder: str) -> StreamingQuery:
-    rows = flatten_line_items(parse_invoices(_stream(spark, folder)))
+def _flatten(spark: SparkSession, folder: str, **options: str) -> StreamingQuery:
+    rows = flatten_line_items(parse_invoices(_stream(spark, folder, **options)))
     return write_files(rows, f"{folder}/output", f"{folder}/checkpoints/flatten", available_now=True)
 
 

@@ -43,6 +43,18 @@ def remove_run_folders(spark: SparkSession) -> int:
     return len(made)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder another name; a folder that is not there becomes an empty one."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(name) for name in (source, target))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(old):
+        files.mkdirs(new)
+        return
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def checked_place(spark: SparkSession, place: str, what: str) -> str:
     """The place itself, unless executors of a cluster could not all find it.
 
