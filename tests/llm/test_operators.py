@@ -415,6 +415,76 @@ def test_passages_with_more_partitions_than_windows(spark):
     assert whole == set(range(1, 8)) and all(row.of_doc < row.doc_id for row in found)
 
 
+@pytest.mark.parametrize("hot", [16, 2])
+def test_passages_around_a_line_that_all_documents_have(spark, monkeypatch, hot):
+    """60 pairs share 60 words, 44 of which are a notice that all 600 documents have; in 30 pairs the notice is at an edge."""
+    monkeypatch.setattr(windows, "HOT", hot)
+    notice = " ".join(f"n{k}" for k in range(44))
+    rows, pairs = [], {}
+    for i in range(600):
+        pair = i if i < 60 else i - 540 if i >= 540 else None
+        before, after = (f"{mark}{i}" if pair is None else f"{mark}pair{pair}" for mark in "xy")
+        n = 8 if (pair or 0) % 2 == 0 else 14
+        body = [*(f"{before}w{k}" for k in range(n)), notice, *(f"{after}w{k}" for k in range(16 - n))]
+        rows.append((i, " ".join([*(f"h{i}w{k}" for k in range(60)), *body, *(f"t{i}w{k}" for k in range(60))])))
+        if i >= 540:
+            pairs[i] = (pair, 60, 120)
+    found = defaultdict(set)
+    for row in windows.passages(table(spark, rows)).collect():
+        found[row.doc_id].update(range(row.first_word, row.end_word))
+        assert row.of_doc == pairs[row.doc_id][0]
+    assert all(found[i].issuperset(range(a, b)) for i, (_, a, b) in pairs.items()) and len(found) == 60
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 60 words in which some words have changed, found by brute force to be alike to 0.8 or more: in texts of
+    their own, and with a line of 20 words that most documents have."""
+    random = np.random.default_rng(8)
+    line = [f"line{k}" for k in range(20)]
+    rows, planted = [], {}
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(int(random.integers(60, 160)))]
+        if i % 2 == 0:
+            passage = [f"p{i // 4}x{k}" for k in range(60)]
+            if i % 8 >= 4:
+                passage[20:40] = line
+            if i % 4 == 2:
+                for at in random.choice(60, 1 + (i % 24 == 2), replace=False):
+                    passage[at] = f"new{i}"
+                plain = [f"p{i // 4}x{k}" if i % 8 < 4 or not 20 <= k < 40 else line[k - 20] for k in range(60)]
+                pair = [[tuple(words_[j : j + 5]) for j in range(56)] for words_ in (plain, passage)]
+                # The best of all passages of 50 words and more.
+                for low, high in ((a, b) for a in range(11) for b in range(a + 46, 57)):
+                    mine, theirs = (set(grams[low:high]) for grams in pair)
+                    if len(mine & theirs) >= 0.8 * len(mine | theirs):
+                        planted[i] = i - 2
+            at = int(random.integers(0, len(own)))
+            own[at:at] = passage
+        else:
+            own[30:30] = line
+        rows.append((i, " ".join(own)))
+    found = defaultdict(set)
+    for row in windows.passages(table(spark, rows)).collect():
+        found[row.doc_id].add(row.of_doc)
+        assert row.similarity >= 0.8
+    assert len(planted) > 100 and found.keys() <= planted.keys()
+    recall = [np.mean([planted[i] in found[i] for i in planted if (i % 8 >= 4) == lined]) for lined in (False, True)]
+    print("recall", recall)
+    assert min(recall) >= 0.9
+
+
+def test_passages_of_documents_without_id(spark):
+    """Texts of equal CRC codes are told apart, and a passage that a text has twice is found both times."""
+    texts = [PROSE, PROSE + " one more", "other words before " + PROSE]
+    twice = " ".join(f"u{k}" for k in range(70))
+    rows = [(None, text) for text in texts] + [(1, twice), (2, f"{twice} between {twice}"), (None, None), (None, "")]
+    found = windows.passages(table(spark, rows)).collect()
+    assert len({(row.first_word, row.end_word) for row in found if row.doc_id == 2}) == 2
+    assert sum(row.doc_id is None for row in found) == 2
+    left = windows.without_passages(table(spark, rows)).collect()
+    assert len(left) == len(rows) and sum(PROSE in (row[1] or "") for row in left) == 1
+
+
 def test_exact_passages_of_the_documents(spark):
     """Of all 52-word windows that an earlier document has, nearly all lie in a passage; no clean document has any."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -429,7 +499,7 @@ def test_exact_passages_of_the_documents(spark):
         seen.update(grams)
     total = sum(map(len, repeated.values()))
     lost = sum(not found[doc_id].issuperset(range(i, i + 52)) for doc_id, starts in repeated.items() for i in starts)
-    assert total > 10_000 and lost <= 0.02 * total
+    assert total > 10_000 and lost <= 0.001 * total
     assert all(found[doc_id] for doc_id, starts in repeated.items() if starts)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.llm.packing import codes, packed, per_unpacked, places
+from tillstream.llm.packing import document_keys, packed, per_unpacked
 from tillstream.llm.suffixes import covered, runs
 from tillstream.llm.tables import free_shuffles, written
 from tillstream.llm.text import ByteHashes, Texts, documents, lists, mixed, per_piece, texts_of
@@ -39,7 +39,9 @@ ANCHOR = 24
 
 _LOW = np.uint64(0xFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_ROWS = "a bigint, b bigint, place bigint, spot bigint, shape bigint"
+#: ``spot`` has a start and, in its low bits, how many starts of a run there are; none for a stretch that is certain.
+_ROWS = "a bigint, b bigint, place bigint, code bigint, spot bigint"
+_COUNT_BITS = 16
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,15 +95,14 @@ def _runs(texts: Texts, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
-def _spots(code: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The hash of the text and the start in it, as one number."""
-    return (code << 32) | start
+def _spots(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start << _COUNT_BITS) | count
 
 
-def _first_of_each(a: np.ndarray, b: np.ndarray, place: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by all four, and for each row in it the index in that order of the first row with its a and b."""
-    order = np.lexsort((spot, place, b, a))
-    a, b = a[order], b[order]
+def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by all keys, and for each row in it the index in that order of the first row with its first two."""
+    order = np.lexsort(keys[::-1])
+    a, b = (key[order] for key in keys[:2])
     head = np.ones(len(order), dtype=bool)
     head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return order, np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
@@ -121,38 +122,41 @@ def _local(
     texts: Texts, place: np.ndarray, code: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray,
     start: np.ndarray, count: np.ndarray, length: int,
 ) -> pa.RecordBatch:
-    """Rows of a piece: the first of each pair of ranks, and what certainly repeats, with shape 0 and the end as b."""
+    """Rows of a piece: the first of each pair of ranks, and what certainly repeats, with no starts and the end as b."""
     a, b = a.view(np.int64), b.view(np.int64)
-    spot = _spots(code[owner], start)
-    order, first = _first_of_each(a, b, place[owner], spot)
+    order, first = _first_of_each(a, b, place[owner], code[owner], start)
     own = np.arange(len(order))
     head = order[first]
-    later = (place[owner[order]] != place[owner[head]]) | (spot[order] != spot[head])
+    later = owner[order] != owner[head]
+    # Rows that repeat id and text are one document.
+    later &= (place[owner[order]] != place[owner[head]]) | (code[owner[order]] != code[owner[head]])
+    later |= start[order] != start[head]
     kept = order[first == own]
     again = order[later]
     o, s, e = _merged(owner[again], start[again], start[again] + count[again] - 1 + length, texts)
     # What is certain goes along under a rank of its own.
-    tag = mixed(code[o].astype(np.uint64) * _BASE + s.astype(np.uint64)).view(np.int64)
+    tag = mixed(code[o].view(np.uint64) * _BASE + s.astype(np.uint64)).view(np.int64)
     columns = [
         np.concatenate([a[kept], tag]),
         np.concatenate([b[kept], e]),
         np.concatenate([place[owner[kept]], place[o]]),
-        np.concatenate([spot[kept], _spots(code[o], s)]),
-        np.concatenate([count[kept], np.zeros(len(o), dtype=np.int64)]),
+        np.concatenate([code[owner[kept]], code[o]]),
+        np.concatenate([_spots(start[kept], count[kept]), _spots(s, np.zeros(len(o), dtype=np.int64))]),
     ]
-    return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "place", "spot", "shape"])
+    return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["a", "b", "place", "code", "spot"])
 
 
 def _sorted_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(piece.column("text"))
         owner, start, count, a, b = _runs(texts, length, anchor)
-        return _local(texts, places(piece.column("doc_id")), codes(texts), a, b, owner, start, count, length)
+        place, code = document_keys(piece.column("doc_id"), texts)
+        return _local(texts, place, code, a, b, owner, start, count, length)
 
     rows = per_piece(documents(docs), work, _ROWS)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # By ranges of both ranks: a core with very many surroundings is split like all the rest.
-    return rows.repartitionByRange(partitions, "a", "b").sortWithinPartitions("a", "b", "place", "spot")
+    return rows.repartitionByRange(partitions, "a", "b").sortWithinPartitions("a", "b", "place", "code", "spot")
 
 
 def _judged(rows: DataFrame, length: int, edges: bool) -> DataFrame:
@@ -165,53 +169,53 @@ def _judged(rows: DataFrame, length: int, edges: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: tuple[int, int, int, int] | None = None
+        carried: tuple[int, ...] | None = None
+        names = ["place", "code", "start", "end", "n"]
         for batch in batches:
             if not len(batch):
                 continue
-            a, b, place, spot, shape = (batch.column(i).to_numpy() for i in range(5))
-            certain = shape == 0
-            ends = [(place[certain], spot[certain], b[certain])]
-            a, b, place, spot, shape = (column[~certain] for column in (a, b, place, spot, shape))
+            a, b, place, code, spot = (batch.column(i).to_numpy() for i in range(5))
+            start, count = spot >> _COUNT_BITS, spot & ((1 << _COUNT_BITS) - 1)
+            certain = count == 0
+            ends = [(place[certain], code[certain], start[certain], b[certain])]
+            a, b, place, code, start, count = (column[~certain] for column in (a, b, place, code, start, count))
             edge = np.zeros(0, dtype=np.int64)
             if len(a):
                 head = np.ones(len(a), dtype=bool)
                 head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 follows = carried is not None and carried[:2] == (a[0], b[0])
                 first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-                first_place, first_spot = place[first], spot[first]
+                of = [column[first] for column in (place, code, start)]
                 if follows:
-                    own = first == 0
-                    first_place[own], first_spot[own] = carried[2], carried[3]
+                    for column, value in zip(of, carried[2:], strict=True):
+                        column[first == 0] = value
                     head[0] = False
-                again = (place != first_place) | (spot != first_spot)
-                start = spot & 0xFFFFFFFF
-                ends.append((place[again], spot[again], (start + shape - 1 + length)[again]))
-                carried = (a[-1], b[-1], first_place[-1], first_spot[-1])
+                again = (place != of[0]) | (code != of[1]) | (start != of[2])
+                ends.append((place[again], code[again], start[again], (start + count - 1 + length)[again]))
+                carried = (a[-1], b[-1], *(column[-1] for column in of))
                 if edges:
                     at = np.flatnonzero(head)
-                    names = a[at]
+                    cores = a[at]
                     alone = np.ones(len(at), dtype=bool)
-                    alone[1:] &= names[1:] != names[:-1]
-                    alone[:-1] &= names[1:] != names[:-1]
+                    alone[1:] &= cores[1:] != cores[:-1]
+                    alone[:-1] &= cores[1:] != cores[:-1]
                     # The cores at either end of the batch may have more rows outside.
-                    alone &= (names != a[0]) & (names != a[-1])
+                    alone &= (cores != a[0]) & (cores != a[-1])
                     edge = at[~alone]
             stretches = [np.concatenate(columns) for columns in zip(*ends, strict=True)]
             none = pa.nulls(len(stretches[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in stretches), none], ["place", "spot", "end", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in stretches), none], names)
             if len(edge):
                 none = pa.nulls(len(edge), pa.int64())
-                columns = [pa.array(place[edge]), pa.array(spot[edge]), none, pa.array(shape[edge])]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "spot", "end", "n"])
+                columns = [*(pa.array(column[edge]) for column in (place, code, start)), none, pa.array(count[edge])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, "place bigint, spot bigint, end bigint, n bigint")
+    return rows.mapInArrow(run, "place bigint, code bigint, start bigint, end bigint, n bigint")
 
 
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
     """The rows of each document as one list: (start, value) pairs."""
-    code, start = F.shiftright("spot", 32), F.col("spot").bitwiseAND(0xFFFFFFFF)
-    rows = rows.select("place", code.alias("code"), F.struct(start.alias("start"), *columns).alias("part"))
+    rows = rows.select("place", "code", F.struct("start", *columns).alias("part"))
     return rows.groupBy("place", "code").agg(F.collect_list("part").alias("parts"))
 
 
@@ -244,16 +248,16 @@ def _sorted_positions(docs: DataFrame, edges: DataFrame, length: int) -> DataFra
 
     texts = packed(docs).join(_by_document(edges, "n"), ["place", "code"])
     rows = per_unpacked(texts.select("place", "code", "size", "packed", "parts"), work, _ROWS, 2 << 20)
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "place", "spot")
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "place", "code", "spot")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """The stretches to remove, as place, spot, end; they may overlap."""
+    """The stretches to remove, as place, code, start, end; they may overlap."""
     judged = written(_judged(_sorted_runs(docs, length, anchor), length, edges=True))
     free_shuffles(docs.sparkSession)
     edges = judged.filter("n is not null")
     positions = _judged(_sorted_positions(docs, edges, length), length, edges=False)
-    found = written(judged.unionAll(positions).filter("end is not null").select("place", "spot", "end"))
+    found = written(judged.unionAll(positions).filter("end is not null").select("place", "code", "start", "end"))
     free_shuffles(docs.sparkSession)
     return found
 
@@ -265,8 +269,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     A byte goes if a ``length``-byte string that covers it begins earlier too: in a document of smaller id, or further to
     the front of the same one. ``spans`` are the removed stretches, in bytes.
 
-    One row per row. Null and empty texts have nothing to remove. A missing id counts as larger than all others; among
-    texts that share an id, one goes before the other by a hash; rows that repeat id and text are one document, and each
+    One row per row. Null and empty texts have nothing to remove. A missing id counts as larger than all others (than 2 ** 62
+    at least); among texts that share an id or have none, one goes before the other by a hash; rows that repeat id and text are one document, and each
     gets its result. Texts of any length are read whole. An empty table gives an empty one. Other columns are ignored.
     """
 

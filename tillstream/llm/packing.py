@@ -1,54 +1,71 @@
-"""Documents as they travel between tasks: compressed texts, found by id and a hash of the text."""
+"""Documents as they travel between tasks: compressed texts, found by id and hashes of the text."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillstream.llm.tables import content_key
 from tillstream.llm.text import Texts, documents, per_piece, texts_of
 
-#: A missing id comes after all others.
-NO_ID = (1 << 63) - 1
+#: From here on are the places of documents without id, in an order of their texts.
+NO_ID = 1 << 62
 
 PACKED = "place bigint, code bigint, doc_id bigint, size bigint, packed binary"
 
+#: As Spark's ``xxhash64`` begins, and as it goes on behind the first column of ``tables.content_key``'s second hash.
+_SEED = 42
+_SECOND = xxhash.xxh64_intdigest(b"content", seed=_SEED)
 
-def places(column: pa.Array) -> np.ndarray:
-    """The ids as numbers by which documents are ordered."""
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
+def document_keys(ids: pa.Array, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Place and code of each document: by the places they are ordered, and the two together tell them apart.
 
-def codes(texts: Texts) -> np.ndarray:
-    """31 bits of the CRC of each text; they tell documents apart that share an id."""
-    ends = zip(texts.offset[:-1], texts.offset[1:], strict=True)
-    return np.array([zlib.crc32(texts.data[a:b]) >> 1 for a, b in ends], dtype=np.int64)
+    The place is the id, the code a 64-bit hash of the text. Without id the place is 62 bits of another hash.
+    """
+    known = np.asarray(ids.is_valid())
+    place = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = np.empty(len(texts), dtype=np.uint64)
+    for i, (a, b) in enumerate(zip(texts.offset[:-1].tolist(), texts.offset[1:].tolist(), strict=True)):
+        code[i] = xxhash.xxh64_intdigest(texts.data[a:b], seed=_SEED)
+        if not known[i]:
+            place[i] = NO_ID | xxhash.xxh64_intdigest(texts.data[a:b], seed=_SECOND) >> 2
+    return place, code.view(np.int64)
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The rows, with columns ``doc_id`` and ``text``, with their place and the code of their text."""
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    return docs.withColumn("place", place).withColumn("code", F.shiftright(F.crc32(raw), 1))
+    """The rows, with columns ``doc_id`` and ``text``, with their place and code."""
+    code, second = content_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    without = F.shiftrightunsigned(second, 2).bitwiseOR(F.lit(NO_ID))
+    return docs.withColumn("place", F.coalesce(F.col("doc_id").cast("bigint"), without)).withColumn("code", code)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Per row its place in the order, the hash of its text, its id, the size of its text in bytes, and the text
-    compressed. Null is an empty text."""
+def packed(docs: DataFrame, once: bool = False) -> DataFrame:
+    """Per row its place and code, its id, the size of its text in bytes, and the text
+    compressed. Null is an empty text. With ``once``, rows that repeat id and text are left out within each piece; others may
+    stay, so what is done with the rows must not depend on them."""
+
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(piece.column("text"))
+        place, code = document_keys(piece.column("doc_id"), texts)
+        at = np.arange(len(texts))
+        if once:
+            order = np.lexsort((code, place))
+            again = (np.diff(place[order]) == 0) & (np.diff(code[order]) == 0)
+            at = np.sort(order[np.append([True] * min(1, len(order)), ~again)])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(places(piece.column("doc_id"))),
-                pa.array(codes(texts)),
-                piece.column("doc_id"),
-                pa.array(np.diff(texts.offset)),
-                pack(texts.raw(i) for i in range(len(texts))),
+                pa.array(place[at]),
+                pa.array(code[at]),
+                piece.column("doc_id").take(pa.array(at)),
+                pa.array(np.diff(texts.offset)[at]),
+                pack(texts.raw(i) for i in at.tolist()),
             ],
             ["place", "code", "doc_id", "size", "packed"],
         )
