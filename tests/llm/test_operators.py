@@ -12,7 +12,7 @@ from tokenizers.models import Unigram
 
 import corpus_pipeline
 from tests.conftest import SF_DIR
-from tests.llm.conftest import PROSE, WORDS, table
+from tests.llm.conftest import MESSY, PROSE, WORDS, table
 from tillstream.llm import forest, mixing, windows
 from tillstream.llm.calibration import class_weights, fitted, probability
 from tillstream.llm.components import components
@@ -21,7 +21,8 @@ from tillstream.llm.licenses import Templates, license_scan
 from tillstream.llm.mixing import apportion, targets_of
 from tillstream.llm.queries import QUERIES
 from tillstream.llm.repetition import measured
-from tillstream.llm.toxicity import BlockMaxIndex
+from tillstream.llm.text import LETTERS, texts_of, words_of
+from tillstream.llm.toxicity import POWER, BlockMaxIndex, toxicity, train
 from tillstream.llm.viterbi import SPACE, Vocabulary, read_vocabulary, token_counts
 from tillstream.llm.viterbi import Counter as PieceCounter
 
@@ -311,6 +312,62 @@ def test_nearest_examples_are_exact(n, n_terms, k, seed):
     assert all(scores[i] == pytest.approx(s) for s, i in found)
 
 
+def test_examples_whose_telling_words_are_rare(spark):
+    """Every toxic text has two of 20 words that no other text has. Copies of examples are nearest to these, and say so."""
+    random = np.random.default_rng(7)
+    rows, marks = [], []
+    for i in range(400):
+        own = [f"w{k}" for k in random.integers(0, 3000, 80)]
+        if i % 2:
+            own[10], own[50] = (f"bad{k}" for k in random.choice(20, 2, replace=False))
+        rows.append((i, " ".join(own)))
+        marks.append((i, i % 2))
+    copies = [(1000 + i, rows[i][1]) for i in range(100)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([*marks, (None, 1), (3, None), (5, 1), (5, 0), (-1, 0)], "doc_id bigint, toxic int")
+    model = train(docs, labels)
+    for row in toxicity(table(spark, copies), model).collect():
+        assert row.cosines[0] == pytest.approx(1) and row.neighbours[0] == row.doc_id - 1000
+        assert (row.score > 0.5) == bool(row.doc_id % 2)
+    # Scores by brute force, over whole vectors.
+    texts = [words(text) for _, text in rows]
+    vocabulary = sorted({word for own in texts for word in own})
+    df = Counter(word for own in texts for word in set(own))
+    weight = {hash_: value for hash_, value in zip(model.vocabulary.tolist(), model.term_weight.tolist(), strict=True)}
+    codes = dict(zip(vocabulary, words_of(texts_of(pa.array(vocabulary)), LETTERS).hash.tolist(), strict=True))
+    assert len(weight) == len(vocabulary) and all(weight[codes[w]] < (np.log(401 / (1 + df[w])) + 1) * 1.001 for w in vocabulary)
+
+    def vector(own):
+        value = {w: (1 + np.log(n)) * weight[codes[w]] for w, n in Counter(own).items() if w in df}
+        norm = np.sqrt(sum(x * x for x in value.values()))
+        return {w: x / norm for w, x in value.items()}
+
+    vectors = [vector(own) for own in texts]
+    fresh = [(2000 + i, " ".join(f"w{k}" for k in random.integers(0, 3000, 40)) + " bad3" * (i % 2)) for i in range(12)]
+    for row, (_, text) in zip(sorted(toxicity(table(spark, fresh), model).collect()), fresh, strict=True):
+        own = vector(words(text))
+        cosines = sorted(((sum(x * v.get(w, 0) for w, x in own.items()), -i) for i, v in enumerate(vectors)), reverse=True)[:15]
+        assert row.cosines == pytest.approx([c for c, _ in cosines], abs=1e-9)
+        votes = np.array([c for c, _ in cosines]) ** POWER * model.weight[[-i for _, i in cosines]]
+        vote = (votes * [-i % 2 for _, i in cosines]).sum() / votes.sum()
+        assert row.score == pytest.approx(probability(np.array([vote]), model.parameters)[0], abs=1e-6)
+        assert (row.score > 0.5) == bool(row.doc_id % 2)
+
+
+def test_a_fitted_model_on_messy_rows(spark, messy, empty):
+    """Ties, repeats, nulls and odd texts with a model that knows something; labels of the messy rows themselves."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 0)], "doc_id bigint, toxic int")
+    rows = toxicity(messy, train(messy, labels)).collect()
+    assert len(rows) == len(MESSY) and all(0 <= row.score <= 1 for row in rows)
+    by_text = defaultdict(set)
+    for row, (_, text) in zip(sorted(rows, key=str), sorted(MESSY, key=str), strict=True):
+        assert row.cosines == sorted(row.cosines, reverse=True)
+    for row in rows:
+        by_text[row.doc_id].add(row.score)
+    assert len(by_text[2]) == 1 and by_text[1] == by_text[2]
+    assert toxicity(empty, train(empty, labels)).collect() == []
+
+
 def held_out(spark, query, label, sf_dir="/root/testdata/sf0.01"):
     marks = {row.doc_id: row[label] for row in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [row for row in QUERIES[query](spark, sf_dir).collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,22 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.calibration import class_weights, fitted, probability
-from tillstream.llm.tables import class_counts, sampled_labels, sampled_texts
-from tillstream.llm.text import LETTERS, documents, lists, per_piece, texts_of, words_of
+from tillstream.llm.tables import class_counts, sampled_labels, sampled_texts, written
+from tillstream.llm.text import LETTERS, documents, lists, per_piece, pieces, texts_of, words_of
 
 SCHEMA = "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>"
 
-#: Labelled examples of either class, and terms that tell the classes apart.
-EXAMPLES = 4000
-MAX_TERMS = 4096
-#: How clearly they must: chi squared, and chi squared for each example.
-MIN_CHI2 = 30.0
-MIN_EFFECT = 0.01
+#: Labelled examples of either class.
+EXAMPLES = 1000
+#: What a word counts for whose presence says nothing about the label, against 1 for one that tells all; and the chi squared
+#: at which a word has half of its say.
+LEAST_SAY = 0.03
+HALF_SAY = 30.0
 #: Neighbours that vote, and the power of the cosine that their votes count by.
 NEIGHBOURS = 15
-POWER = 4
-#: Examples of a block of the index.
-BLOCK = 64
+POWER = 2
+#: Examples of a block of the index, and blocks that are looked at together.
+BLOCK = 128
+ROUND = 2
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,25 +42,16 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], word[at], np.diff(np.append(at, len(owner)))
 
 
-def _telling_terms(texts: DataFrame, size: tuple[int, int], max_terms: int, min_chi2: float) -> list[int]:
-    """The words whose presence in an example depends most clearly on its label."""
-
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        owner, word, _ = _terms(piece.column("text"))
-        label = piece.column("label").to_numpy()[owner]
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(label)], ["word", "label"])
-
-    counts = (
-        per_piece(texts.select("label", "text"), work, "word bigint, label int")
-        .groupBy("word")
-        .agg(F.sum("label").cast("double").alias("b"), F.sum(1 - F.col("label")).cast("double").alias("a"))
-    )
+def _say(term: np.ndarray, label: np.ndarray, n_terms: int, size: tuple[int, int]) -> np.ndarray:
+    """By how much each word's weight counts, from how clearly its presence in an example depends on the label."""
     n0, n1 = (float(n) for n in size)
-    a, b = F.col("a"), F.col("b")
-    rest = F.greatest(F.lit(0.0), n0 + n1 - a - b)
-    chi2 = (n0 + n1) * F.pow(a * (n1 - b) - b * (n0 - a), F.lit(2.0)) / ((a + b) * rest * n0 * n1 + F.lit(1e-9))
-    chosen = counts.withColumn("chi2", chi2).filter(F.col("chi2") >= max(min_chi2, MIN_EFFECT * (n0 + n1)))
-    return [row["word"] for row in chosen.orderBy(F.desc("chi2"), "word").limit(max_terms).collect()]
+    b = np.bincount(term, weights=label, minlength=n_terms)
+    a = np.bincount(term, minlength=n_terms) - b
+    if not n0 or not n1:
+        return np.ones(n_terms)
+    rest = np.maximum(0.0, n0 + n1 - a - b)
+    chi2 = (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / ((a + b) * rest * n0 * n1 + 1e-9)
+    return LEAST_SAY + (1 - LEAST_SAY) * (chi2 / (chi2 + HALF_SAY)) ** 2
 
 
 def _restricted(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,54 +67,77 @@ def _restricted(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, n
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and the number of documents."""
+    """In how many of all documents each term occurs, and the number of documents. Each task sums up its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples' words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        sums = np.zeros(len(words) + 1, dtype=np.int64)
+        for piece in pieces(batches):
+            _, term, _ = _restricted(piece.column("text"), words)
+            sums[:-1] += np.bincount(term, minlength=len(words))
+            sums[-1] += len(piece)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["term", "n"])
+
+    rows = documents(docs).select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = np.zeros(len(vocabulary) + 1)
+    for row in rows.collect():
+        counts[row["term"]] = row["n"]
+    return counts[:-1], int(counts[-1])
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        _, term, _ = _restricted(piece.column("text"), vocabulary)
-        counts = np.append(np.bincount(term, minlength=len(vocabulary)), len(piece))
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["term", "n"])
 
-    rows = per_piece(documents(docs).select("text"), work, "term bigint, n bigint").groupBy("term").agg(F.sum("n"))
-    counts = dict(rows.collect())
-    return np.array([counts.get(i, 0) for i in range(len(vocabulary))], dtype=float), counts.get(len(vocabulary), 0)
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range of each."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - first, n), of
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as postings in blocks, with the largest weight of each term in each block."""
+    """Unit vectors of examples as postings by term and block, with the largest weight of each term in each block."""
 
     def __init__(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
         self.n = n
-        n_blocks = max(1, -(-n // BLOCK))
-        self.largest = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.largest, (term, owner // BLOCK), weight)
-        order = np.lexsort((owner, owner // BLOCK, term))
+        self.n_blocks = max(1, -(-n // BLOCK))
+        order = np.lexsort((owner, term))
         self.owner, self.weight = owner[order], weight[order]
-        self.key = term[order] * n_blocks + owner[order] // BLOCK
-        self.n_blocks = n_blocks
+        key = term[order] * self.n_blocks + self.owner // BLOCK
+        # An entry for each term and block: where its postings are, and the largest of their weights.
+        self.begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.end = np.append(self.begin[1:], len(key))
+        self.block = key[self.begin] % self.n_blocks
+        self.largest = np.maximum.reduceat(self.weight, self.begin) if len(key) else self.weight
+        self.first = np.searchsorted(key[self.begin] // self.n_blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest cosine above 0, ties by number. Exact: blocks are taken by falling upper
         bound until the next cannot reach the k-th best."""
-        bound = weights @ self.largest[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[0][0] - 1e-12):
+        entry, of = _ranges(self.first[terms], self.first[terms + 1])
+        block, weight = self.block[entry], weights[of]
+        bound = np.bincount(block, weight * self.largest[entry], minlength=self.n_blocks)
+        score = np.zeros(self.n)
+        found = np.zeros(0, dtype=np.int64)
+        order = np.argsort(-bound, kind="stable")
+        for at in range(0, self.n_blocks, ROUND):
+            some = order[at : at + ROUND]
+            some = some[bound[some] > 0]
+            if len(found) == k:
+                some = some[bound[some] >= score[found[-1]] - 1e-9]
+            if not len(some):
                 break
-            score = np.zeros(BLOCK)
-            keys = terms * self.n_blocks + block
-            for a, b, w in zip(
-                np.searchsorted(self.key, keys), np.searchsorted(self.key, keys, side="right"), weights, strict=True
-            ):
-                score[self.owner[a:b] % BLOCK] += w * self.weight[a:b]
-            for place in np.flatnonzero(score > 0).tolist():
-                example = block * BLOCK + place
-                if example != skip:
-                    entry = (round(float(score[place]), 12), -example)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return [(score, -example) for score, example in sorted(best, reverse=True)]
+            taken = np.zeros(self.n_blocks, dtype=bool)
+            taken[some] = True
+            own = np.flatnonzero(taken[block])
+            posting, by = _ranges(self.begin[entry[own]], self.end[entry[own]])
+            examples = self.owner[posting]
+            sums = np.bincount(examples, weight[own][by] * self.weight[posting], minlength=self.n)
+            fresh = np.flatnonzero(sums)
+            score[fresh] = np.round(sums[fresh], 12)
+            fresh = fresh[(score[fresh] > 0) & (fresh != skip)]
+            every = np.concatenate([found, fresh])
+            found = every[np.lexsort((every, -score[every]))[:k]]
+        return [(float(score[i]), int(i)) for i in found]
 
 
 def _unit(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -132,10 +147,10 @@ def _unit(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Terms, their inverse document frequencies, the index, the examples, and the calibration of the votes."""
+    """Terms, what each of them weighs, the index, the examples, and the calibration of the votes."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    term_weight: np.ndarray
     index: BlockMaxIndex
     doc_id: np.ndarray
     label: np.ndarray
@@ -149,59 +164,83 @@ class Model:
         votes = np.array([score for score, _ in near]) ** POWER * self.weight[example]
         return float((votes * self.label[example]).sum() / votes.sum())
 
+    def neighbours(self, column: pa.Array, skip: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """The nearest examples of each text; ``skip`` has an example for each that is left out."""
+        n = len(column)
+        owner, term, count = _restricted(column, self.vocabulary)
+        unit = _unit(owner, (1 + np.log(count)) * self.term_weight[term], n)
+        first = np.searchsorted(owner, np.arange(n + 1))
+        near: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        for i in np.flatnonzero(np.diff(first)).tolist():
+            own = slice(first[i], first[i + 1])
+            near[i] = self.index.nearest(term[own], unit[own], self.k, -1 if skip is None else int(skip[i]))
+        return near
+
+
+def _examples(texts: DataFrame) -> tuple[np.ndarray, ...]:
+    """The examples in order of id: ids, labels, and the postings owner, word and count."""
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        owner, word, count = _terms(piece.column("text"))
+        n = np.bincount(owner, minlength=len(piece))
+        values = [lists(pa.array(word.view(np.int64)), n), lists(pa.array(count), n)]
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), *values], ["doc_id", "label", "words", "counts"])
+
+    rows = per_piece(texts, work, "doc_id bigint, label int, words array<bigint>, counts array<bigint>").collect()
+    rows = sorted((row["doc_id"], row["label"], tuple(row["words"]), tuple(row["counts"])) for row in rows)
+    owner = np.repeat(np.arange(len(rows)), [len(row[2]) for row in rows]).astype(np.int64)
+    word = np.array([w for row in rows for w in row[2]], dtype=np.int64).view(np.uint64)
+    count = np.array([c for row in rows for c in row[3]], dtype=float)
+    ids, label = (np.array([row[i] for row in rows], dtype=np.int64) for i in (0, 1))
+    return ids, label, owner, word, count
+
+
+def _votes(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each example that has neighbours, by number, and their vote on it; it is no neighbour of its own."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        known = shared.value
+        # Rows that repeat an id are examples side by side; each leaves out the first of them.
+        number = np.searchsorted(known.doc_id, piece.column("doc_id").to_numpy())
+        near = known.neighbours(piece.column("text"), number)
+        at = [i for i, own in enumerate(near) if own]
+        votes = pa.array([known.vote(near[i]) for i in at], pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(number[at]), votes], ["number", "vote"])
+
+    rows = sorted(per_piece(texts, work, "number bigint, vote double").collect())
+    return np.array([row["number"] for row in rows], dtype=np.int64), np.array([row["vote"] for row in rows], dtype=float)
+
 
 def train(
-    docs: DataFrame,
-    labels: DataFrame,
-    label: str = "toxic",
-    examples: int = EXAMPLES,
-    max_terms: int = MAX_TERMS,
-    min_chi2: float = MIN_CHI2,
-    k: int = NEIGHBOURS,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, k: int = NEIGHBOURS
 ) -> Model:
-    """An index of at most ``examples`` labelled documents of either class.
+    """An index of at most ``examples`` labelled documents of either class, with all their words.
 
-    Terms are the words whose presence depends on the label; their document frequencies are counted over all of
-    ``docs``. Each example's own vote, without itself, calibrates the votes; texts without any term have the rate of
-    such examples. Both give the classes the shares they have among all labels.
+    A word weighs its inverse document frequency, counted over all of ``docs``, times what it has to say about the label;
+    no word weighs nothing, so a text that equals an example has a cosine of 1 with it. Each example's own vote, without
+    itself, calibrates the votes; texts without any known word have the rate of such examples. Both give the classes the
+    shares they have among all labels.
+
+    Null labels and ids are left out; an id with both labels has the larger one; labels of documents that are not there count
+    for the shares alone. Null and empty texts are examples without words. Rows of ``docs`` that repeat an id are examples
+    of their own. Where a class has no example, or all tables are empty, words weigh alike and every score is the share.
     """
     chosen = sampled_labels(labels, label, examples)
     population = class_counts(labels, label)
-    texts = sampled_texts(docs, chosen)
-    size = tuple(sum(1 for _, value in chosen if value == own) for own in (0, 1))
-    terms = _telling_terms(texts, size, max_terms, min_chi2) if min(size) else []
-    vocabulary = np.sort(np.array(terms, dtype=np.int64).view(np.uint64))
+    texts = written(sampled_texts(docs, chosen), "examples")
+    ids, y, owner, word, count = _examples(texts)
+    vocabulary, term = np.unique(word, return_inverse=True)
     frequency, total = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        owner, term, count = _restricted(piece.column("text"), vocabulary)
-        n = np.bincount(owner, minlength=len(piece))
-        return pa.RecordBatch.from_arrays(
-            [piece.column("doc_id"), piece.column("label"), lists(pa.array(term), n), lists(pa.array(count), n)],
-            ["doc_id", "label", "terms", "counts"],
-        )
-
-    rows = per_piece(texts, work, "doc_id bigint, label int, terms array<bigint>, counts array<bigint>").collect()
-    rows = sorted((row["doc_id"], row["label"], tuple(row["terms"]), tuple(row["counts"])) for row in rows)
-    y = np.array([row[1] for row in rows], dtype=int)
-    owner = np.repeat(np.arange(len(rows)), [len(row[2]) for row in rows]).astype(np.int64)
-    term = np.array([t for row in rows for t in row[2]], dtype=np.int64)
-    raw = (1 + np.log(np.array([c for row in rows for c in row[3]], dtype=float))) * idf[term]
-    unit = _unit(owner, raw, len(rows))
-    index = BlockMaxIndex(owner, term, unit, len(rows), len(vocabulary))
+    size = tuple(int((y == value).sum()) for value in (0, 1))
+    term_weight = (np.log((1 + total) / (1 + frequency)) + 1) * _say(term, y[owner], len(vocabulary), size)
+    unit = _unit(owner, (1 + np.log(count)) * term_weight[term], len(ids))
+    index = BlockMaxIndex(owner, term, unit, len(ids), len(vocabulary))
     weight = class_weights(y, population)
-    ids = np.array([row[0] for row in rows], dtype=np.int64)
-    model = Model(vocabulary, idf, index, ids, y, weight, (0.0, 0.0), 0.5, k)
-    first = np.searchsorted(owner, np.arange(len(rows) + 1))
-    votes, at = [], []
-    for i in range(len(rows)):
-        own = slice(first[i], first[i + 1])
-        if near := index.nearest(term[own], unit[own], k, skip=i) if first[i] < first[i + 1] else []:
-            votes.append(model.vote(near))
-            at.append(i)
-    model.parameters = fitted(np.array(votes), y[at], weight[at])
-    none = np.setdiff1d(np.arange(len(rows)), owner)
+    model = Model(vocabulary, term_weight, index, ids, y, weight, (0.0, 0.0), 0.5, k)
+    at, votes = _votes(texts, model)
+    model.parameters = fitted(votes, y[at], weight[at])
+    none = np.setdiff1d(np.arange(len(ids)), owner)
     prior = (population[1] + 0.5) / (sum(population) + 1)
     model.without = float(((weight[none] * y[none]).sum() + prior) / (weight[none].sum() + 1))
     return model
@@ -212,25 +251,19 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     The ``k`` examples of the largest TF-IDF cosine vote by a power of it and by class weight, and the vote is calibrated.
 
-    One row per row. Texts without any of the terms, also null and empty ones, have no neighbours and the score of no
-    evidence. A null id stays null; repeated rows get equal scores; equal cosines go by the example's doc_id. Without
-    labels no term tells anything. Only the text is read; other columns are ignored. An empty table gives an empty one.
+    One row per row. Texts without any word of an example, also null and empty ones, have no neighbours and the score of no
+    evidence. A null id stays null; repeated rows get equal scores; equal cosines go by the example's doc_id. Only the text
+    is read; other columns are ignored. An empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples and terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         known = shared.value
-        n = len(piece)
-        owner, term, count = _restricted(piece.column("text"), known.vocabulary)
-        unit = _unit(owner, (1 + np.log(count)) * known.idf[term], n)
-        first = np.searchsorted(owner, np.arange(n + 1))
-        score = np.full(n, known.without)
-        near: list[list[tuple[float, int]]] = [[] for _ in range(n)]
-        for i in np.flatnonzero(np.diff(first)).tolist():
-            own = slice(first[i], first[i + 1])
-            near[i] = known.index.nearest(term[own], unit[own], known.k)
-            if near[i]:
-                score[i] = probability(np.array([known.vote(near[i])]), known.parameters)[0]
+        near = known.neighbours(piece.column("text"))
+        score = np.full(len(piece), known.without)
+        for i, own in enumerate(near):
+            if own:
+                score[i] = probability(np.array([known.vote(own)]), known.parameters)[0]
         counts = np.array([len(own) for own in near])
         ids = known.doc_id[np.array([i for own in near for _, i in own], dtype=np.int64)]
         cosines = np.array([value for own in near for value, _ in own], dtype=float)
