@@ -88,22 +88,50 @@ def test_repeated_words(values):
 
 
 @given(
-    st.lists(st.sets(st.sampled_from("abcdefgh"), min_size=1), min_size=1, max_size=6),
-    st.lists(st.sets(st.sampled_from("abcdefgh")), max_size=5),
+    st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=9), min_size=1, max_size=6),
+    st.lists(st.lists(st.sampled_from("abcdefghxyz"), max_size=40), max_size=4),
     st.dictionaries(st.sampled_from("abcdefgh"), st.integers(0, 9)),
     st.sampled_from([0.3, 0.5, 0.8, 1.0]),
 )
-def test_the_filters_lose_no_match(templates, blocks, frequency, threshold):
-    from tillstream.llm.licenses import _codes
+def test_the_filters_lose_no_match(templates, texts, frequency, threshold):
+    from tillstream.llm.licenses import SLACK, _codes
 
     code = {letter: int(_codes(letter)[0]) for letter in "abcdefgh"}
-    named = [(str(i), " ".join(sorted(own))) for i, own in enumerate(templates)]
+    named = [(str(i), " ".join(own)) for i, own in enumerate(templates)]
     index = Templates(named, {code[letter]: n for letter, n in frequency.items()}, threshold)
-    for block in blocks:
-        known = [int(index.number[np.searchsorted(index.words, code[x])]) for x in block if code[x] in index.words.tolist()]
-        found = {t: share for t, share in index.matches(np.array(sorted(known), dtype=np.int64))}
-        expected = {t: len(own & block) / len(own) for t, own in enumerate(templates)}
-        assert found == {t: share for t, share in expected.items() if share >= threshold - 1e-9}
+    every = [(i, letter) for i, own in enumerate(texts) for letter in own]
+    known = [(at, i, int(np.searchsorted(index.words, code[x]))) for at, (i, x) in enumerate(every) if x in code and code[x] in index.words.tolist()]
+    at, owner, word = (np.array(column, dtype=np.int64) for column in zip(*known, strict=True)) if known else (np.zeros(0, dtype=np.int64),) * 3
+    found = {(i, t): share for i, t, share in index.matches(at, word, owner)}
+    expected = {}
+    for t, own in enumerate(templates):
+        width = len(own) + max(SLACK, len(own) // 4)
+        for i, text in enumerate(texts):
+            share = max((len(set(text[j : j + width]) & set(own)) for j in range(len(text))), default=0) / len(set(own))
+            if share >= threshold - 1e-9:
+                expected[i, t] = share
+    assert found == expected
+
+
+def test_wrapped_notices_and_scattered_words(spark):
+    """A notice is the same however its lines end, and words far from each other are none."""
+    from tillstream.llm.licenses import TEMPLATES
+
+    before, after = (" ".join(f"{mark}{k}" for k in range(50)) for mark in "xy")
+    rows, expected = [], {}
+    for i, (label, notice) in enumerate(TEMPLATES):
+        own = notice.split()
+        wrapped = "\n * ".join(" ".join(own[k : k + 5]) for k in range(0, len(own), 5))
+        scattered = f" {before} ".join(own)
+        one_word_more = " ".join([own[0], "really", *own[1:]])
+        for j, text in enumerate((notice, f"{before}\n\n{wrapped}\n{after}", scattered, f"{before} {one_word_more} {after}")):
+            rows.append((10 * i + j, text))
+            expected[10 * i + j] = label if j != 2 else None
+    found = {row.doc_id: row for row in license_scan(table(spark, rows)).collect()}
+    for doc_id, label in expected.items():
+        labels = found[doc_id].labels.split(",")
+        assert label in labels if label else labels == [""], found[doc_id]
+        assert (found[doc_id].score == 1.0) == bool(label)
 
 
 def test_notices(spark):

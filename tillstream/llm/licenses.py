@@ -1,4 +1,9 @@
-"""License scan: an exact set-similarity join of text blocks with license templates."""
+"""License scan: an exact set-similarity join of text blocks with license templates.
+
+A block is a window of words, a quarter longer than the template it is compared with and at least SLACK words, wherever it
+begins and whatever line ends are in it. So a notice is found however it is wrapped, and words that are scattered over a
+long text are none.
+"""
 
 from __future__ import annotations
 
@@ -55,8 +60,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "Copyright. All rights reserved"),
 ]
 
-#: Share of a template's distinct words that a block has to hold.
+#: Share of a template's distinct words that a block has to hold, and words that a block is longer than a short template.
 THRESHOLD = 0.9
+SLACK = 2
 
 
 def words_in(text: str) -> list[bytes]:
@@ -99,36 +105,63 @@ class Templates:
         every = np.unique(np.concatenate(codes))
         rank = sorted(range(len(every)), key=lambda i: (frequency.get(int(every[i]), 0), int(every[i])))
         self.words = every
-        self.number = np.empty(len(every), dtype=np.int64)
-        self.number[rank] = np.arange(len(every))
-        # Template t is a row of numbers in that order; a block has to hold ``needed[t]`` of them.
-        self.sets = [np.sort(self.number[np.searchsorted(every, own)]) for own in codes]
-        self.needed = [max(1, int(np.ceil(threshold * len(own) - 1e-9))) for own in self.sets]
-        # A block with that many of them holds one of the first ones: the others alone are too few.
-        self.by_prefix: dict[int, list[tuple[int, int]]] = {}
-        for t, own in enumerate(self.sets):
-            for position, word in enumerate(own[: len(own) - self.needed[t] + 1].tolist()):
-                self.by_prefix.setdefault(word, []).append((t, position))
-        self.is_prefix = np.zeros(len(every), dtype=bool)
-        self.is_prefix[list(self.by_prefix)] = True
-
-    def matches(self, block: np.ndarray) -> list[tuple[int, float]]:
-        """Templates, with their containment, of which the block (sorted distinct numbers) holds enough words."""
-        tried: set[int] = set()
+        number = np.empty(len(every), dtype=np.int64)
+        number[rank] = np.arange(len(every))
+        # Template t holds ``size[t]`` words; a block has to hold ``needed[t]`` of them, and has ``width[t]`` words.
+        self.size = [len(own) for own in codes]
+        self.needed = [max(1, int(np.ceil(threshold * n - 1e-9))) for n in self.size]
+        lengths = [len(words_in(text)) for _, text in templates]
+        self.width = [n + max(SLACK, n // 4) for n in lengths]
+        # For each template the place of each known word among its own in that order, or -1.
+        self.place = np.full((len(codes), len(every)), -1, dtype=np.int64)
+        for t, own in enumerate(codes):
+            known = np.searchsorted(every, own)
+            self.place[t, known[np.argsort(number[known])]] = np.arange(len(own))
+
+    def matches(self, at: np.ndarray, word: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, float]]:
+        """Texts and templates, with the largest containment, where a block of the text holds enough of the template's words.
+
+        Known words in order: where they stand (texts end to end), which they are, and the text of each. A block with
+        enough of a template's words holds one of the first ones in the global order: the others alone are too few
+        (prefix). Around each of these there have to be enough known words in reach (length), and enough that come after
+        it in the order, if it is the first that both have (position).
+        """
         found = []
-        for at, word in enumerate(block.tolist()):
-            for t, position in self.by_prefix.get(word, ()):
-                if t in tried:
-                    continue
-                # The first common word in the order: no more can be common than what is left of either from here on.
-                tried.add(t)
-                if min(len(block) - at, len(self.sets[t]) - position) < self.needed[t]:
-                    continue
-                common = len(np.intersect1d(block, self.sets[t], assume_unique=True))
-                if common >= self.needed[t]:
-                    found.append((t, common / len(self.sets[t])))
+        for t in range(len(self.size)):
+            place = self.place[t, word]
+            own = np.flatnonzero(place >= 0)
+            if len(own) < self.needed[t]:
+                continue
+            found += [(i, t, share) for i, share in self._blocks(t, at[own], place[own], owner[own]).items()]
         return found
 
+    def _blocks(self, t: int, at: np.ndarray, place: np.ndarray, owner: np.ndarray) -> dict[int, float]:
+        needed, width = self.needed[t], self.width[t]
+        first = np.flatnonzero(place <= self.size[t] - needed)
+        low = np.maximum(np.searchsorted(at, at[first] - width + 1), np.searchsorted(owner, owner[first]))
+        high = np.minimum(np.searchsorted(at, at[first] + width), np.searchsorted(owner, owner[first], side="right"))
+        enough = high - low >= needed
+        best: dict[int, float] = {}
+        for p, i, j in zip(first[enough].tolist(), low[enough].tolist(), high[enough].tolist(), strict=True):
+            near = place[i:j]
+            if len(np.unique(near[near >= place[p]])) < needed:
+                continue
+            # Blocks that begin with a known word and hold this one; the counts go along with the window.
+            counts = np.zeros(self.size[t], dtype=np.int64)
+            distinct, most, stop = 0, 0, i
+            for start in range(i, p + 1):
+                while stop < j and at[stop] < at[start] + width:
+                    distinct += counts[place[stop]] == 0
+                    counts[place[stop]] += 1
+                    stop += 1
+                if stop > p:
+                    most = max(most, distinct)
+                counts[place[start]] -= 1
+                distinct -= counts[place[start]] == 0
+            if most >= needed:
+                best[int(owner[p])] = max(best.get(int(owner[p]), 0.0), float(most / self.size[t]))
+        return best
+
 
 def _phrase_places(raw: bytes) -> tuple[list[int], set[str]]:
     """Numbers of the words where phrases start. ``raw`` has one blank before and after each word."""
@@ -148,10 +181,10 @@ def license_scan(
 ) -> DataFrame:
     """Per document the license phrases and the license notices in it.
 
-    A block is a line of the text, as a set of words. A notice is found where a block holds at least ``threshold`` of the
-    distinct words of a template. The join is exact: words are ordered by how many documents have them, rarest first; a
-    block is compared with a template only if it has one of the template's first words (prefix), enough known words
-    (length), and enough left of both from that word on (position). ``score`` is the largest containment found, 1 where
+    A notice is found where a block, a window of words, holds at least ``threshold`` of the distinct words of a template. The
+    join is exact: words are ordered by how many documents have them, rarest first; blocks are compared with a template only
+    where they have one of the template's first words (prefix), enough known words (length), and enough left of both from
+    that word on (position). ``score`` is the largest containment found, 1 where
     a phrase stands in the text, else 0.
 
     One row per row. Null and empty texts have no words and no labels (empty strings); a null id stays null; repeated
@@ -182,23 +215,11 @@ def license_scan(
             if starts:
                 base[i], first[i], last[i], score[i] = len(starts), min(starts), max(starts), 1.0
                 labels[i] |= base_labels[i]
-        # Notices: lines with a word of a template's prefix, and with enough known words for the smallest template.
         place, known = _places(index.words, words.hash)
-        line = np.cumsum(texts.data == ord("\n"))[words.start] + owner  # texts end lines too
         at = np.flatnonzero(known)
-        order = np.lexsort((index.number[place[at]], line[at]))
-        number, lines = index.number[place[at]][order], line[at][order]
-        fresh = np.ones(len(number), dtype=bool)
-        fresh[1:] = (number[1:] != number[:-1]) | (lines[1:] != lines[:-1])
-        number, lines, own = number[fresh], lines[fresh], owner[at][order][fresh]
-        begin = np.flatnonzero(np.diff(lines, prepend=-1))
-        size = np.diff(np.append(begin, len(lines)))
-        has = np.add.reduceat(index.is_prefix[number], begin) > 0 if len(begin) else np.zeros(0, dtype=bool)
-        for b in np.flatnonzero(has & (size >= min(index.needed))).tolist():
-            i = int(own[begin[b]])
-            for t, containment in index.matches(number[begin[b] : begin[b] + size[b]]):
-                labels[i].add(index.labels[t])
-                score[i] = max(score[i], containment)
+        for i, t, containment in index.matches(at, place[at], owner[at]):
+            labels[i].add(index.labels[t])
+            score[i] = max(score[i], containment)
         return pa.RecordBatch.from_arrays(
             [
                 piece.column("doc_id"),

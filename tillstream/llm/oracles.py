@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tillstream.llm.licenses import TEMPLATES
-
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _PRINTED = r"'[^\x20\x09-\x0D]+'"
@@ -63,10 +61,29 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from counted
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+# The notices and their labels, as the operator has to find them.
+_NOTICES = """
+  (1, 'gpl', 'this work is licensed under the gnu general public license version 3'),
+  (2, 'gpl', 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation'),
+  (3, 'lgpl', 'licensed under the gnu lesser general public license'),
+  (4, 'agpl', 'licensed under the gnu affero general public license'),
+  (5, 'apache', 'licensed under the apache license version 2 0'),
+  (6, 'mit', 'released under the mit license'),
+  (7, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction'),
+  (8, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+  (9, 'bsd', 'released under the bsd license'),
+  (10, 'mpl', 'this source code form is subject to the terms of the mozilla public license'),
+  (11, 'cc-by', 'this work is licensed under a creative commons attribution 4 0 international license'),
+  (12, 'cc-by-nc', 'licensed under cc by nc 4 0'),
+  (13, 'cc-by-sa', 'licensed under cc by sa 4 0'),
+  (14, 'cc-by', 'licensed under cc by 4 0'),
+  (15, 'isc', 'released under the isc license'),
+  (16, 'public-domain', 'this is free and unencumbered software released into the public domain'),
+  (17, 'proprietary', 'copyright all rights reserved')
+"""
 
 LICENSE_SCAN = f"""
-with d as (select doc_id, {_LOWER} as t, regexp_extract_all({_LOWER}, {_LETTERS}) as w from documents),
+with d as (select doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) as w from documents),
 phrases(p, k, label) as (
   values ('gnu general public license', 4, 'gpl'), ('apache license', 2, 'apache'), ('cc by', 2, 'cc-by'),
     ('mit license', 2, 'mit')
@@ -79,20 +96,26 @@ phrases(p, k, label) as (
   select doc_id, count(*) as n, min(place) as first_word, max(place) as last_word,
     string_agg(distinct label, ',' order by label) as labels
   from places group by doc_id
-), templates(id, label, text) as (values {_TEMPLATES}),
-wanted as (select distinct id, label, unnest(regexp_extract_all({_LOWER}, {_LETTERS})) as word from templates),
-sizes as (select id, count(*) as n from wanted group by id),
-blocks as (
-  select doc_id, line, unnest(regexp_extract_all(part, {_LETTERS})) as word
-  from (select doc_id, unnest(range(len(parts))) as line, unnest(parts) as part
-    from (select doc_id, string_split(t, chr(10)) as parts from d))
-), held as (
-  select doc_id, line, id, label, count(distinct word) as n from blocks join wanted using (word) group by all
-), notices as (
-  select doc_id, label, held.n / sizes.n as share from held join sizes using (id) where held.n >= 0.9 * sizes.n - 1e-9
-), every as (select doc_id, label from places union select doc_id, label from notices),
+), notices(id, label, text) as (values {_NOTICES}),
+wanted as (
+  select id, any_value(label) as label, word, any_value(n + greatest(2, n // 4)) as width
+  from (select id, label, len(string_split(text, ' ')) as n, unnest(string_split(text, ' ')) as word from notices) group by id, word
+), sizes as (select id, count(*) as n from wanted group by id),
+known as (
+  select doc_id, id, label, width, place, word
+  from (select doc_id, unnest(range(len(w))) as place, unnest(w) as word from d) join wanted using (word)
+), likely as (
+  select doc_id, id from known join sizes using (id) group by doc_id, id, n having count(distinct word) >= 0.9 * n - 1e-9
+), blocks as (
+  select a.doc_id, a.id, a.label, a.place, count(distinct b.word) as n
+  from known a join likely using (doc_id, id)
+    join known b on a.doc_id = b.doc_id and a.id = b.id and b.place >= a.place and b.place < a.place + a.width
+  group by a.doc_id, a.id, a.label, a.place
+), found as (
+  select doc_id, label, blocks.n / sizes.n as share from blocks join sizes using (id) where blocks.n >= 0.9 * sizes.n - 1e-9
+), every as (select doc_id, label from places union select doc_id, label from found),
 named as (select doc_id, string_agg(label, ',' order by label) as labels from every group by doc_id),
-best as (select doc_id, max(share) as share from notices group by doc_id)
+best as (select doc_id, max(share) as share from found group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(base.n, 0) as bigint) as n_base,
   cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   coalesce(base.labels, '') as base_labels, coalesce(named.labels, '') as labels,
