@@ -13,7 +13,7 @@ from tokenizers.models import Unigram
 import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.conftest import MESSY, PROSE, WORDS, table
-from tillstream.llm import forest, mixing, windows
+from tillstream.llm import compression, forest, mixing, windows
 from tillstream.llm.calibration import class_weights, fitted, probability
 from tillstream.llm.components import components
 from tillstream.llm.decontamination import removed
@@ -416,6 +416,46 @@ def test_quality_of_held_out_documents(spark):
     assert all(row.predicted == int(row.score >= 0.7) for row in rows)
 
 
+def test_quality_scores_by_brute_force(spark):
+    """The compressed sizes of whole texts, slice by slice, and the logistic curve, all computed once more from the model."""
+    import zstandard
+
+    random = np.random.default_rng(9)
+    good, bad = ([f"{mark}{k}" for k in range(300)] for mark in ("fine", "poor"))
+    rows = [(i, " ".join(random.choice(good if i % 2 else bad, int(random.integers(20, 900))))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, rows[0][1]), (None, rows[1][1])]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    docs = table(spark, rows)
+    model = compression.train(docs, labels)
+
+    def size(text, dictionary):
+        press = zstandard.ZstdCompressor(
+            level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False
+        )
+        return sum(len(press.compress(text[i : i + 2048])) for i in range(0, len(text), 2048))
+
+    expected = []
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        x = (size(raw, model.bad) - size(raw, model.good)) / (len(raw) + 8)
+        expected.append((doc_id, 1 / (1 + np.exp(-np.clip(model.parameters[0] + model.parameters[1] * x, -30, 30)))))
+    found = sorted(compression.quality(docs, model).collect(), key=str)
+    for row, (doc_id, score) in zip(found, sorted(expected, key=lambda r: str(f"Row(doc_id={r[0]}, score={r[1]})")), strict=True):
+        assert row.doc_id == doc_id and row.score == pytest.approx(score, abs=1e-9)
+    by_id = {row.doc_id: row.score for row in found}
+    assert by_id[0] == by_id[302] and by_id[1] == by_id[None] and by_id[300] == by_id[301]
+    assert all((by_id[i] > 0.5) == bool(i % 2) for i in range(200))
+
+
+def test_a_fitted_quality_model_on_messy_rows(spark, messy, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 0), (1, 0)], "doc_id bigint, quality int")
+    model = compression.train(messy, labels)
+    rows = compression.quality(messy, model).collect()
+    assert len(rows) == len(MESSY) and all(0 <= row.score <= 1 for row in rows)
+    assert len({row.score for row in rows if row.doc_id in (1, 2)}) == 1
+    assert compression.quality(empty, model).collect() == []
+
+
 def test_calibration():
     random = np.random.default_rng(0)
     x = random.normal(size=20_000)

@@ -89,6 +89,10 @@ def train(
 
     At most ``sample_docs`` documents of either label and ``sample_slices`` slices of 2 kB of either are used. The
     calibration gives the classes the shares they have among all labels.
+
+    Null labels and ids are left out; an id with both labels has the larger one; labels of documents that are not there count
+    for the shares alone. Null and empty texts have no slices. Rows of ``docs`` that repeat an id are documents of their
+    own. A class without documents has an empty dictionary; without any, and of empty tables, every score is 0.5.
     """
     chosen = sampled_labels(labels, label, sample_docs)
     # The sample of each class is in order of hash: every other one is for calibration.

@@ -216,7 +216,9 @@ def digest(found: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, without the stretches of text that benchmark items cover.
 
-    The words of a span and what stands between them go; ``n_chars`` is counted anew.
+    The words of a span and what stands between them go; ``n_chars`` is counted anew. All rows stay, also where nothing is
+    left of a text. Null and empty texts stay as they are; rows that repeat a document are treated alike; ids do not
+    matter. An empty benchmark removes nothing, and an empty table gives an empty one. Columns may have any names.
     """
     blocks = phrase_blocks(benchmark, window)
 

@@ -161,7 +161,9 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents that the mix takes words of: their columns, and size, source_size, target and taken.
 
-    Columns of these names that the documents have already are replaced.
+    Columns of these names that the documents have already are replaced. Documents that nothing is taken of, null and empty
+    texts among them, are left out. A null source is a source of its own; ids may be null or repeat. Ties of seeded places
+    go by id and size, so rows that repeat a document may be taken one without the other. An empty table gives an empty one.
     """
     figures = ["size", "source_size", "target", "taken"]
     places = [f"_{i}" for i in range(len(docs.columns))]

@@ -109,7 +109,11 @@ def repetition(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns, whatever their names.
+
+    Rows that repeat a document stay or go together. Null and empty texts have no words and go; null ids do not matter. An
+    empty table gives an empty one.
+    """
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         return piece.filter(pa.array(judged(measured(pc.cast(piece.column("text"), pa.string())))["kept"]))
