@@ -1,6 +1,6 @@
 import pytest
 
-from tillstream.storage import checked_place, run_folder, shared_folder
+from tillstream.storage import checked_place, remove_run_folders, removed_after, run_folder, shared_folder
 
 
 class Session:
@@ -46,3 +46,20 @@ def test_relative_places_are_refused_on_a_cluster_without_a_common_file_system(s
         assert checked_place(spark, "output", "the output folder") == "output"
     finally:
         hadoop.set("fs.defaultFS", before)
+
+
+def test_folders_of_a_step_are_removed_at_its_end(spark):
+    remove_run_folders(spark)
+    before = run_folder(spark)
+    spark.range(3).write.parquet(before)
+    with removed_after(spark):
+        during = run_folder(spark)
+        spark.range(3).write.parquet(during)
+        assert spark.read.parquet(during).count() == 3
+    assert spark.read.parquet(before).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(during)
+    with pytest.raises(ZeroDivisionError), removed_after(spark):
+        run_folder(spark)
+        1 / 0  # noqa: B018
+    assert remove_run_folders(spark) == 1

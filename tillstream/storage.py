@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 #: Run folders that have not been removed, by application.
 _made: dict[str, list[str]] = {}
+#: Those that the step at hand has made, if it removes them at its end.
+_own: ContextVar[list[str] | None] = ContextVar("_own", default=None)
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -28,9 +33,30 @@ def run_folder(spark: SparkSession) -> str:
         folder = tempfile.gettempdir()
     made = f"{folder}/tillstream-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(made)
+    if (own := _own.get()) is not None:
+        own.append(made)
     return made
 
 
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Run folders that are made in this context, by this thread, go when it ends.
+
+    For a step whose result has been written elsewhere by then.
+    """
+    token = _own.set([])
+    try:
+        yield
+    finally:
+        own = _own.get() or []
+        _own.reset(token)
+        made = _made.get(spark.sparkContext.applicationId, [])
+        for folder in own:
+            if folder in made:
+                made.remove(folder)
+                _remove(spark, folder)
+
+
 def remove_run_folders(spark: SparkSession) -> int:
     """Remove what the runs of this session have written so far, and say how many folders there were.
 
@@ -38,11 +64,15 @@ def remove_run_folders(spark: SparkSession) -> int:
     """
     made = _made.pop(spark.sparkContext.applicationId, [])
     for folder in made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, folder)
     return len(made)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def move_folder(spark: SparkSession, source: str, target: str) -> None:
     """Give a folder another name; a folder that is not there becomes an empty one."""
     old, new = (spark._jvm.org.apache.hadoop.fs.Path(name) for name in (source, target))
