@@ -19,7 +19,8 @@ def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> Dat
     order does not tell apart get their places in any order. ``group`` holds no null; an empty table gives an empty one.
     """
     keys = [F.col(group), *order]
-    dealt = rows.withColumn("_equal", F.monotonically_increasing_id())
+    # Written first: Spark reads the rows twice, once to find the ranges.
+    dealt = written(rows).withColumn("_equal", F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(*keys, "_equal").sortWithinPartitions(*keys, "_equal").drop("_equal")
     at = F.monotonically_increasing_id()
     placed = written(dealt.withColumn("_range", F.shiftright(at, _BITS)).withColumn("_at", at.bitwiseAND((1 << _BITS) - 1)))
