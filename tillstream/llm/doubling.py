@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.packing import document_keys, packed, per_unpacked
+from tillstream.llm.ranges import dealt
 from tillstream.llm.suffixes import covered, runs
 from tillstream.llm.tables import free_shuffles, written
-from tillstream.llm.text import ByteHashes, Texts, documents, lists, mixed, per_piece, texts_of
+from tillstream.llm.text import ByteHashes, Texts, lists, mixed, texts_of
 
 #: Bytes of a string that may stand once only.
 LENGTH = 100
@@ -153,10 +154,8 @@ def _sorted_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         place, code = document_keys(piece.column("doc_id"), texts)
         return _local(texts, place, code, a, b, owner, start, count, length)
 
-    rows = per_piece(documents(docs), work, _ROWS)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # By ranges of both ranks: a core with very many surroundings is split like all the rest.
-    return rows.repartitionByRange(partitions, "a", "b").sortWithinPartitions("a", "b", "place", "code", "spot")
+    return dealt(docs, work, _ROWS, ("a", "b"), ["a", "b", "place", "code", "spot"])
 
 
 def _judged(rows: DataFrame, length: int, edges: bool) -> DataFrame:

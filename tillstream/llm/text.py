@@ -68,20 +68,26 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out
 
 
-class ByteHashes:
-    """Hashes of any stretches of a buffer, by differences of prefix sums."""
+class StretchHashes:
+    """Hashes of any stretches of random numbers, by differences of prefix sums."""
 
-    def __init__(self, data: np.ndarray):
-        terms = _OF_BYTE[data]
-        terms *= _power(_BASE, len(data))
-        self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    def __init__(self, values: np.ndarray):
+        terms = values * _power(_BASE, len(values))
+        self._sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(terms, out=self._sums[1:])
-        self._back = _power(_INVERSE, len(data) + 1)
+        self._back = _power(_INVERSE, len(values) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._back[start] + (end - start).astype(np.uint64))
 
 
+class ByteHashes(StretchHashes):
+    """Hashes of any stretches of a buffer of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(_OF_BYTE[data])
+
+
 #: Bytes of a word that are hashed eight at a time.
 LONG_WORD = 32
 
