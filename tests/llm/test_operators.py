@@ -15,6 +15,7 @@ from tests.conftest import SF_DIR
 from tests.llm.conftest import MESSY, PROSE, WORDS, table
 from tillstream.llm import compression, forest, mixing, windows
 from tillstream.llm.calibration import class_weights, fitted, probability
+from tillstream.llm import components as components_module
 from tillstream.llm.components import components
 from tillstream.llm.decontamination import removed
 from tillstream.llm.licenses import Templates, license_scan
@@ -205,8 +206,9 @@ def test_mix_of_the_documents(spark, docs):
 # 7: near duplicates
 
 
-@pytest.mark.parametrize("partitions", ["8", "3"])
-def test_components(spark, partitions):
+@pytest.mark.parametrize(("partitions", "links"), [("8", 250_000), ("8", 9), ("3", 9)])
+def test_components(spark, monkeypatch, partitions, links):
+    monkeypatch.setattr(components_module, "LINKS", links)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         chain = [(i, i + 1) for i in range(100, 160)] + [(5, 90), (90, 5), (7, 7), (3, 5), (200, 90)]

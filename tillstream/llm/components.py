@@ -57,6 +57,10 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a bigint, b bigint")
 
 
+#: Links that a task joins at a time, about.
+LINKS = 250_000
+
+
 def _is_flat(links: DataFrame) -> bool:
     """Whether each node has one smaller neighbour at most, which has none itself."""
     once = links.groupBy("a").agg(F.count("*").alias("n"))
@@ -68,12 +72,15 @@ def _is_flat(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """Each linked node with the smallest node of its component, as (node, component).
 
-    Each task joins its own links first. Then large and small stars take turns until each node is linked with the
-    smallest one alone, which takes a number of rounds that grows with the logarithm of the nodes. Links (a, b) may
-    repeat and may go either way; a node linked with itself alone is left out.
+    Each task joins its own links first, and then those of several tasks, up to LINKS. If these are more than one task's,
+    large and small stars take turns until each node is linked with the smallest one alone, which takes a number of rounds
+    that grows with the logarithm of the nodes. Links (a, b) may repeat and may go either way; a node linked with itself
+    alone is left out.
     """
     now = written(_contracted(links.select("a", "b").filter(F.col("a") != F.col("b"))))
-    while not _is_flat(now):
+    tasks = max(1, -(-now.count() // LINKS))
+    now = written(_contracted(now.coalesce(tasks)))
+    while tasks > 1 and not _is_flat(now):
         now = written(_star(written(_star(now, large=True)), large=False))
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return linked.unionAll(now.select("b", "b").distinct().toDF("node", "component"))

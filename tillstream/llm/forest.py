@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillstream.llm.components import components
-from tillstream.llm.packing import whole_groups
+from tillstream.llm.packing import pack, per_unpacked, unpack, whole_groups
 from tillstream.llm.tables import content_key, free_shuffles, written
-from tillstream.llm.text import PRINTED, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
+from tillstream.llm.text import PRINTED, Texts, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
 
 #: Words of a shingle, and the least percentage of shingles that linked documents have in common.
 SHINGLE = 4
@@ -30,10 +30,12 @@ LEAST_DEPTH = 2
 DEEP = 75
 LEAST_PERCENT = 50
 NEIGHBOURS = 256
-#: Rows of a part of a region, of which two are compared by sketches at a time; and rows and shingles of a part of a clump, of
-#: which two are compared by their full sets.
+#: Rows of a part of a region, of which two are compared by sketches at a time.
 PART = 1024
+#: Rows of a part of a clump, of which two are compared by their full sets: so few that small clumps are spread over tasks
+#: too, and more in clumps of more than SPREAD parts. And how many shingles a part has at most, about.
 SETS = 128
+SPREAD = 16
 SET_SHINGLES = 1 << 20
 #: With what probability the sketches of a link may agree in too few values for a candidate.
 MISSED = 2e-7
@@ -132,7 +134,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _trees(nodes: DataFrame) -> DataFrame:
-    """Each node once per tree, with its key there and its sketch."""
+    """Each node once per tree, with its key there, its sketch, and its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +142,10 @@ def _trees(nodes: DataFrame) -> DataFrame:
             for tree, order in enumerate(_ORDERS):
                 key = _binary(signature[:, order].reshape(-1, 4 * DEPTH))
                 where = pa.array(np.full(len(batch), tree), pa.int32())
-                columns = [where, key, batch.column("node"), batch.column("n_shingles"), batch.column("sketch")]
-                yield pa.RecordBatch.from_arrays(columns, ["tree", "key", "node", "n", "sketch"])
+                columns = [batch.column(name) for name in ("node", "n_shingles", "sketch", "component")]
+                yield pa.RecordBatch.from_arrays([where, key, *columns], ["tree", "key", "node", "n", "sketch", "component"])
 
-    return nodes.mapInArrow(run, "tree int, key binary, node bigint, n bigint, sketch binary")
+    return nodes.mapInArrow(run, "tree int, key binary, node bigint, n bigint, sketch binary, component bigint")
 
 
 @cache
@@ -228,7 +230,7 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), agree]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(row) for row in pairs], ["a", "b", "agree"])
 
-    trees = _trees(nodes)
+    trees = _trees(nodes.withColumn("component", F.col("node"))).drop("component")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = trees.repartitionByRange(partitions, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     return rows.mapInArrow(run, "a bigint, b bigint, agree bigint").distinct()
@@ -329,13 +331,14 @@ def _clumps(nodes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ends) for ends in _alike_nodes(group, percent)], ["a", "b"])
 
     region = F.xxhash64("tree", F.substring("key", 1, 4 * _depth(percent)))
-    trees = _trees(nodes).select(region.alias("region"), "node", "n", "sketch").join(named, "node")
+    trees = _trees(nodes.join(named, "node")).select(region.alias("region"), "node", "n", "sketch", "component")
     counts = trees.groupBy("region", "component").agg(F.count("*").alias("n"))
     counts = counts.groupBy("region").agg(
         F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")
     )
     several = written(counts.filter("components > 1").select("region", "total", "most"))
-    rows = trees.join(several, "region")
+    # Merged at any size: there may be as many such regions as nodes.
+    rows = trees.join(several.hint("merge"), "region")
     parts, rest = F.ceil(F.col("most.n") / PART), F.ceil((F.col("total") - F.col("most.n")) / PART)
     rows = _cells(rows, "region", F.col("total") <= PART, F.col("component") == F.col("most.component"), parts, rest)
     rows = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "node")
@@ -343,12 +346,12 @@ def _clumps(nodes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     return written(clumps.withColumnRenamed("component", "clump").join(named, "node"))
 
 
-def _linked_components(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked_components(batch: pa.RecordBatch, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the components of a cell's nodes, confirmed on the full sets; one for each two that it joins."""
     inner = batch.column("i")[0] == batch.column("j")[0]
     part, n, component = (batch.column(name).to_numpy() for name in ("part", "n", "component"))
     sketch = _matrix(batch.column("sketch"), HASHES // 2)
-    values = np.concatenate([np.frombuffer(own, dtype=np.int64) for own in batch.column("shingles").to_pylist()])
+    _, values = shingle_sets(words_of(unpack(batch.column("packed").to_pylist()), PRINTED), size)
     # Shingles as small numbers, so that a set can be marked in a table.
     distinct, shingle = np.unique(values, return_inverse=True)
     marked = np.zeros(len(distinct), dtype=bool)
@@ -364,31 +367,19 @@ def _linked_components(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray,
             continue
         mine = shingle[end[i] - n[i] : end[i]]
         marked[mine] = True
-        size = n[other]
-        begin = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) + np.repeat(end[other] - size - begin, size)
+        counts = n[other]
+        begin = np.cumsum(counts) - counts
+        at = np.arange(int(counts.sum())) + np.repeat(end[other] - counts - begin, counts)
         common = np.add.reduceat(marked[shingle[at]], begin, dtype=np.int64)
         marked[mine] = False
-        linked = other[100 * common >= percent * (n[i] + size - common)]
+        linked = other[100 * common >= percent * (n[i] + counts - common)]
         pairs = np.stack([np.full(len(linked), name[i]), name[linked]])
         links.append(pairs[:, sets.join(*pairs)])
     pairs = np.concatenate(links, axis=1) if links else np.zeros((2, 0), dtype=np.int64)
     return names[pairs[0]], names[pairs[1]]
 
 
-def _set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """Each text's set as the bytes of its shingles."""
-
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        owner, value = shingle_sets(words_of(texts_of(piece.column("text"), lower=True), PRINTED), size)
-        first = np.searchsorted(owner, np.arange(len(piece) + 1))
-        sets = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    return per_piece(texts, work, "node bigint, shingles binary")
-
-
-def _between(docs: DataFrame, nodes: DataFrame, named: DataFrame, size: int, percent: int) -> DataFrame:
+def _between(docs: DataFrame, nodes: DataFrame, named: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components: all components that confirmed links connect are connected by these.
 
     All pairs of nodes of different components that agree in LEAST_DEPTH values of some tree, and whose sizes and sketches
@@ -398,27 +389,33 @@ def _between(docs: DataFrame, nodes: DataFrame, named: DataFrame, size: int, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["clump", "i", "j"]):
-            yield pa.RecordBatch.from_arrays([pa.array(ends) for ends in _linked_components(group, percent)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ends) for ends in _linked_components(group, size, percent)], ["a", "b"])
 
     clumps = _clumps(nodes, named, percent)
     rows = clumps.join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
     sums = rows.groupBy("clump").agg(F.count("*").alias("total"), F.sum("n").alias("sum"))
-    parts = F.greatest(F.ceil(F.col("total") / SETS), F.ceil(F.col("sum") / SET_SHINGLES))
+    parts = F.greatest(
+        F.least(F.ceil(F.col("total") / SETS), F.lit(SPREAD)),
+        F.ceil(F.col("total") / PART),
+        F.ceil(F.col("sum") / SET_SHINGLES),
+    )
     none = F.lit(0).cast("bigint")
     rows = _cells(rows.join(sums, "clump"), "clump", parts <= 1, F.lit(False), none, parts)
-    sets = written(_set_rows(_texts(docs, nodes.join(clumps.select("node"), "node")), size))
+    missing = written(clumps.select("node").join(texts.select("node"), "node", "left_anti"))
+    if not missing.isEmpty():
+        texts = texts.unionAll(_texts(docs, nodes.join(missing, "node")))
     keys = ["clump", "i", "j"]
-    rows = rows.join(sets, "node").repartitionByRange(*keys).sortWithinPartitions(*keys, "node")
+    rows = rows.join(texts.drop("size"), "node").repartitionByRange(*keys).sortWithinPartitions(*keys, "node")
     return written(rows.mapInArrow(run, "a bigint, b bigint"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets have at least ``percent`` percent of their shingles in common."""
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+    def work(piece: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         sets = []
-        for name in ("text", "other"):
-            owner, value = shingle_sets(words_of(texts_of(piece.column(name), lower=True), PRINTED), size)
+        for own in (texts, unpack(piece.column("other").to_pylist())):
+            owner, value = shingle_sets(words_of(own, PRINTED), size)
             sets.append((value, np.searchsorted(owner, np.arange(len(piece) + 1))))
         (left, first_left), (right, first_right) = sets
         linked = np.zeros(len(piece), dtype=bool)
@@ -426,21 +423,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
             mine, theirs = left[first_left[i] : first_left[i + 1]], right[first_right[i] : first_right[i + 1]]
             common = len(np.intersect1d(mine, theirs, assume_unique=True))
             linked[i] = 100 * common >= percent * (len(mine) + len(theirs) - common)
-        return piece.select(["a", "b"]).append_column("linked", pa.array(linked))
+        return piece.select(["a", "b"]).filter(pa.array(linked))
 
     first = texts.withColumnRenamed("node", "a")
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
-    rows = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text", "other")
-    schema = "a bigint, b bigint, linked boolean"
+    second = texts.select(F.col("node").alias("b"), F.col("packed").alias("other"))
+    rows = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "size", "packed", "other")
     # Rows carry two texts, so pieces are half as long.
-    return per_piece(rows, work, schema, 1 << 20).filter("linked").select("a", "b")
+    return per_unpacked(rows, work, "a bigint, b bigint", 1 << 20)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The text of each of the nodes, found by id and key."""
-    wanted = written(nodes.select("node", F.col("first.doc_id").alias("doc_id"), "first.key_a", "first.key_b").distinct())
-    rows = keyed(docs).join(wanted, ["doc_id", "key_a", "key_b"])
-    return written(rows.select("node", "text").distinct())
+    """The text of each of the nodes in lower case, compressed, found by id and key. Compressed texts are shorter than the
+    hashes of their shingles."""
+    keys = ["doc_id", "key_a", "key_b"]
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(piece.column("text"), lower=True)
+        columns = [pa.array(np.diff(texts.offset)), pack(texts.raw(i) for i in range(len(texts)))]
+        return pa.RecordBatch.from_arrays([*(piece.column(key) for key in keys), *columns], [*keys, "size", "packed"])
+
+    packed = per_piece(keyed(docs), work, "doc_id bigint, key_a bigint, key_b bigint, size bigint, packed binary")
+    wanted = written(nodes.select("node", *(f"first.{key}" for key in keys)))
+    # Merged at any size: there may be as many nodes as documents. Rows that repeat a document are in one place then.
+    rows = packed.join(wanted.hint("merge"), keys).groupBy(*keys, "node")
+    return written(rows.agg(F.first("size").alias("size"), F.first("packed").alias("packed")).drop(*keys))
 
 
 def _tried(candidates: DataFrame, percent: int) -> DataFrame:
@@ -460,14 +466,14 @@ def _labelled(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> Dat
     First each node is compared with its best candidate and with its smallest one, which joins most of a large group
     into one component; then all that are in different components and may be linked are compared.
     """
-    tried = _tried(_candidates(nodes, percent), percent)
-    ends = tried.select(F.col("a").alias("node")).unionAll(tried.select("b")).distinct()
+    candidates = written(_candidates(nodes, percent))
+    ends = candidates.select(F.col("a").alias("node")).unionAll(candidates.select("b")).distinct()
     texts = _texts(docs, nodes.join(ends, "node"))
-    labels = components(_confirmed(tried, texts, size, percent))
+    labels = components(_confirmed(_tried(candidates, percent), texts, size, percent))
     named = nodes.select("node").join(labels, "node", "left")
     named = written(named.select("node", F.coalesce("component", "node").alias("component")))
     free_shuffles(docs.sparkSession)
-    merged = components(_between(docs, nodes, named, size, percent))
+    merged = components(_between(docs, nodes, named, texts, size, percent))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = named.join(merged, "component", "left")
     return written(named.select("node", F.coalesce("whole", "component").alias("component")))
