@@ -25,9 +25,9 @@ HALF_SAY = 30.0
 #: Neighbours that vote, and the power of the cosine that their votes count by.
 NEIGHBOURS = 15
 POWER = 2
-#: Examples of a block of the index, and blocks that are looked at together.
+#: Examples of a block of the index, and blocks that are looked at first; then all that can still hold a nearer one.
 BLOCK = 128
-ROUND = 2
+FIRST_BLOCKS = 4
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,28 +111,31 @@ class BlockMaxIndex:
         self.first = np.searchsorted(key[self.begin] // self.n_blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of the largest cosine above 0, ties by number. Exact: blocks are taken by falling upper
-        bound until the next cannot reach the k-th best."""
+        """The ``k`` examples of the largest cosine above 0, ties by number. Exact: the blocks of the highest upper bounds are
+        taken first, and then all others whose bound reaches the k-th best."""
         entry, of = _ranges(self.first[terms], self.first[terms + 1])
         block, weight = self.block[entry], weights[of]
         bound = np.bincount(block, weight * self.largest[entry], minlength=self.n_blocks)
         score = np.zeros(self.n)
         found = np.zeros(0, dtype=np.int64)
         order = np.argsort(-bound, kind="stable")
-        for at in range(0, self.n_blocks, ROUND):
-            some = order[at : at + ROUND]
-            some = some[bound[some] > 0]
+        order = order[: np.count_nonzero(bound > 0)]
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            some = order[at : at + step]
+            at, step = at + step, self.n_blocks
             if len(found) == k:
                 some = some[bound[some] >= score[found[-1]] - 1e-9]
-            if not len(some):
-                break
+                if not len(some):
+                    break
             taken = np.zeros(self.n_blocks, dtype=bool)
             taken[some] = True
             own = np.flatnonzero(taken[block])
             posting, by = _ranges(self.begin[entry[own]], self.end[entry[own]])
-            examples = self.owner[posting]
-            sums = np.bincount(examples, weight[own][by] * self.weight[posting], minlength=self.n)
+            sums = np.bincount(self.owner[posting], weight[own][by] * self.weight[posting], minlength=self.n)
             fresh = np.flatnonzero(sums)
+            if len(found) == k:
+                fresh = fresh[sums[fresh] >= score[found[-1]] - 1e-9]
             score[fresh] = np.round(sums[fresh], 12)
             fresh = fresh[(score[fresh] > 0) & (fresh != skip)]
             every = np.concatenate([found, fresh])
