@@ -64,6 +64,23 @@ def test_query_on_odd_texts_equals_its_sql(spark, odd_dir, name):
     assert differences(result, ORACLES[name], odd_dir) == ({}, {})
 
 
+@pytest.mark.parametrize("name", ["op2_token_counts", "op6_source_mixing"])
+def test_query_without_sql_on_odd_texts(spark, odd_dir, name):
+    ids = sorted(row.doc_id for row in spark.read.parquet(f"{odd_dir}/documents.parquet").collect())
+    assert sorted(row.doc_id for row in QUERIES[name](spark, odd_dir).collect()) == ids
+
+
+def test_passages_of_odd_texts(spark, odd_dir):
+    """The second half of the table repeats the first; texts of under 50 words have no passage."""
+    rows = QUERIES["op9_substring_dedup"](spark, odd_dir).collect()
+    texts = {row.doc_id: row.text or "" for row in spark.read.parquet(f"{odd_dir}/documents.parquet").collect()}
+    first = {}
+    for doc_id in sorted(texts):
+        first.setdefault(texts[doc_id], doc_id)
+    long = {doc_id for doc_id, text in texts.items() if len(set(text.split())) >= 50 and first[text] != doc_id}
+    assert {row.doc_id for row in rows} >= long and all(row.of_doc < row.doc_id for row in rows)
+
+
 def _models(spark, docs, labels):
     no_labels = labels.limit(0)
     return {
