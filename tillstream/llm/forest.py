@@ -36,7 +36,9 @@ PART = 1024
 #: too, and more in clumps of more than SPREAD parts. And how many shingles a part has at most, about.
 SETS = 128
 SPREAD = 16
-SET_SHINGLES = 1 << 20
+SET_SHINGLES = 1 << 18
+#: Bytes of text that are worked on together: less than elsewhere, to leave room in an executor.
+PIECE = 1 << 20
 #: With what probability the sketches of a link may agree in too few values for a candidate.
 MISSED = 2e-7
 
@@ -130,7 +132,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         )
 
     numbers = ", ".join(f"{name} bigint" for name in ("doc_id", "key_a", "key_b", "n_shingles", "set_a", "set_b"))
-    return per_piece(keyed(docs), work, f"{numbers}, signature binary, sketch binary")
+    return per_piece(keyed(docs), work, f"{numbers}, signature binary, sketch binary", PIECE)
 
 
 def _trees(nodes: DataFrame) -> DataFrame:
@@ -403,7 +405,7 @@ def _between(docs: DataFrame, nodes: DataFrame, named: DataFrame, texts: DataFra
     rows = _cells(rows.join(sums, "clump"), "clump", parts <= 1, F.lit(False), none, parts)
     missing = written(clumps.select("node").join(texts.select("node"), "node", "left_anti"))
     if not missing.isEmpty():
-        texts = texts.unionAll(_texts(docs, nodes.join(missing, "node")))
+        texts = texts.unionAll(_texts(docs, nodes.join(missing, "node"), few=True))
     keys = ["clump", "i", "j"]
     rows = rows.join(texts.drop("size"), "node").repartitionByRange(*keys).sortWithinPartitions(*keys, "node")
     return written(rows.mapInArrow(run, "a bigint, b bigint"))
@@ -429,12 +431,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     second = texts.select(F.col("node").alias("b"), F.col("packed").alias("other"))
     rows = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "size", "packed", "other")
     # Rows carry two texts, so pieces are half as long.
-    return per_unpacked(rows, work, "a bigint, b bigint", 1 << 20)
+    return per_unpacked(rows, work, "a bigint, b bigint", PIECE // 2)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
     """The text of each of the nodes in lower case, compressed, found by id and key. Compressed texts are shorter than the
-    hashes of their shingles."""
+    hashes of their shingles. ``few``: where the nodes may be so few that Spark finds a better join than by merging."""
     keys = ["doc_id", "key_a", "key_b"]
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -442,10 +444,10 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         columns = [pa.array(np.diff(texts.offset)), pack(texts.raw(i) for i in range(len(texts)))]
         return pa.RecordBatch.from_arrays([*(piece.column(key) for key in keys), *columns], [*keys, "size", "packed"])
 
-    packed = per_piece(keyed(docs), work, "doc_id bigint, key_a bigint, key_b bigint, size bigint, packed binary")
+    packed = per_piece(keyed(docs), work, "doc_id bigint, key_a bigint, key_b bigint, size bigint, packed binary", PIECE)
     wanted = written(nodes.select("node", *(f"first.{key}" for key in keys)))
-    # Merged at any size: there may be as many nodes as documents. Rows that repeat a document are in one place then.
-    rows = packed.join(wanted.hint("merge"), keys).groupBy(*keys, "node")
+    # Else merged at any size: there may be as many nodes as documents. Rows that repeat a document are in one place then.
+    rows = packed.join(wanted if few else wanted.hint("merge"), keys).groupBy(*keys, "node")
     return written(rows.agg(F.first("size").alias("size"), F.first("packed").alias("packed")).drop(*keys))
 
 

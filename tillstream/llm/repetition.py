@@ -25,6 +25,8 @@ REPEAT_WORDS = 10
 #: Largest percentage of words in such substrings, and the longest one allowed.
 MAX_COVERED_PERCENT = 50
 MAX_LONGEST = 100
+#: Bytes of text that are worked on together: suffix arrays take many times that.
+PIECE = 1 << 20
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
@@ -105,7 +107,7 @@ def repetition(
             [piece.column("doc_id"), *(pa.array(figures[name]) for name in names)], ["doc_id", *names]
         )
 
-    return per_piece(documents(docs), work, SCHEMA)
+    return per_piece(documents(docs), work, SCHEMA, PIECE)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -118,4 +120,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         return piece.filter(pa.array(judged(measured(pc.cast(piece.column("text"), pa.string())))["kept"]))
 
-    return rewritten(docs, work)
+    return rewritten(docs, work, PIECE)
