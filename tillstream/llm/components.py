@@ -77,7 +77,9 @@ def components(links: DataFrame) -> DataFrame:
     that grows with the logarithm of the nodes. Links (a, b) may repeat and may go either way; a node linked with itself
     alone is left out.
     """
-    now = written(_contracted(links.select("a", "b").filter(F.col("a") != F.col("b"))))
+    # Written before they are joined: links often come from Python, and a task would keep two workers busy at a time.
+    now = written(links.select("a", "b").filter(F.col("a") != F.col("b")))
+    now = written(_contracted(now))
     tasks = max(1, -(-now.count() // LINKS))
     now = written(_contracted(now.coalesce(tasks)))
     while tasks > 1 and not _is_flat(now):
