@@ -245,7 +245,7 @@ def _sorted_positions(docs: DataFrame, edges: DataFrame, length: int) -> DataFra
         place, code = piece.column("place").to_numpy(), piece.column("code").to_numpy()
         return _local(texts, place, code, a, b, owner, start, one, length)
 
-    texts = packed(docs).join(_by_document(edges, "n"), ["place", "code"])
+    texts = packed(docs).join(_by_document(edges, "n").hint("merge"), ["place", "code"])
     rows = per_unpacked(texts.select("place", "code", "size", "packed", "parts"), work, _ROWS, 2 << 20)
     return rows.repartition("a", "b").sortWithinPartitions("a", "b", "place", "code", "spot")
 
@@ -294,7 +294,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
         )
 
     found = _by_document(repeated(docs, length, anchor), "end")
-    rows = packed(docs).join(found, ["place", "code"], "left").select("doc_id", "size", "packed", "parts")
+    rows = packed(docs).join(found.hint("merge"), ["place", "code"], "left").select("doc_id", "size", "packed", "parts")
     schema = (
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,"
         " spans array<struct<first_byte: bigint, end_byte: bigint>>"

@@ -49,7 +49,11 @@ def placed(docs: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, once: bool = False) -> DataFrame:
     """Per row its place and code, its id, the size of its text in bytes, and the text
     compressed. Null is an empty text. With ``once``, rows that repeat id and text are left out within each piece; others may
-    stay, so what is done with the rows must not depend on them."""
+    stay, so what is done with the rows must not depend on them.
+
+    What is joined with the rows is merged at any size: there may be as much of it as documents, and a task that unpacked the
+    rows it has just packed would keep two Python workers.
+    """
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(piece.column("text"))
