@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillstream.llm.tables import written
 from tillstream.llm.text import documents, per_piece
 
-#: One in so many documents is in the sample, and so many of their rows are taken for each range.
-SAMPLE = 16
-PER_RANGE = 64
+#: One in so many documents is in the sample, and about so many of their rows are taken for each range.
+SAMPLE = 32
+PER_RANGE = 32
 
 
 def range_of(bounds: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,8 +43,9 @@ def dealt(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents(docs)
     some = per_piece(texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0), work, schema)
-    names = [part.split()[0] for part in schema.split(", ")]
-    sample = sorted(some.orderBy(F.xxhash64(*names), *keys).select(*keys).limit(PER_RANGE * n).collect())
+    # The driver gets a few rows for each range, however large the table is.
+    some = written(some.select(*keys), "sample")
+    sample = sorted(some.sample(min(1.0, PER_RANGE * n / max(1, some.count())), seed=1).collect())
     if len(sample) < PER_RANGE * n // 4:  # a small table, or none
         rows = per_piece(texts, work, schema).repartitionByRange(n, *keys)
         return rows.sortWithinPartitions(*order)
