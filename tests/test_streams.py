@@ -3,14 +3,18 @@
 import json
 import os
 import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_DIR
 from tests.records import HOME_DELIVERY, TAKEAWAY
 from tillstream.operators import flatten_line_items, loyalty_points, notification_messages, parse_invoices
 from tillstream.plans import start_queries, wait_for_any
+from tillstream.plans.catalog import QUERIES
 from tillstream.schemas import FLAT_SCHEMA, MESSAGE_SCHEMA
 from tillstream.sources import read_topic_files
 from tillstream.streaming import write_files
@@ -220,3 +224,15 @@ def test_stream_equals_batch(run, spark):
     assert run.rows() == sorted(tuple(row) for row in flatten_line_items(invoices).collect())
     batch = notification_messages(loyalty_points(invoices)).collect()
     assert run.keys() == sorted((row.key or "", row.value) for row in batch)
+
+
+@pytest.mark.parametrize("name", ["flatten_stream", "restarted_stream"])
+def test_line_items_are_written_compressed(spark, name):
+    """Flat rows as JSON text would be most of what these queries write."""
+    found = QUERIES[name](spark, SF_DIR)
+    output = Path(urlparse(found.inputFiles()[0]).path).parents[1] / "output"
+    files = [path for path in output.rglob("part-*") if path.is_file()]
+    rows = spark.read.schema(FLAT_SCHEMA).json(str(output))
+    plain = rows.select(F.sum(F.length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert files and sum(path.stat().st_size for path in files) < plain / 3
+    assert rows.count() == 6000

@@ -18,6 +18,9 @@ from tillstream.streaming import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Flat rows as JSON text are several times the records they come from, and mostly the names of fields.
+COMPRESSED = {"compression": "lz4"}
+
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar fields of every invoice and of its address."""
@@ -128,7 +131,7 @@ def _published(spark: SparkSession, folder: str) -> DataFrame:
 
 def _flatten(spark: SparkSession, folder: str, **options: str) -> StreamingQuery:
     rows = flatten_line_items(parse_invoices(_stream(spark, folder, **options)))
-    return write_files(rows, f"{folder}/output", f"{folder}/checkpoints/flatten", available_now=True)
+    return write_files(rows, f"{folder}/output", f"{folder}/checkpoints/flatten", available_now=True, **COMPRESSED)
 
 
 def _flattened(spark: SparkSession, folder: str) -> DataFrame:
