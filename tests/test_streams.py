@@ -226,7 +226,7 @@ def test_stream_equals_batch(run, spark):
     assert run.keys() == sorted((row.key or "", row.value) for row in batch)
 
 
-@pytest.mark.parametrize("name", ["flatten_stream", "restarted_stream"])
+@pytest.mark.parametrize("name", ["flatten_stream", "restarted_stream", "invoice_job", "invoice_job_messages"])
 def test_line_items_are_written_compressed(spark, name):
     """Flat rows as JSON text would be most of what these queries write."""
     found = QUERIES[name](spark, SF_DIR)

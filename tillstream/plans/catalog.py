@@ -92,7 +92,8 @@ def invoice_job(spark: SparkSession, sf_dir: str, result: Callable[[SparkSession
     """
     folder = _topic_folder(spark, sf_dir)
     publish = partial(_write_messages, f"{folder}/messages", available_now=False)
-    started = start_queries(_stream(spark, folder), publish, f"{folder}/output", f"{folder}/checkpoints")
+    output, checkpoints = f"{folder}/output", f"{folder}/checkpoints"
+    started = start_queries(_stream(spark, folder), publish, output, checkpoints, output_options=COMPRESSED)
     try:
         for query in started:
             query.processAllAvailable()

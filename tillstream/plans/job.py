@@ -25,11 +25,13 @@ def start_queries(
     output: str,
     checkpoints: str,
     available_now: bool = False,
+    output_options: Mapping[str, str] | None = None,
 ) -> list[StreamingQuery]:
     """Start the notification query and the line-item query on one stream of topic records.
 
-    ``publish`` starts the notification sink, given the messages and a checkpoint folder. Each query reads the stream
-    by itself and keeps its own checkpoint, so either can be stopped and started again without the other.
+    ``publish`` starts the notification sink, given the messages and a checkpoint folder; ``output_options`` go to the
+    file sink of the line items. Each query reads the stream by itself and keeps its own checkpoint, so either can be
+    stopped and started again without the other.
     """
     invoices = parse_invoices(records)
     messages = notification_messages(loyalty_points(invoices))
@@ -40,6 +42,7 @@ def start_queries(
             output,
             f"{checkpoints}/{FLATTEN_CHECKPOINT}",
             available_now=available_now,
+            **(output_options or {}),
         )
     except Exception:
         notify.stop()
@@ -55,13 +58,15 @@ def start_job(
     available_now: bool = False,
     source_options: Mapping[str, str] | None = None,
     sink_options: Mapping[str, str] | None = None,
+    output_options: Mapping[str, str] | None = None,
 ) -> list[StreamingQuery]:
     """Start the job on a Kafka broker, from which it reads and to which it writes.
 
     ``source_options`` and ``sink_options`` go to Spark's Kafka source and sink as they are; a secured cluster needs its
-    client settings in both. Checkpoints go to the cluster's shared folder unless a folder is given.
+    client settings in both. ``output_options`` go to the file sink, such as ``compression``, without which the line items
+    are plain text. Checkpoints go to the cluster's shared folder unless a folder is given.
     """
-    for options in (source_options, sink_options):
+    for options in (source_options, sink_options, output_options):
         _refuse_settings(options or {})
     if checkpoints is None:
         checkpoints = "/".join(filter(None, [shared_folder(spark), CHECKPOINT_ROOT]))
@@ -75,11 +80,13 @@ def start_job(
         output,
         checkpoints,
         available_now,
+        output_options,
     )
 
 
 #: What is set by arguments of the job, and so for both ends alike.
 _SETTINGS = {"broker", "output", "checkpoints", "available_now", "name", "topic", "messages", "checkpoint", "spark"}
+_SETTINGS |= {"rows", "path", "format"}
 _SETTINGS |= {"kafka.bootstrap.servers", "checkpointlocation", "subscribe"}
 
 
