@@ -601,6 +601,31 @@ def test_recall_of_near_passages(spark):
     assert min(recall) >= 0.9
 
 
+def test_first_of_the_starts_of_one_content(spark):
+    """Whatever batches a content's rows are cut into, each row of a later document has the first of all."""
+    random = np.random.default_rng(11)
+    rows = sorted({tuple(int(value) for value in row) for row in random.integers(0, [40, 30, 2, 50], (3000, 4))})
+    first = {}
+    for content, *start in rows:
+        first.setdefault(content, start)
+    wanted = sorted((*start, *first[content]) for content, *start in rows if start[:2] != first[content][:2])
+    starts = spark.createDataFrame(rows, "content bigint, place bigint, code bigint, start bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, windows._repeated(starts).collect())) == wanted
+        assert str(windows._repeated(starts)._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_stretches_need_no_sets(monkeypatch):
+    words_ = np.arange(70, dtype=np.uint64) * np.uint64(977)
+    near = np.append(words_, np.uint64(5))
+    assert windows.similar_passages(words_, near, 50, 0.8) == windows.similar_passages(words_, words_.copy(), 50, 0.8)
+    monkeypatch.setattr(np, "unique", None)
+    assert windows.similar_passages(words_, words_.copy(), 50, 0.8) == [(0, 70, 0, 70, 1.0)]
+
+
 def test_passages_of_documents_without_id(spark):
     """Texts of equal CRC codes are told apart, and a passage that a text has twice is found both times."""
     texts = [PROSE, PROSE + " one more", "other words before " + PROSE]
