@@ -601,6 +601,83 @@ def test_recall_of_near_passages(spark):
     assert min(recall) >= 0.9
 
 
+@pytest.mark.parametrize("holders", [8, 1])
+def test_near_passages_around_a_line_that_all_documents_have(spark, monkeypatch, holders):
+    """30 pairs share 60 words but one, and 44 of these are a notice that all 240 documents have."""
+    monkeypatch.setattr(windows, "HOLDERS", holders)
+    notice = [f"n{k}" for k in range(44)]
+    rows, pairs = [], {}
+    for i in range(240):
+        pair = i if i < 30 else i - 210 if i >= 210 else None
+        mark = f"own{i}" if pair is None else f"pair{pair}"
+        own = list(notice)
+        if i >= 210:
+            own[(pair * 7) % 44] = f"new{i}"
+            pairs[i] = pair
+        body = [*(f"x{mark}w{k}" for k in range(8)), *own, *(f"y{mark}w{k}" for k in range(8))]
+        rows.append((i, " ".join([*(f"h{i}w{k}" for k in range(60)), *body, *(f"t{i}w{k}" for k in range(60))])))
+    found = defaultdict(set)
+    for row in windows.passages(table(spark, rows)).collect():
+        found[row.doc_id].update(range(row.first_word, row.end_word))
+        assert row.similarity >= 0.8 and row.of_doc == pairs[row.doc_id]
+    assert found.keys() == pairs.keys() and all(len(own & set(range(60, 120))) >= 50 for own in found.values())
+
+
+@pytest.mark.parametrize("holders", [8, 2])
+def test_passages_of_a_large_group_of_near_copies(spark, monkeypatch, holders):
+    """All words that brute force finds, comparing each text with all earlier ones, when every min-hash is hot."""
+    monkeypatch.setattr(windows, "HOT", 0)
+    monkeypatch.setattr(windows, "HOLDERS", holders)
+    random = np.random.default_rng(21)
+    base = [f"b{k}" for k in range(150)]
+    line = [f"line{k}" for k in range(12)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for at in random.choice(150, 5, replace=False):
+            own[at] = f"new{i}x{at}" if at % 3 else f"alt{at}"
+        if i % 4 == 0:
+            del own[int(random.integers(0, 150)) :]
+        if i % 3 == 0:
+            at = int(random.integers(0, len(own) + 1))
+            own[at:at] = line
+        if i % 5 == 0:
+            own += ["again"] * 60
+        rows.append((i, " ".join([*(f"h{i}w{k}" for k in range(20)), *own])))
+    wanted = {}
+    hashes = [words_of(texts_of(pa.array([text])), LETTERS).hash for _, text in rows]
+    for i, mine in enumerate(hashes):
+        parts = [part for theirs in hashes[:i] for part in windows.similar_passages(mine, theirs, 50, 0.8)]
+        known = {tuple(theirs[k : k + 5].tolist()) for theirs in hashes[:i] for k in range(len(theirs) - 4)}
+        own = [k for k in range(len(mine) - 4) if tuple(mine[k : k + 5].tolist()) in known]
+        wanted[i] = {k for k in own if any(a <= k and k + 5 <= b for a, b, *_ in parts)}
+    found = defaultdict(set)
+    for row in windows.passages(table(spark, rows)).collect():
+        found[row.doc_id].update(range(row.first_word, row.end_word - 4))
+    lost = {i: sorted(own - found[i]) for i, own in wanted.items() if own - found[i]}
+    assert sum(map(len, wanted.values())) > 3000 and not lost
+
+
+def test_holders_of_shingles(spark):
+    """Whatever batches a shingle's rows are cut into, each row has the number of earlier documents and the first of them."""
+    random = np.random.default_rng(12)
+    rows = sorted({tuple(int(value) for value in row) for row in random.integers(0, [9, 40, 20], (3000, 3))})
+    holders = defaultdict(dict)
+    for shingle, num, start in rows:
+        holders[shingle].setdefault(num, start)
+    wanted = []
+    for shingle, num, start in rows:
+        of = [(n, s) for n, s in holders[shingle].items() if n < num]
+        if of:
+            wanted.append((num, start, shingle, len(of), [n for n, _ in of[:8]], [s for _, s in of[:8]]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = windows._held(spark.createDataFrame(rows, "shingle bigint, num bigint, start int")).collect()
+        assert sorted(map(tuple, found)) == sorted(wanted)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_first_of_the_starts_of_one_content(spark):
     """Whatever batches a content's rows are cut into, each row of a later document has the first of all."""
     random = np.random.default_rng(11)
