@@ -695,6 +695,29 @@ def test_first_of_the_starts_of_one_content(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_passage_with_a_changed_word_near_its_end():
+    """43 shingles, five of a changed word, and three more: 46 of 51 shingles of either are in common."""
+    theirs = np.arange(100, 200, dtype=np.uint64) * np.uint64(977)
+    mine = np.arange(300, 400, dtype=np.uint64) * np.uint64(977)
+    mine[20:75] = theirs[20:75]
+    mine[67] = 5
+    for a, b in ((mine, theirs), (mine[::-1].copy(), theirs[::-1].copy())):
+        (found,) = windows.similar_passages(a, b, 50, 0.8)
+        assert found[1] - found[0] == 55 and found[4] >= 0.8
+
+
+def test_a_frequent_line_alone_asks_for_no_document():
+    """A document that copies the first one and goes on with a line of all: of 3,000 with the line, only the one that has both is
+    asked, and of those that have all of it only the first."""
+    least, line = 46, np.arange(60, 69)
+    body = np.arange(60)
+    for whole in ([7], [7, 9, 11]):
+        rows = [(place, num, place) for num in range(3000) for place in line] + [(place, num, place) for num in whole for place in body]
+        start, of_num, of_start = np.array(rows).T
+        found = windows._near_by(5000, start, of_num, of_start, start < 60, line, least)
+        assert [(row[1], row[2]) for row in found] == [(68, 7)]
+
+
 def test_equal_stretches_need_no_sets(monkeypatch):
     words_ = np.arange(70, dtype=np.uint64) * np.uint64(977)
     near = np.append(words_, np.uint64(5))
