@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from tokenizers.models import Unigram
 import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.conftest import MESSY, PROSE, WORDS, table
+from tillstream import storage
 from tillstream.llm import compression, forest, mixing, windows
 from tillstream.llm.calibration import class_weights, fitted, probability
 from tillstream.llm import components as components_module
@@ -718,6 +720,42 @@ def test_a_frequent_line_alone_asks_for_no_document():
         assert [(row[1], row[2]) for row in found] == [(68, 7)]
 
 
+def test_a_word_changed_in_either_text_counts_in_both():
+    """Two changed words in 78 shingles: 68 are common, ten are new, and ten others stand in the earlier text: 68 of 88. Without a
+    word in their place they are 68 of 84."""
+    start = np.array([*range(13, 60), *range(65, 74), *range(79, 91)])
+    every, none = np.ones(len(start), dtype=bool), np.zeros(len(start), dtype=np.int64)
+    assert windows._near_by(5, start, none, start + 7, every, start[-12:], 46) == []
+    shorter = start - 2 * (start >= 65) - 2 * (start >= 79)
+    assert [(row[1] >> 32, row[1] & 0xFFFFFFFF) for row in windows._near_by(5, start, none, shorter, every, start[-12:], 46)] == [(13, 90)]
+
+
+def test_documents_of_a_group_ask_in_the_same_range(spark):
+    """Ranges of those that ask keep the documents of a group together, and each document whole."""
+    rows = [(shingle, num, shingle, 1, num // 100 * 100) for num in range(1000) for shingle in range(20)]
+    rows = spark.createDataFrame(rows, "shingle bigint, num bigint, start bigint, kind int, head bigint")
+    found = defaultdict(set)
+    for row in windows._in_ranges(rows, 20_000, 4).distinct().collect():
+        found[row.num].add(row.a)
+    assert len(found) == 1000 and all(len(part) == 1 for part in found.values())
+    assert {a for part in found.values() for a in part} == set(range(4))
+    groups = defaultdict(set)
+    for num, part in found.items():
+        groups[num // 100] |= part
+    assert sum(map(len, groups.values())) <= 10 + 3
+
+
+def test_tables_of_the_steps_are_removed(spark):
+    """What is left of the steps of the passages are the stretches to compare."""
+    rows = [(i, " ".join([*(f"h{i}w{k}" for k in range(20)), *(f"b{k}" if k != i else f"x{i}" for k in range(90))])) for i in range(30)]
+    made = storage._made.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    found = windows.passages(table(spark, rows))
+    (folder,) = set(made) - before
+    assert [path.name for path in Path(folder.removeprefix("file:")).iterdir()] == ["fragments"]
+    assert {row.doc_id for row in found.collect()} == set(range(1, 30))
+
+
 def test_equal_stretches_need_no_sets(monkeypatch):
     words_ = np.arange(70, dtype=np.uint64) * np.uint64(977)
     near = np.append(words_, np.uint64(5))
