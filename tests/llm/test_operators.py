@@ -746,7 +746,7 @@ def test_documents_of_a_group_ask_in_the_same_range(spark):
 
 
 def test_tables_of_the_steps_are_removed(spark):
-    """What is left of the steps of the passages are the stretches to compare."""
+    """What is left of the steps of the passages are the stretches to compare, of those of the groups the documents to drop."""
     rows = [(i, " ".join([*(f"h{i}w{k}" for k in range(20)), *(f"b{k}" if k != i else f"x{i}" for k in range(90))])) for i in range(30)]
     made = storage._made.setdefault(spark.sparkContext.applicationId, [])
     before = set(made)
@@ -754,6 +754,11 @@ def test_tables_of_the_steps_are_removed(spark):
     (folder,) = set(made) - before
     assert [path.name for path in Path(folder.removeprefix("file:")).iterdir()] == ["fragments"]
     assert {row.doc_id for row in found.collect()} == set(range(1, 30))
+    before = set(made)
+    kept = forest.one_of_each(table(spark, rows))
+    (folder,) = set(made) - before
+    assert [path.name for path in Path(folder.removeprefix("file:")).iterdir()] == ["dropped"]
+    assert 0 in {row[0] for row in kept.collect()}
 
 
 def test_equal_stretches_need_no_sets(monkeypatch):

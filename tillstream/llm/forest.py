@@ -15,6 +15,7 @@ from tillstream.llm.components import components
 from tillstream.llm.packing import pack, per_unpacked, unpack, whole_groups
 from tillstream.llm.tables import content_key, free_shuffles, written
 from tillstream.llm.text import PRINTED, Texts, Words, documents, mixed, per_piece, shingles_of, texts_of, words_of
+from tillstream.storage import removed_after, run_folder
 
 #: Words of a shingle, and the least percentage of shingles that linked documents have in common.
 SHINGLE = 4
@@ -531,8 +532,11 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     id and text are one document and stay together. An empty table gives an empty one. Other columns may have any names.
     """
     own = F.struct("doc_id", "key_a", "key_b")
-    dropped = _classed(docs, size, percent).filter(F.col("first").isNotNull() & (F.col("first") != own))
-    dropped = written(dropped.select("doc_id", "key_a", "key_b").distinct())
+    folder = run_folder(docs.sparkSession)
+    with removed_after(docs.sparkSession):
+        dropped = _classed(docs, size, percent).filter(F.col("first").isNotNull() & (F.col("first") != own))
+        dropped = written(dropped.select("doc_id", "key_a", "key_b").distinct(), "dropped", folder)
+    free_shuffles(docs.sparkSession)
     names = [f"_{i}" for i in range(len(docs.columns))]
     at, text = (names[docs.columns.index(name)] for name in ("doc_id", "text"))
     key_a, key_b = content_key(F.col(text).cast("string"))
